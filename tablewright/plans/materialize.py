@@ -1,0 +1,377 @@
+"""``materialize``: bring one table to its next state and report what was done."""
+
+from __future__ import annotations
+
+import uuid
+import warnings
+from collections.abc import Callable
+from datetime import date, datetime, timedelta, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, StringType
+
+from ..config import (
+    AppendOnly,
+    FullRefresh,
+    Hook,
+    Incremental,
+    Partitioned,
+    Scd1,
+    Scd2,
+    Snapshot,
+    TableConfig,
+    View,
+)
+from ..functions.columns import column, equal_keys, field, key_list, moment
+from ..functions.partitioning import date_partition, list_partition, range_partition
+from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2_initial, scd2_parts
+from ..operators.merge import delete_insert, merge, overwrite_by_value, upsert
+from ..operators.schema import align_schemas, conform
+from ..operators.snapshots import snapshot_rows
+from ..operators.watermark import high_watermark, newer_than
+from ..scratch import staged
+from . import commit
+
+
+def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
+    if isinstance(config.source, DataFrame):
+        return config.source
+    return spark.sql(config.source, args=dict(config.params) if config.params else None)
+
+
+def register_sql_source(df: DataFrame, name: str) -> None:
+    """Let SQL sources refer to ``df`` as ``name``."""
+    df.createOrReplaceTempView(name)
+
+
+def materialize(
+    spark: SparkSession,
+    config: TableConfig,
+    *,
+    run_ts: datetime | None = None,
+    snapshot_id: str | None = None,
+) -> dict:
+    """Run ``config`` and return ``strategy``, ``table`` and, but for views, ``rows``.
+
+    ``run_ts`` (UTC, by default now) stamps audit columns and dates expiry, so a repeated
+    run can be given the time of the first.
+    """
+    handler = _HANDLERS.get(type(config))
+    if handler is None:
+        raise ValueError(f"unknown materialization: {type(config).__name__}")
+    run = _Run(
+        run_ts=run_ts or datetime.now(timezone.utc).replace(tzinfo=None),
+        snapshot_id=snapshot_id or uuid.uuid4().hex[:8],
+    )
+    strategy, extra = handler(spark, config, run)
+    result = {"strategy": strategy, "table": config.target_table, **extra}
+    if strategy != "view":
+        result["rows"] = commit.row_count(spark, config.target_table)
+    return result
+
+
+class _Run:
+    def __init__(self, run_ts: datetime, snapshot_id: str):
+        self.run_ts = run_ts
+        self.snapshot_id = snapshot_id
+
+
+def _call(spark: SparkSession, hook: Hook | None) -> None:
+    if callable(hook):
+        hook(spark)
+    elif hook:
+        spark.sql(hook)
+
+
+def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
+    return spark.table(commit.table_name(config.target_table))
+
+
+def _full_refresh(spark, config: FullRefresh, run):
+    _call(spark, config.pre_hook)
+    df = source_frame(spark, config)
+    if not commit.table_exists(spark, config.target_table):
+        commit.create(df, config.target_table)
+    elif commit.partition_columns(spark, config.target_table):
+        df = staged(df)  # it may read the table that is about to be dropped
+        spark.sql(f"DROP TABLE {commit.table_name(config.target_table)}")
+        commit.create(df, config.target_table)
+    else:
+        commit.swap(df, config.target_table)
+    _call(spark, config.post_hook)
+    return "full_refresh", {}
+
+
+def _incremental(spark, config: Incremental, run):
+    keys = key_list(config.unique_key)
+    by_value = config.overwrite_column or config.incremental_column
+    source = source_frame(spark, config)
+    if config.incremental_strategy == "insert_overwrite" and not by_value:
+        raise ValueError("insert_overwrite needs overwrite_column or incremental_column")
+
+    if not commit.table_exists(spark, config.target_table):
+        partition_by = []
+        if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
+            partition_by = [by_value]
+        commit.create(source, config.target_table, partition_by)
+        return "incremental", {"first_run": True}
+
+    target = _target(spark, config)
+    if config.incremental_column:
+        source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
+
+    if config.incremental_strategy == "insert_overwrite":
+        _overwrite(spark, config, target, source, by_value)
+    elif config.incremental_strategy == "merge" and keys:
+        after = merge(
+            target,
+            staged(source),
+            keys,
+            on_schema_change=config.on_schema_change,
+            dedupe_order_by=config.dedupe_order_by or None,
+        )
+        commit.swap(after, config.target_table)
+    elif config.incremental_strategy == "delete+insert" and keys:
+        target, source = align_schemas(target, source, config.on_schema_change, keys)
+        commit.swap(delete_insert(target, staged(source), keys), config.target_table)
+    else:
+        if config.incremental_strategy not in ("merge", "delete+insert", "append"):
+            warnings.warn(f"unknown incremental_strategy {config.incremental_strategy!r}: appending", stacklevel=3)
+        commit.append(conform(source, target), config.target_table)
+    return "incremental", {"first_run": False}
+
+
+def _partitionable(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (DateType, StringType, IntegralType))
+
+
+def _overwrite(spark, config, target, source, by_value):
+    source = conform(source, target)
+    if commit.partition_columns(spark, config.target_table) != [by_value]:
+        commit.swap(overwrite_by_value(target, staged(source), by_value), config.target_table)
+        return
+    # The target's other rows are never read. A NULL value matches nothing, so the old NULL
+    # rows must survive the replacement of the NULL partition.
+    unset = source.filter(column(by_value).isNull())
+    commit.replace_partitions(source.filter(column(by_value).isNotNull()), config.target_table)
+    commit.append(unset, config.target_table)
+
+
+def partition_name(config: Partitioned) -> str:
+    """The physical partition column: the column itself for whole days, else a derived one."""
+    suffix = config.partition_granularity if config.partition_type == "date" else config.partition_type
+    return f"{config.partition_by}_{suffix}"
+
+
+def _with_partition(df: DataFrame, config: Partitioned) -> tuple[DataFrame, str]:
+    name, source = partition_name(config), column(config.partition_by)
+    if config.partition_type == "date":
+        whole_days = isinstance(df.schema[config.partition_by].dataType, DateType)
+        if whole_days and config.partition_granularity == "day":
+            return df, config.partition_by
+        return df.withColumn(name, date_partition(source, config.partition_granularity)), name
+    if config.partition_type == "range":
+        return df.withColumn(name, range_partition(source, config.partition_range or ())), name
+    if config.partition_type == "list":
+        return df.withColumn(name, list_partition(source, config.partition_range or ())), name
+    raise ValueError(f"partition_type {config.partition_type!r} is not date, range or list")
+
+
+def _partitioned(spark, config: Partitioned, run):
+    source, partition = _with_partition(source_frame(spark, config), config)
+    if not commit.table_exists(spark, config.target_table):
+        commit.create(source, config.target_table, [partition], config.cluster_by)
+        return "partitioned", {"first_run": True}
+
+    target = _target(spark, config)
+    if config.incremental_column:
+        source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
+    keys = key_list(config.unique_key)
+    if keys:
+        _merge_touched(spark, config, target, staged(source), keys, partition)
+    else:
+        commit.append(conform(source, target), config.target_table, config.cluster_by)
+    if config.partition_expiration_days:
+        _expire(spark, config, partition, run.run_ts.date())
+    return "partitioned", {"first_run": False}
+
+
+def _merge_touched(spark, config, target, source, keys, partition):
+    """Merge by rewriting only partitions the source names or a matched row lies in.
+
+    A matched row may move to another partition; the one it leaves is rewritten too, and
+    dropped if nothing is left in it. The list of touched partitions comes to the driver:
+    it is at most as long as the catalog's own.
+    """
+    target, source = align_schemas(target, source, "ignore", keys)
+    named = source.select(column(partition).alias("old"), F.lit(False).alias("moved")).distinct()
+    if config.partition_by not in keys:
+        left = (
+            target.alias("t")
+            .join(source.alias("s"), equal_keys("t", "s", keys))
+            .select(
+                field("t", partition).alias("old"),
+                (~field("t", partition).eqNullSafe(field("s", partition))).alias("moved"),
+            )
+            .distinct()
+        )
+        named = named.union(left)
+    touched = named.groupBy("old").agg(F.bool_or("moved").alias("moved")).collect()
+    if not touched:
+        return
+    scope = commit.in_partitions(target, partition, [r.old for r in touched])
+    after = upsert(scope, source, keys, dedupe_order_by=config.dedupe_order_by or None)
+    emptied = []
+    if any(r.moved for r in touched):
+        left_in = {r[0] for r in after.select(partition).distinct().collect()}
+        emptied = [r.old for r in touched if r.old not in left_in]
+    commit.replace_partitions(after, config.target_table, config.cluster_by)
+    commit.drop_partitions(spark, config.target_table, partition, emptied)
+
+
+def _expire(spark, config: Partitioned, partition: str, run_date: date) -> None:
+    """Drop rows dated before the cutoff: whole partitions through the catalog where dated."""
+    cutoff = run_date - timedelta(days=config.partition_expiration_days)
+    table = config.target_table
+    if config.partition_type == "date":
+        start = {"month": cutoff.replace(day=1), "year": cutoff.replace(month=1, day=1)}.get(
+            config.partition_granularity, cutoff
+        )
+        values = [v for v in commit.partition_values(spark, table) if v is not None]
+        commit.drop_partitions(spark, table, partition, [v for v in values if v < start.isoformat()])
+        if start == cutoff:
+            return
+        split = [start.isoformat()] if start.isoformat() in values else []
+    else:
+        dated = _target(spark, config).filter(column(config.partition_by) < moment(cutoff))
+        split = [r[0] for r in dated.select(partition).distinct().collect()]  # one row per partition
+    if not split:
+        return
+    rest = commit.in_partitions(_target(spark, config), partition, split)
+    rest = rest.filter(~F.coalesce(column(config.partition_by) < moment(cutoff), F.lit(False)))
+    left_in = {str(r[0]) for r in rest.select(partition).distinct().collect()}
+    commit.replace_partitions(rest, table, config.cluster_by)
+    commit.drop_partitions(spark, table, partition, [v for v in split if str(v) not in left_in])
+
+
+def _scd1(spark, config: Scd1, run):
+    source = source_frame(spark, config)
+    if not commit.table_exists(spark, config.target_table):
+        commit.create(scd1_initial(source, run.run_ts, config.updated_at_column), config.target_table)
+        return "scd_type_1", {"first_run": True}
+    after = scd1(
+        _target(spark, config),
+        staged(source),
+        config.unique_key,
+        config.tracked_columns,
+        run.run_ts,
+        updated_at=config.updated_at_column,
+        dedupe_order_by=config.dedupe_order_by or None,
+    )
+    commit.swap(after, config.target_table)
+    return "scd_type_1", {"first_run": False}
+
+
+def _scd2(spark, config: Scd2, run):
+    """The table is partitioned by its current flag, so a run rewrites only open versions.
+
+    Two commits: newly closed versions are appended to the history, then the current slice
+    is replaced. If a run dies in between, the next one sees that those versions are in the
+    history already and does not append them again.
+    """
+    names = VersionColumns(
+        config.valid_from_column, config.valid_to_column, config.is_current_column, config.hash_column
+    )
+    keys = key_list(config.unique_key)
+    source = source_frame(spark, config)
+    if not commit.table_exists(spark, config.target_table):
+        first = scd2_initial(source, keys, config.tracked_columns, run.run_ts, names)
+        commit.create(first, config.target_table, [names.is_current])
+        return "scd_type_2", {"first_run": True}
+
+    target = _target(spark, config)
+    parts = scd2_parts(
+        target,
+        staged(source),
+        keys,
+        config.tracked_columns,
+        run.run_ts,
+        names=names,
+        close_missing=config.invalidate_hard_deletes,
+        dedupe_order_by=config.dedupe_order_by or None,
+    )
+    current = staged(parts.current, "current")
+    newest = high_watermark(target.filter(column(names.is_current)), names.valid_from)
+    closed = parts.closed
+    if newest is not None:
+        # Versions closed since the last completed run can only come from one that died.
+        recent = parts.history.filter(column(names.valid_to) >= moment(newest)).alias("h")
+        same = equal_version("c", "h", [*keys, names.valid_from, names.row_hash])
+        closed = closed.alias("c").join(recent, same, "left_anti")
+    commit.append(closed, config.target_table)
+    if current.isEmpty():
+        commit.drop_partitions(spark, config.target_table, names.is_current, ["true"])
+    else:
+        commit.replace_partitions(current, config.target_table)
+    return "scd_type_2", {"first_run": False}
+
+
+def equal_version(left: str, right: str, columns: list[str]):
+    condition = F.lit(True)
+    for name in columns:
+        condition = condition & field(left, name).eqNullSafe(field(right, name))
+    return condition
+
+
+def _snapshot(spark, config: Snapshot, run):
+    """The table is partitioned by snapshot time: taking one appends a partition, and
+    pruning drops partitions through the catalog without reading any data."""
+    stamp = config.snapshot_timestamp_column
+    rows = snapshot_rows(
+        source_frame(spark, config),
+        run.run_ts,
+        run.snapshot_id,
+        timestamp_column=stamp,
+        id_column=config.snapshot_id_column,
+        keys=config.unique_key,
+        dedupe_order_by=config.dedupe_order_by or None,
+    )
+    first = not commit.table_exists(spark, config.target_table)
+    if first:
+        commit.create(rows, config.target_table, [stamp])
+    else:
+        commit.append(conform(rows, _target(spark, config)), config.target_table)
+        if config.retain_snapshots:
+            stamps = sorted((v for v in commit.partition_values(spark, config.target_table) if v), reverse=True)
+            commit.drop_partitions(spark, config.target_table, stamp, stamps[config.retain_snapshots :])
+    return "snapshot", {"first_run": first, "snapshot_id": run.snapshot_id}
+
+
+def _append_only(spark, config: AppendOnly, run):
+    source = source_frame(spark, config)
+    first = not commit.table_exists(spark, config.target_table)
+    if first:
+        commit.create(source, config.target_table)
+    else:
+        commit.append(conform(source, _target(spark, config)), config.target_table)
+    return "append_only", {"first_run": first}
+
+
+def _view(spark, config: View, run):
+    if isinstance(config.source, DataFrame) or config.params:
+        raise ValueError("a view needs plain SQL text as its source")
+    spark.sql(f"CREATE OR REPLACE VIEW {commit.table_name(config.target_table)} AS {config.source}")
+    return "view", {}
+
+
+_HANDLERS: dict[type, Callable] = {
+    FullRefresh: _full_refresh,
+    Incremental: _incremental,
+    Partitioned: _partitioned,
+    Scd1: _scd1,
+    Scd2: _scd2,
+    Snapshot: _snapshot,
+    AppendOnly: _append_only,
+    View: _view,
+}

@@ -1,0 +1,132 @@
+import pytest
+from conftest import rows
+from pyspark.errors import PySparkException
+
+from tablewright.operators import (
+    SchemaChanged,
+    align_schemas,
+    append_rows,
+    delete_insert,
+    latest_per_key,
+    merge,
+    overwrite_by_value,
+)
+
+ORDERS = "order_id int, amount int, note string"
+
+
+def orders(spark, *data):
+    return spark.createDataFrame(data, ORDERS)
+
+
+def test_merge_updates_inserts_and_keeps(spark):
+    target = orders(spark, (1, 10, "a"), (2, 20, "b"), (3, 30, None))
+    source = orders(spark, (2, 21, None), (4, 40, "d"))
+    assert rows(merge(target, source, "order_id")) == [(1, 10, "a"), (2, 21, None), (3, 30, None), (4, 40, "d")]
+
+
+def test_merge_composite_key_given_as_text_or_list(spark):
+    schema = "store string, day string, rev int"
+    target = spark.createDataFrame([("s", "1", 1), ("s", "2", 2)], schema)
+    source = spark.createDataFrame([("s", "2", 9), ("t", "2", 5)], schema)
+    expected = [("s", "1", 1), ("s", "2", 9), ("t", "2", 5)]
+    assert rows(merge(target, source, "store, day")) == expected
+    assert rows(merge(target, source, ["store", "day"])) == expected
+
+
+def test_merge_null_keys_never_match(spark):
+    target = orders(spark, (None, 1, "old"))
+    source = orders(spark, (None, 2, "new"), (None, 3, "new"))
+    assert rows(merge(target, source, "order_id")) == [(None, 1, "old"), (None, 2, "new"), (None, 3, "new")]
+
+
+def test_merge_updates_every_copy_of_a_target_key(spark):
+    target = orders(spark, (1, 10, "a"), (1, 11, "b"))
+    assert rows(merge(target, orders(spark, (1, 5, "x")), "order_id")) == [(1, 5, "x"), (1, 5, "x")]
+
+
+@pytest.mark.parametrize("target_rows", [[], [(1, 0, "t")], [(9, 0, "t")]])
+def test_merge_refuses_duplicate_source_keys(spark, target_rows):
+    target = orders(spark, *target_rows) if target_rows else spark.createDataFrame([], ORDERS)
+    source = orders(spark, (1, 1, "a"), (1, 2, "b"), (1, 3, "c"))
+    with pytest.raises(PySparkException, match="duplicate source key"):
+        merge(target, source, "order_id").collect()
+
+
+def test_merge_can_take_the_latest_of_duplicates(spark):
+    target = orders(spark, (1, 0, "t"))
+    source = orders(spark, (1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "x"), (2, 2, "y"))
+    after = merge(target, source, "order_id", dedupe_order_by="amount")
+    assert rows(after) == [(1, 3, "c"), (2, 2, "y")]
+
+
+def test_merge_key_only_table_only_inserts(spark):
+    target = spark.createDataFrame([(1,)], "id int")
+    assert rows(merge(target, spark.createDataFrame([(1,), (2,)], "id int"), "id")) == [(1,), (2,)]
+
+
+def test_merge_with_empty_source_or_target(spark):
+    empty, some = spark.createDataFrame([], ORDERS), orders(spark, (1, 1, "a"))
+    assert rows(merge(some, empty, "order_id")) == [(1, 1, "a")]
+    assert rows(merge(empty, some, "order_id")) == [(1, 1, "a")]
+
+
+def test_merge_target_only_column_is_kept_or_null(spark):
+    target = spark.createDataFrame([(1, 1, "keep")], "id int, v int, extra string")
+    source = spark.createDataFrame([(1, 2), (2, 3)], "id int, v int")
+    assert rows(merge(target, source, "id")) == [(1, 2, "keep"), (2, 3, None)]
+
+
+def test_schema_policies(spark):
+    target = spark.createDataFrame([(1, 1, "gone")], "id int, v int, old string")
+    source = spark.createDataFrame([(1, 2, 7), (2, 3, 8)], "id int, v int, fresh int")
+    with pytest.raises(SchemaChanged, match="fresh"):
+        align_schemas(target, source, "fail")
+    with pytest.raises(ValueError, match="on_schema_change"):
+        align_schemas(target, source, "whatever")
+    with pytest.raises(SchemaChanged, match="key columns"):
+        align_schemas(target, source, "ignore", ["old"])
+
+    def merged(policy):
+        df = merge(target, source, "id", on_schema_change=policy)
+        return df.columns, rows(df)
+
+    assert merged("ignore") == (["id", "v", "old"], [(1, 2, "gone"), (2, 3, None)])
+    assert merged("append_new_columns") == (["id", "v", "old", "fresh"], [(1, 2, "gone", 7), (2, 3, None, 8)])
+    assert merged("sync_all_columns") == (["id", "v", "fresh"], [(1, 2, 7), (2, 3, 8)])
+
+
+def test_delete_insert_keeps_source_copies_and_null_keys(spark):
+    target = orders(spark, (1, 1, "t"), (1, 2, "t"), (2, 1, "t"), (None, 1, "t"))
+    source = orders(spark, (1, 5, "s"), (1, 5, "s"), (None, 6, "s"))
+    assert rows(delete_insert(target, source, "order_id")) == [
+        (None, 1, "t"), (None, 6, "s"), (1, 5, "s"), (1, 5, "s"), (2, 1, "t"),
+    ]
+
+
+def test_overwrite_by_value_null_never_matches(spark):
+    schema = "day string, n int"
+    target = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], schema)
+    source = spark.createDataFrame([("a", 9), (None, 8)], schema)
+    assert rows(overwrite_by_value(target, source, "day")) == [(None, 1), (None, 8), ("a", 9), ("b", 1)]
+
+
+def test_append_goes_by_name(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, msg string")
+    source = spark.createDataFrame([("b", 2)], "msg string, id int")
+    assert rows(append_rows(target, source)) == [(1, "a"), (2, "b")]
+    with pytest.raises(SchemaChanged):
+        append_rows(target, spark.createDataFrame([(1,)], "other int"))
+
+
+def test_latest_per_key_limits_rows_before_the_shuffle(spark):
+    df = latest_per_key(spark.range(10).selectExpr("id % 3 AS k", "id AS v"), "k", "v")
+    assert rows(df) == [(0, 9), (1, 7), (2, 8)]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Partial" in plan and "Final" in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_duplicate_guard_limits_rows_before_the_shuffle(spark):
+    target = orders(spark, (1, 1, "a"))
+    plan = merge(target, target, "order_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
