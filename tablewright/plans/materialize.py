@@ -26,7 +26,7 @@ from ..config import (
 from ..functions.columns import column, equal_keys, field, key_list, moment
 from ..functions.partitioning import date_partition, list_partition, range_partition
 from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2_initial, scd2_parts
-from ..operators.merge import delete_insert, merge, overwrite_by_value, upsert
+from ..operators.merge import delete_insert, keyed_and_unkeyed, merge, overwrite_by_value, upsert
 from ..operators.schema import align_schemas, conform
 from ..operators.snapshots import snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
@@ -88,6 +88,12 @@ def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.table(commit.table_name(config.target_table))
 
 
+def _one_per_key(source: DataFrame, keys: list[str], order_by) -> DataFrame:
+    """First load of a keyed table: the same rule for repeated keys as in later runs."""
+    keyed, unkeyed = keyed_and_unkeyed(source, keys, order_by or None)
+    return keyed.unionByName(unkeyed)
+
+
 def _full_refresh(spark, config: FullRefresh, run):
     _call(spark, config.pre_hook)
     df = source_frame(spark, config)
@@ -114,6 +120,8 @@ def _incremental(spark, config: Incremental, run):
         partition_by = []
         if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
             partition_by = [by_value]
+        if keys and config.dedupe_order_by:
+            source = _one_per_key(source, keys, config.dedupe_order_by)
         commit.create(source, config.target_table, partition_by)
         return "incremental", {"first_run": True}
 
@@ -180,14 +188,16 @@ def _with_partition(df: DataFrame, config: Partitioned) -> tuple[DataFrame, str]
 
 def _partitioned(spark, config: Partitioned, run):
     source, partition = _with_partition(source_frame(spark, config), config)
+    keys = key_list(config.unique_key)
     if not commit.table_exists(spark, config.target_table):
+        if keys and config.dedupe_order_by:
+            source = _one_per_key(source, keys, config.dedupe_order_by)
         commit.create(source, config.target_table, [partition], config.cluster_by)
         return "partitioned", {"first_run": True}
 
     target = _target(spark, config)
     if config.incremental_column:
         source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
-    keys = key_list(config.unique_key)
     if keys:
         _merge_touched(spark, config, target, staged(source), keys, partition)
     else:
@@ -258,6 +268,7 @@ def _expire(spark, config: Partitioned, partition: str, run_date: date) -> None:
 def _scd1(spark, config: Scd1, run):
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
+        source = _one_per_key(source, key_list(config.unique_key), config.dedupe_order_by)
         commit.create(scd1_initial(source, run.run_ts, config.updated_at_column), config.target_table)
         return "scd_type_1", {"first_run": True}
     after = scd1(
@@ -286,6 +297,7 @@ def _scd2(spark, config: Scd2, run):
     keys = key_list(config.unique_key)
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
+        source = _one_per_key(source, keys, config.dedupe_order_by)
         first = scd2_initial(source, keys, config.tracked_columns, run.run_ts, names)
         commit.create(first, config.target_table, [names.is_current])
         return "scd_type_2", {"first_run": True}
