@@ -71,7 +71,8 @@ def swap(df: DataFrame, name: str) -> None:
 
     The new version goes to a fresh folder and the catalog is then pointed at it, so there
     is no moment without a table, a failed write changes nothing, and nothing is copied.
-    The previous version's folder is removed last.
+    The previous version's folder is removed last; as after any overwrite of a file table,
+    other sessions that read it before must refresh it.
     """
     spark = df.sparkSession
     if partition_columns(spark, name):

@@ -47,6 +47,7 @@ def refresh_stream(
     processed and the query ends; ``continuous`` gives a processing-time interval instead.
     """
     config = _fit_for_streams(config)
+    session = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         run_ts = None
@@ -55,6 +56,8 @@ def refresh_stream(
             if run_ts is None:
                 return  # an empty batch
         materialize(batch.sparkSession, replace(config, source=batch), run_ts=run_ts)
+        # Batches run in a session of their own; the caller's must not keep the old files.
+        session.catalog.refreshTable(config.target_table)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
