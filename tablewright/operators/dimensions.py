@@ -38,7 +38,7 @@ def scd1(
     changed = (lambda t, s: any_difference(t, s, tracked)) if tracked else None
     return upsert(
         target,
-        source.select(*[c for c in source.columns if c in target.columns]),
+        source,
         keys,
         update_if=changed,
         stamps={updated_at: moment(run_ts)},
@@ -65,21 +65,6 @@ class Scd2Parts:
     current: DataFrame  # one open version per key
 
 
-def _tracked_or_all(source: DataFrame, keys: Sequence[str], tracked: Sequence[str]) -> list[str]:
-    return list(tracked) or [c for c in source.columns if c not in keys]
-
-
-def _opened(source: DataFrame, hash_value: Column, run_ts, names: VersionColumns) -> DataFrame:
-    start = moment(run_ts)
-    return source.select(
-        "*",
-        start.alias(names.valid_from),
-        F.lit(None).cast("timestamp_ntz").alias(names.valid_to),
-        F.lit(True).alias(names.is_current),
-        hash_value.alias(names.row_hash),
-    )
-
-
 def scd2_initial(
     source: DataFrame,
     keys: str | Sequence[str],
@@ -89,16 +74,24 @@ def scd2_initial(
 ) -> DataFrame:
     """First run: every source row becomes an open version."""
     keys = key_list(keys)
-    return _opened(source, row_hash(_tracked_or_all(source, keys, tracked)), run_ts, names)
+    hashed = list(tracked) or [c for c in source.columns if c not in keys]
+    return source.select(
+        "*",
+        moment(run_ts).alias(names.valid_from),
+        F.lit(None).cast("timestamp_ntz").alias(names.valid_to),
+        F.lit(True).alias(names.is_current),
+        row_hash(hashed).alias(names.row_hash),
+    )
 
 
 def _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by):
     """(current slice with a still-open flag, versions to open)."""
     if not keys:
         raise ValueError("a versioned dimension needs at least one key column")
-    source = source.select(*[c for c in source.columns if c in target.columns])
-    hashed = source.withColumn(_NEW_HASH, row_hash(_tracked_or_all(source, keys, tracked)))
-    keyed, unkeyed = keyed_and_unkeyed(hashed, keys, dedupe_order_by)
+    keyed, unkeyed = keyed_and_unkeyed(source, keys, dedupe_order_by)
+    shared = [c for c in source.columns if c in target.columns]
+    new_hash = row_hash(list(tracked) or [c for c in shared if c not in keys]).alias(_NEW_HASH)
+    keyed, unkeyed = keyed.select(*shared, new_hash), unkeyed.select(*shared, new_hash)
 
     # no source row: open unless missing keys are closed; else open while the hashes agree
     changed = F.coalesce(field("t", names.row_hash) != field("s", _NEW_HASH), F.lit(False))
@@ -239,3 +232,25 @@ def join_as_of(
 def key_history(dimension: DataFrame, predicate: Column, names: VersionColumns = VersionColumns()) -> DataFrame:
     """All versions of the keys that satisfy ``predicate``, oldest first."""
     return dimension.filter(predicate).orderBy(column(names.valid_from))
+
+
+def version_changes(
+    dimension: DataFrame,
+    keys: str | Sequence[str],
+    columns: Sequence[str],
+    names: VersionColumns = VersionColumns(),
+) -> DataFrame:
+    """Each version with ``previous_<column>`` of the version it replaced, if any.
+
+    A version replaces the one that ends where it starts, so this is an equi-join on key and
+    time: a key with very many versions spreads over tasks, which a window would not allow.
+    """
+    keys = key_list(keys)
+    replaced = equal_keys("n", "p", keys) & (field("p", names.valid_to) == field("n", names.valid_from))
+    before = dimension.filter(column(names.valid_to).isNotNull()).select(*keys, names.valid_to, *columns)
+    return (
+        dimension.select(*keys, names.valid_from, names.valid_to, *columns)
+        .alias("n")
+        .join(before.alias("p"), replaced, "left")
+        .select("n.*", *[field("p", c).alias(f"previous_{c}") for c in columns])
+    )

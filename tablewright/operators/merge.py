@@ -77,13 +77,16 @@ def upsert(
 
     ``update_if(target_alias, source_alias)`` restricts the update; ``stamps`` are audit
     columns set on every row that is updated or inserted. Result columns and types are
-    the target's; target columns the source lacks keep their value or are NULL on insert.
+    the target's; target columns the source lacks keep their value or are NULL on insert,
+    and source columns the target lacks serve at most to order duplicates.
     """
     keys = key_list(keys)
     if not keys:
         raise ValueError("an upsert needs at least one key column")
     stamps = dict(stamps or {})
     keyed, unkeyed = keyed_and_unkeyed(source, keys, dedupe_order_by)
+    shared = [c for c in source.columns if c in target.columns]
+    keyed, unkeyed = keyed.select(*shared), unkeyed.select(*shared)
 
     joined = target.alias("t").join(
         keyed.withColumn(_HIT, F.lit(True)).alias("s"), equal_keys("t", "s", keys), "left"
@@ -91,7 +94,7 @@ def upsert(
     touched = field("s", _HIT).isNotNull()
     if update_if is not None:
         touched = touched & update_if("t", "s")
-    given = set(source.columns)
+    given = set(shared)
 
     def after(f):
         old = field("t", f.name)
@@ -120,7 +123,7 @@ def merge(
 ) -> DataFrame:
     """Every non-key source column overwrites matched rows; new keys are inserted by name."""
     keys = key_list(keys)
-    target, source = align_schemas(target, source, on_schema_change, keys)
+    target, _ = align_schemas(target, source, on_schema_change, keys)
     return upsert(target, source, keys, dedupe_order_by=dedupe_order_by)
 
 

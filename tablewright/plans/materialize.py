@@ -214,7 +214,7 @@ def _merge_touched(spark, config, target, source, keys, partition):
     dropped if nothing is left in it. The list of touched partitions comes to the driver:
     it is at most as long as the catalog's own.
     """
-    target, source = align_schemas(target, source, "ignore", keys)
+    align_schemas(target, source, "ignore", keys)  # the keys must be there
     named = source.select(column(partition).alias("old"), F.lit(False).alias("moved")).distinct()
     if config.partition_by not in keys:
         left = (

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_list
-from ..operators.merge import latest_per_key, upsert
-from ..operators.schema import align_schemas, conform, describe
+from ..operators.merge import upsert
+from ..operators.schema import conform, describe
 from ..plans import commit
 from ..scratch import staged
 
@@ -57,8 +57,8 @@ def load(
             target = spark.createDataFrame([], df.schema)
             commit.create(upsert(target, source, keys, dedupe_order_by=order_by), table)
         else:
-            target, aligned = align_schemas(spark.table(commit.table_name(table)), source, "ignore", keys)
-            commit.swap(upsert(target, aligned, keys, dedupe_order_by=order_by), table)
+            target = spark.table(commit.table_name(table))
+            commit.swap(upsert(target, source, keys, dedupe_order_by=order_by), table)
         return source.count()
 
     if mode == "replace" and df.isEmpty():
@@ -74,4 +74,4 @@ def load(
     return given.get["rows"]
 
 
-__all__ = ["execute", "extract", "latest_per_key", "load", "table_schema"]
+__all__ = ["execute", "extract", "load", "table_schema"]
