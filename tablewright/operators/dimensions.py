@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_difference, column, equal_keys, field, key_list, moment, row_hash
-from .merge import keyed_and_unkeyed, upsert
+from .merge import keyed_source, upsert
 
 _NEW_HASH = "__new_hash"
 _OPEN = "__still_open"
@@ -29,6 +29,7 @@ def scd1(
     *,
     updated_at: str = "updated_at",
     dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
 ) -> DataFrame:
     """Overwrite a matched row whole when a tracked column changed, and stamp it.
 
@@ -43,6 +44,7 @@ def scd1(
         update_if=changed,
         stamps={updated_at: moment(run_ts)},
         dedupe_order_by=dedupe_order_by,
+        known_unique=known_unique,
     )
 
 
@@ -84,27 +86,25 @@ def scd2_initial(
     )
 
 
-def _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by):
+def _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique):
     """(current slice with a still-open flag, versions to open)."""
     if not keys:
         raise ValueError("a versioned dimension needs at least one key column")
-    keyed, unkeyed = keyed_and_unkeyed(source, keys, dedupe_order_by)
     shared = [c for c in source.columns if c in target.columns]
     new_hash = row_hash(list(tracked) or [c for c in shared if c not in keys]).alias(_NEW_HASH)
-    keyed, unkeyed = keyed.select(*shared, new_hash), unkeyed.select(*shared, new_hash)
+    rows = keyed_source(source, keys, dedupe_order_by, known_unique).select(*shared, new_hash)
+    current = target.filter(_is_open(names)).alias("t")
+    changed = F.coalesce(field("t", names.row_hash) != field("s", _NEW_HASH), F.lit(False))
 
     # no source row: open unless missing keys are closed; else open while the hashes agree
-    changed = F.coalesce(field("t", names.row_hash) != field("s", _NEW_HASH), F.lit(False))
     still_open = F.when(field("s", _NEW_HASH).isNull(), F.lit(not close_missing)).otherwise(~changed)
-    judged = (
-        target.filter(_is_open(names))
-        .alias("t")
-        .join(keyed.select(*keys, _NEW_HASH).alias("s"), equal_keys("t", "s", keys), "left")
-        .select("t.*", still_open.alias(_OPEN))
-    )
+    incoming = rows.matching.select(*keys, _NEW_HASH).alias("s")
+    judged = current.join(incoming, equal_keys("t", "s", keys), "left").select("t.*", still_open.alias(_OPEN))
+
     # A source key with an open version left needs no new one.
-    unchanged = judged.filter(F.col(_OPEN)).select(*keys).distinct()
-    fresh = keyed.join(unchanged, keys, "left_anti").unionByName(unkeyed)
+    open_hashes = target.filter(_is_open(names)).select(*keys, names.row_hash).distinct().alias("t")
+    unchanged = open_hashes.join(incoming, equal_keys("t", "s", keys) & ~changed, "left_semi").select(*keys)
+    fresh = rows.checked.join(unchanged, keys, "left_anti").unionByName(rows.unkeyed)
     return judged, _opened_like(target, fresh, run_ts, names)
 
 
@@ -141,6 +141,7 @@ def scd2_parts(
     names: VersionColumns = VersionColumns(),
     close_missing: bool = True,
     dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
 ) -> Scd2Parts:
     """Next state of a versioned table, as history / closed / current.
 
@@ -148,7 +149,7 @@ def scd2_parts(
     the current flag the history is then not even read.
     """
     keys = key_list(keys)
-    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by)
+    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique)
     end = moment(run_ts).cast(target.schema[names.valid_to].dataType)
     closed = (
         judged.filter(~F.col(_OPEN))
@@ -171,6 +172,7 @@ def scd2(
     names: VersionColumns = VersionColumns(),
     close_missing: bool = True,
     dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
 ) -> DataFrame:
     """The whole next state of a versioned table in one plan.
 
@@ -178,7 +180,7 @@ def scd2(
     rows end at ``run_ts``, and earlier history is unchanged.
     """
     keys = key_list(keys)
-    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by)
+    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique)
     end = moment(run_ts).cast(target.schema[names.valid_to].dataType)
     kept = judged.withColumns(
         {

@@ -2,24 +2,26 @@
 
 How the plans behave on large tables
 ------------------------------------
-* The target is only ever the *left* side of a left, semi or anti join. A small source
-  is therefore broadcast by Spark's own size check and the target is scanned without a
-  shuffle; with a large source both sides shuffle on the key and adaptive execution may
-  split a hot target key, which it cannot do for a full outer join.
-* The rows to insert are found through the keys that matched (``distinct``, combined
-  before its shuffle), never by shuffling whole target rows a second time.
-* The one-row-per-key guard keeps at most two rows per key and task ahead of the
-  shuffle, so one key holding much of the source does not land in one task.
+* The target is only ever the *left* side of a left or anti join. A small source is
+  broadcast by Spark's own size check and the target is then scanned without a shuffle.
+  With a large source both sides shuffle on the key, and adaptive execution splits a hot
+  target key over tasks. It can do so only where nothing stands between the join and the
+  shuffles under it, so no window or aggregate is placed there (see :func:`own_shuffle`).
+* Which source rows are new is found through the distinct target keys, combined before
+  their shuffle, never by shuffling whole target rows a second time.
+* The one-row-per-key guard keeps at most two rows per key and task ahead of the shuffle,
+  so one key holding much of the source does not land in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_difference, column, equal_keys, field, has_key, key_list
+from ..functions.columns import column, equal_keys, field, has_key, key_list
 from .schema import align_schemas, conform
 
 _HIT = "__matched"
@@ -51,17 +53,56 @@ def single_row_per_key(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return df.withColumn(_ROW, F.row_number().over(window)).filter(F.col(_ROW) <= 2).filter(unique).drop(_ROW)
 
 
-def keyed_and_unkeyed(
-    source: DataFrame, keys: Sequence[str], dedupe_order_by: str | Sequence[str] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Split a source into rows with a full key (one per key) and rows without one.
+def own_shuffle(df: DataFrame) -> DataFrame:
+    """End the partitioning of a window or aggregate, so a join above shuffles afresh.
+
+    For the side whose size is that of the source. It lets adaptive execution split hot
+    keys of the other, larger side.
+    """
+    return df.hint("rebalance")
+
+
+@dataclass(frozen=True)
+class KeyedSource:
+    """A source split by whether a row has a full key.
 
     Rows lacking a key match nothing, are never duplicates of each other, and may be very
     many; keeping them out of the keyed joins keeps them out of one task.
     """
-    with_key = source.filter(has_key(keys))
-    one = latest_per_key(with_key, keys, dedupe_order_by) if dedupe_order_by else single_row_per_key(with_key, keys)
-    return one, source.filter(~has_key(keys))
+
+    matching: DataFrame  # rows with a key, for joins against the target
+    checked: DataFrame  # the same rows, the query failing if a key repeats
+    unkeyed: DataFrame
+
+    def select(self, *columns) -> KeyedSource:
+        return KeyedSource(*[df.select(*columns) for df in (self.matching, self.checked, self.unkeyed)])
+
+
+def keyed_source(
+    source: DataFrame,
+    keys: Sequence[str],
+    dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
+) -> KeyedSource:
+    """Prepare a source for keyed joins.
+
+    A repeated key is resolved by ``dedupe_order_by``, or else fails the query: the check
+    rides on the rows that look for their insertion, so the join that updates the target
+    stays free of it. ``known_unique`` skips both for a source prepared before.
+    """
+    with_key, unkeyed = source.filter(has_key(keys)), source.filter(~has_key(keys))
+    if known_unique:
+        return KeyedSource(with_key, with_key, unkeyed)
+    if dedupe_order_by:
+        latest = own_shuffle(latest_per_key(with_key, keys, dedupe_order_by))
+        return KeyedSource(latest, latest, unkeyed)
+    return KeyedSource(with_key, single_row_per_key(with_key, keys), unkeyed)
+
+
+def one_row_per_key(source: DataFrame, keys: Sequence[str], dedupe_order_by: str | Sequence[str] | None = None) -> DataFrame:
+    """The whole source with repeated keys resolved or refused; rows without a key stay."""
+    parts = keyed_source(source, keys, dedupe_order_by)
+    return parts.checked.unionByName(parts.unkeyed)
 
 
 def upsert(
@@ -72,6 +113,7 @@ def upsert(
     update_if: Callable[[str, str], Column] | None = None,
     stamps: Mapping[str, Column] | None = None,
     dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
 ) -> DataFrame:
     """Update matched rows, insert unmatched source rows, keep the rest of the target.
 
@@ -84,31 +126,30 @@ def upsert(
     if not keys:
         raise ValueError("an upsert needs at least one key column")
     stamps = dict(stamps or {})
-    keyed, unkeyed = keyed_and_unkeyed(source, keys, dedupe_order_by)
     shared = [c for c in source.columns if c in target.columns]
-    keyed, unkeyed = keyed.select(*shared), unkeyed.select(*shared)
+    rows = keyed_source(source, keys, dedupe_order_by, known_unique).select(*shared)
 
     joined = target.alias("t").join(
-        keyed.withColumn(_HIT, F.lit(True)).alias("s"), equal_keys("t", "s", keys), "left"
+        rows.matching.withColumn(_HIT, F.lit(True)).alias("s"), equal_keys("t", "s", keys), "left"
     )
     touched = field("s", _HIT).isNotNull()
     if update_if is not None:
         touched = touched & update_if("t", "s")
-    given = set(shared)
 
     def after(f):
         old = field("t", f.name)
         if f.name in stamps:
             new = stamps[f.name]
-        elif f.name in given and f.name not in keys:
+        elif f.name in shared and f.name not in keys:
             new = field("s", f.name)
         else:
             return old
         return F.when(touched, new.cast(f.dataType)).otherwise(old).alias(f.name)
 
     updated = joined.select(*[after(f) for f in target.schema.fields])
-    matched_keys = target.select(*keys).join(source.select(*keys), keys, "left_semi").distinct()
-    fresh = keyed.join(matched_keys, keys, "left_anti").unionByName(unkeyed)
+    # Spark moves the semi join below the distinct when it can broadcast the source.
+    matched_keys = target.select(*keys).distinct().join(source.select(*keys), keys, "left_semi")
+    fresh = rows.checked.join(matched_keys, keys, "left_anti").unionByName(rows.unkeyed)
     inserted = conform(fresh.withColumns(stamps) if stamps else fresh, target)
     return updated.unionByName(inserted)
 
@@ -120,11 +161,12 @@ def merge(
     *,
     on_schema_change: str = "append_new_columns",
     dedupe_order_by: str | Sequence[str] | None = None,
+    known_unique: bool = False,
 ) -> DataFrame:
     """Every non-key source column overwrites matched rows; new keys are inserted by name."""
     keys = key_list(keys)
     target, _ = align_schemas(target, source, on_schema_change, keys)
-    return upsert(target, source, keys, dedupe_order_by=dedupe_order_by)
+    return upsert(target, source, keys, dedupe_order_by=dedupe_order_by, known_unique=known_unique)
 
 
 def delete_insert(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -132,34 +174,34 @@ def delete_insert(target: DataFrame, source: DataFrame, keys: str | Sequence[str
     keys = key_list(keys)
     if not keys:
         raise ValueError("delete+insert needs at least one key column")
-    kept = target.join(source.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
+    delivered = own_shuffle(source.select(*keys).distinct())
+    kept = target.join(delivered, keys, "left_anti").select(*target.columns)
     return kept.unionByName(conform(source, target))
 
 
-def overwrite_by_value(target: DataFrame, source: DataFrame, partition_column: str) -> DataFrame:
+MAX_LISTED_VALUES = 10_000
+
+
+def overwrite_by_value(
+    target: DataFrame, source: DataFrame, partition_column: str, max_listed: int = MAX_LISTED_VALUES
+) -> DataFrame:
     """Replace the target rows whose partition value the source delivers.
 
+    The delivered values are looked up first. Up to ``max_listed`` of them become a filter
+    on the target's scan, which then prunes and shuffles nothing; more become an anti join.
     A NULL partition value never matches, so old NULL rows stay. For a table that is
-    physically partitioned the commit does this without reading the target at all.
+    physically partitioned the commit does all this without reading the target.
     """
-    delivered = source.select(partition_column).distinct()
-    kept = target.join(delivered, [partition_column], "left_anti").select(*target.columns)
+    value = column(partition_column)
+    delivered = source.select(value).filter(value.isNotNull()).distinct()
+    listed = [r[0] for r in delivered.limit(max_listed + 1).collect()]
+    if len(listed) <= max_listed:
+        kept = target.filter(value.isNull() | ~value.isin(listed)) if listed else target
+    else:
+        kept = target.join(own_shuffle(delivered), [partition_column], "left_anti").select(*target.columns)
     return kept.unionByName(conform(source, target))
 
 
 def append_rows(target: DataFrame, source: DataFrame) -> DataFrame:
     """Every row of both, by column name."""
     return target.unionByName(conform(source, target))
-
-
-__all__ = [
-    "any_difference",
-    "append_rows",
-    "delete_insert",
-    "keyed_and_unkeyed",
-    "latest_per_key",
-    "merge",
-    "overwrite_by_value",
-    "single_row_per_key",
-    "upsert",
-]

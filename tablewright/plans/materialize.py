@@ -26,7 +26,7 @@ from ..config import (
 from ..functions.columns import column, equal_keys, field, key_list, moment
 from ..functions.partitioning import date_partition, list_partition, range_partition
 from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2_initial, scd2_parts
-from ..operators.merge import delete_insert, keyed_and_unkeyed, merge, overwrite_by_value, upsert
+from ..operators.merge import delete_insert, merge, one_row_per_key, overwrite_by_value, upsert
 from ..operators.schema import align_schemas, conform
 from ..operators.snapshots import snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
@@ -88,10 +88,13 @@ def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.table(commit.table_name(config.target_table))
 
 
-def _one_per_key(source: DataFrame, keys: list[str], order_by) -> DataFrame:
-    """First load of a keyed table: the same rule for repeated keys as in later runs."""
-    keyed, unkeyed = keyed_and_unkeyed(source, keys, order_by or None)
-    return keyed.unionByName(unkeyed)
+def _unique(source: DataFrame, keys: list[str], order_by) -> DataFrame:
+    """The source written out once with repeated keys resolved or refused.
+
+    The transitions then read plain files of known size: Spark decides rightly whether to
+    broadcast, and the check for repeated keys is not repeated for each of their joins.
+    """
+    return staged(one_row_per_key(source, keys, order_by or None), "source")
 
 
 def _full_refresh(spark, config: FullRefresh, run):
@@ -121,7 +124,7 @@ def _incremental(spark, config: Incremental, run):
         if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
             partition_by = [by_value]
         if keys and config.dedupe_order_by:
-            source = _one_per_key(source, keys, config.dedupe_order_by)
+            source = one_row_per_key(source, keys, config.dedupe_order_by or None)
         commit.create(source, config.target_table, partition_by)
         return "incremental", {"first_run": True}
 
@@ -134,10 +137,10 @@ def _incremental(spark, config: Incremental, run):
     elif config.incremental_strategy == "merge" and keys:
         after = merge(
             target,
-            staged(source),
+            _unique(source, keys, config.dedupe_order_by),
             keys,
             on_schema_change=config.on_schema_change,
-            dedupe_order_by=config.dedupe_order_by or None,
+            known_unique=True,
         )
         commit.swap(after, config.target_table)
     elif config.incremental_strategy == "delete+insert" and keys:
@@ -191,7 +194,7 @@ def _partitioned(spark, config: Partitioned, run):
     keys = key_list(config.unique_key)
     if not commit.table_exists(spark, config.target_table):
         if keys and config.dedupe_order_by:
-            source = _one_per_key(source, keys, config.dedupe_order_by)
+            source = one_row_per_key(source, keys, config.dedupe_order_by or None)
         commit.create(source, config.target_table, [partition], config.cluster_by)
         return "partitioned", {"first_run": True}
 
@@ -199,7 +202,8 @@ def _partitioned(spark, config: Partitioned, run):
     if config.incremental_column:
         source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
     if keys:
-        _merge_touched(spark, config, target, staged(source), keys, partition)
+        unique = _unique(source, keys, config.dedupe_order_by)
+        _merge_touched(spark, config, target, unique, keys, partition)
     else:
         commit.append(conform(source, target), config.target_table, config.cluster_by)
     if config.partition_expiration_days:
@@ -231,7 +235,7 @@ def _merge_touched(spark, config, target, source, keys, partition):
     if not touched:
         return
     scope = commit.in_partitions(target, partition, [r.old for r in touched])
-    after = upsert(scope, source, keys, dedupe_order_by=config.dedupe_order_by or None)
+    after = upsert(scope, source, keys, known_unique=True)
     emptied = []
     if any(r.moved for r in touched):
         left_in = {r[0] for r in after.select(partition).distinct().collect()}
@@ -268,17 +272,17 @@ def _expire(spark, config: Partitioned, partition: str, run_date: date) -> None:
 def _scd1(spark, config: Scd1, run):
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
-        source = _one_per_key(source, key_list(config.unique_key), config.dedupe_order_by)
+        source = one_row_per_key(source, key_list(config.unique_key), config.dedupe_order_by or None)
         commit.create(scd1_initial(source, run.run_ts, config.updated_at_column), config.target_table)
         return "scd_type_1", {"first_run": True}
     after = scd1(
         _target(spark, config),
-        staged(source),
+        _unique(source, key_list(config.unique_key), config.dedupe_order_by),
         config.unique_key,
         config.tracked_columns,
         run.run_ts,
         updated_at=config.updated_at_column,
-        dedupe_order_by=config.dedupe_order_by or None,
+        known_unique=True,
     )
     commit.swap(after, config.target_table)
     return "scd_type_1", {"first_run": False}
@@ -297,7 +301,7 @@ def _scd2(spark, config: Scd2, run):
     keys = key_list(config.unique_key)
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
-        source = _one_per_key(source, keys, config.dedupe_order_by)
+        source = one_row_per_key(source, keys, config.dedupe_order_by or None)
         first = scd2_initial(source, keys, config.tracked_columns, run.run_ts, names)
         commit.create(first, config.target_table, [names.is_current])
         return "scd_type_2", {"first_run": True}
@@ -305,13 +309,13 @@ def _scd2(spark, config: Scd2, run):
     target = _target(spark, config)
     parts = scd2_parts(
         target,
-        staged(source),
+        _unique(source, keys, config.dedupe_order_by),
         keys,
         config.tracked_columns,
         run.run_ts,
         names=names,
         close_missing=config.invalidate_hard_deletes,
-        dedupe_order_by=config.dedupe_order_by or None,
+        known_unique=True,
     )
     current = staged(parts.current, "current")
     newest = high_watermark(target.filter(column(names.is_current)), names.valid_from)

@@ -11,8 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import has_key, key_list
-from ..operators.merge import latest_per_key, single_row_per_key
+from ..functions.columns import key_list
+from ..operators.merge import one_row_per_key
 
 # The public driver class or Spark format name of each vendor.
 JDBC_DRIVERS = {
@@ -120,8 +120,5 @@ def upsert_table(
     keys = key_list(merge_key)
     if not keys:
         raise ValueError("an upsert needs a merge key")
-    keyed = df.filter(has_key(keys))
-    one = latest_per_key(keyed, keys, order_by) if order_by else single_row_per_key(keyed, keys)
-    rows = one.unionByName(df.filter(~has_key(keys)))
-    write_table(rows, source, stage_table, "replace")
+    write_table(one_row_per_key(df, keys, order_by), source, stage_table, "replace")
     run_statement(merge_statement(table, stage_table, df.columns, keys))
