@@ -29,7 +29,6 @@ def scd1(
     *,
     updated_at: str = "updated_at",
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> DataFrame:
     """Overwrite a matched row whole when a tracked column changed, and stamp it.
 
@@ -44,7 +43,6 @@ def scd1(
         update_if=changed,
         stamps={updated_at: moment(run_ts)},
         dedupe_order_by=dedupe_order_by,
-        known_unique=known_unique,
     )
 
 
@@ -86,13 +84,13 @@ def scd2_initial(
     )
 
 
-def _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique):
+def _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by):
     """(current slice with a still-open flag, versions to open)."""
     if not keys:
         raise ValueError("a versioned dimension needs at least one key column")
     shared = [c for c in source.columns if c in target.columns]
     new_hash = row_hash(list(tracked) or [c for c in shared if c not in keys]).alias(_NEW_HASH)
-    rows = keyed_source(source, keys, dedupe_order_by, known_unique).select(*shared, new_hash)
+    rows = keyed_source(source, keys, dedupe_order_by).select(*shared, new_hash)
     current = target.filter(_is_open(names)).alias("t")
     changed = F.coalesce(field("t", names.row_hash) != field("s", _NEW_HASH), F.lit(False))
 
@@ -141,7 +139,6 @@ def scd2_parts(
     names: VersionColumns = VersionColumns(),
     close_missing: bool = True,
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> Scd2Parts:
     """Next state of a versioned table, as history / closed / current.
 
@@ -149,7 +146,7 @@ def scd2_parts(
     the current flag the history is then not even read.
     """
     keys = key_list(keys)
-    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique)
+    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by)
     end = moment(run_ts).cast(target.schema[names.valid_to].dataType)
     closed = (
         judged.filter(~F.col(_OPEN))
@@ -172,7 +169,6 @@ def scd2(
     names: VersionColumns = VersionColumns(),
     close_missing: bool = True,
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> DataFrame:
     """The whole next state of a versioned table in one plan.
 
@@ -180,7 +176,7 @@ def scd2(
     rows end at ``run_ts``, and earlier history is unchanged.
     """
     keys = key_list(keys)
-    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by, known_unique)
+    judged, opened = _judged(target, source, keys, tracked, run_ts, names, close_missing, dedupe_order_by)
     end = moment(run_ts).cast(target.schema[names.valid_to].dataType)
     kept = judged.withColumns(
         {

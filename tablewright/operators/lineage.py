@@ -81,37 +81,36 @@ def reachable_pairs(edges: DataFrame, roots: DataFrame | None = None, direction:
 def _peel(links: DataFrame) -> DataFrame:
     """(node, level) of all nodes that do not lie on or behind a cycle.
 
-    Level 1 waits for nothing; a node's level is one more than its deepest parent's. Each
-    round stores only the nodes that lost a parent, with how many, so the state written in
-    total is at most one row per edge however deep the graph is.
+    Level 1 waits for nothing; a node's level is one more than its deepest parent's. A round
+    follows the edges of the nodes that just became ready and adds up, per node reached, how
+    many of its parents are; each edge is followed once. Nodes still waiting are carried on.
     """
-    schema = _schema(links, resolved=LongType(), done=BooleanType(), level=IntegerType())
+    schema = _schema(links, ready=LongType(), parents=LongType(), done=BooleanType(), level=IntegerType())
     rounds = Rounds(links.sparkSession, "levels", schema)
-    parents = staged(links.groupBy(F.col("far").alias("node")).agg(F.count(F.lit(1)).alias("parents")), "parents")
-    sources = links.select(F.col("near").alias("node")).distinct().join(parents, ["node"], "left_anti")
+    count = F.count(F.lit(1))
+    waits_for = links.groupBy(F.col("far").alias("node")).agg(count.alias("parents"))
+    sources = links.select(F.col("near").alias("node")).distinct().join(waits_for, ["node"], "left_anti")
+    counted = staged(links.join(waits_for, links.far == waits_for.node).select("near", "far", "parents"), "counted")
+
+    none = F.lit(0).cast("bigint")
     frontier = rounds.add(
-        sources.select("node", F.lit(0).cast("bigint").alias("resolved"), F.lit(True).alias("done"), F.lit(1).alias("level"))
+        sources.select("node", none.alias("ready"), none.alias("parents"), F.lit(True).alias("done"), F.lit(1).alias("level"))
     )
     level = 1
-    while not frontier.isEmpty():
+    while not frontier.filter("done").isEmpty():
         level += 1
-        ready = frontier.filter("done").select("node")
-        lost = (
-            links.join(ready, links.near == ready.node)
-            .groupBy(F.col("far").alias("node"))
-            .agg(F.count(F.lit(1)).alias("resolved"))
+        done = frontier.filter("done").select("node")
+        reached = counted.join(done, counted.near == done.node).select(
+            F.col("far").alias("node"), F.lit(1).cast("bigint").alias("ready"), "parents"
         )
-        before = (
-            rounds.all()
-            .join(lost.select("node"), ["node"], "left_semi")
+        waiting = frontier.filter("NOT done").select("node", "ready", "parents")
+        totals = (
+            reached.unionByName(waiting)
             .groupBy("node")
-            .agg(F.sum("resolved").alias("before"))
+            .agg(F.sum("ready").alias("ready"), F.max("parents").alias("parents"))
         )
-        total = F.col("resolved") + F.coalesce(F.col("before"), F.lit(0))
         frontier = rounds.add(
-            lost.join(parents, ["node"])
-            .join(before, ["node"], "left")
-            .select("node", "resolved", (total == F.col("parents")).alias("done"), F.lit(level).alias("level"))
+            totals.select("node", "ready", "parents", (F.col("ready") == F.col("parents")).alias("done"), F.lit(level).alias("level"))
         )
     return rounds.all().filter("done").select("node", "level")
 

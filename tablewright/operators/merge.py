@@ -82,17 +82,14 @@ def keyed_source(
     source: DataFrame,
     keys: Sequence[str],
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> KeyedSource:
     """Prepare a source for keyed joins.
 
     A repeated key is resolved by ``dedupe_order_by``, or else fails the query: the check
     rides on the rows that look for their insertion, so the join that updates the target
-    stays free of it. ``known_unique`` skips both for a source prepared before.
+    stays free of it.
     """
     with_key, unkeyed = source.filter(has_key(keys)), source.filter(~has_key(keys))
-    if known_unique:
-        return KeyedSource(with_key, with_key, unkeyed)
     if dedupe_order_by:
         latest = own_shuffle(latest_per_key(with_key, keys, dedupe_order_by))
         return KeyedSource(latest, latest, unkeyed)
@@ -113,7 +110,6 @@ def upsert(
     update_if: Callable[[str, str], Column] | None = None,
     stamps: Mapping[str, Column] | None = None,
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> DataFrame:
     """Update matched rows, insert unmatched source rows, keep the rest of the target.
 
@@ -127,7 +123,7 @@ def upsert(
         raise ValueError("an upsert needs at least one key column")
     stamps = dict(stamps or {})
     shared = [c for c in source.columns if c in target.columns]
-    rows = keyed_source(source, keys, dedupe_order_by, known_unique).select(*shared)
+    rows = keyed_source(source, keys, dedupe_order_by).select(*shared)
 
     joined = target.alias("t").join(
         rows.matching.withColumn(_HIT, F.lit(True)).alias("s"), equal_keys("t", "s", keys), "left"
@@ -161,12 +157,11 @@ def merge(
     *,
     on_schema_change: str = "append_new_columns",
     dedupe_order_by: str | Sequence[str] | None = None,
-    known_unique: bool = False,
 ) -> DataFrame:
     """Every non-key source column overwrites matched rows; new keys are inserted by name."""
     keys = key_list(keys)
     target, _ = align_schemas(target, source, on_schema_change, keys)
-    return upsert(target, source, keys, dedupe_order_by=dedupe_order_by, known_unique=known_unique)
+    return upsert(target, source, keys, dedupe_order_by=dedupe_order_by)
 
 
 def delete_insert(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:

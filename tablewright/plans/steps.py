@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,12 @@ class Step:
 
     def rows(self, observation: Observation | None) -> int | None:
         # A failed step may never have run its query; asking would wait for ever.
-        return observation.get["rows"] if observation and self.status == "success" else None
+        if observation is None or self.status != "success":
+            return None
+        try:
+            return observation.get["rows"]
+        except Py4JError:  # Spark reports nothing for a plan it found to be empty
+            return 0
 
 
 class StepLog:

@@ -23,7 +23,7 @@ from ..config import (
     TableConfig,
     View,
 )
-from ..functions.columns import column, equal_keys, field, key_list, moment
+from ..functions.columns import column, equal_keys, field, has_key, key_list, moment
 from ..functions.partitioning import date_partition, list_partition, range_partition
 from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2_initial, scd2_parts
 from ..operators.merge import delete_insert, merge, one_row_per_key, overwrite_by_value, upsert
@@ -88,13 +88,22 @@ def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.table(commit.table_name(config.target_table))
 
 
-def _unique(source: DataFrame, keys: list[str], order_by) -> DataFrame:
-    """The source written out once with repeated keys resolved or refused.
+def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by, finish, partition_by=()) -> None:
+    """First load of a dimension: one row per key, or no table.
 
-    The transitions then read plain files of known size: Spark decides rightly whether to
-    broadcast, and the check for repeated keys is not repeated for each of their joins.
+    ``finish`` adds the audit columns. Without an order to choose by, the table is written
+    in one pass and its key columns are then checked for repeats.
     """
-    return staged(one_row_per_key(source, keys, order_by or None), "source")
+    if order_by:
+        source = one_row_per_key(staged(source, "source"), keys, order_by)
+    commit.create(finish(source), name, partition_by)
+    if order_by:
+        return
+    keyed = spark.table(commit.table_name(name)).filter(has_key(keys))
+    repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if repeated is not None:
+        spark.sql(f"DROP TABLE {commit.table_name(name)}")
+        raise ValueError(f"duplicate source key: {repeated.asDict()}")
 
 
 def _full_refresh(spark, config: FullRefresh, run):
@@ -124,7 +133,7 @@ def _incremental(spark, config: Incremental, run):
         if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
             partition_by = [by_value]
         if keys and config.dedupe_order_by:
-            source = one_row_per_key(source, keys, config.dedupe_order_by or None)
+            source = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by)
         commit.create(source, config.target_table, partition_by)
         return "incremental", {"first_run": True}
 
@@ -137,10 +146,10 @@ def _incremental(spark, config: Incremental, run):
     elif config.incremental_strategy == "merge" and keys:
         after = merge(
             target,
-            _unique(source, keys, config.dedupe_order_by),
+            staged(source, "source"),
             keys,
             on_schema_change=config.on_schema_change,
-            known_unique=True,
+            dedupe_order_by=config.dedupe_order_by or None,
         )
         commit.swap(after, config.target_table)
     elif config.incremental_strategy == "delete+insert" and keys:
@@ -194,7 +203,7 @@ def _partitioned(spark, config: Partitioned, run):
     keys = key_list(config.unique_key)
     if not commit.table_exists(spark, config.target_table):
         if keys and config.dedupe_order_by:
-            source = one_row_per_key(source, keys, config.dedupe_order_by or None)
+            source = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by)
         commit.create(source, config.target_table, [partition], config.cluster_by)
         return "partitioned", {"first_run": True}
 
@@ -202,8 +211,7 @@ def _partitioned(spark, config: Partitioned, run):
     if config.incremental_column:
         source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
     if keys:
-        unique = _unique(source, keys, config.dedupe_order_by)
-        _merge_touched(spark, config, target, unique, keys, partition)
+        _merge_touched(spark, config, target, staged(source, "source"), keys, partition)
     else:
         commit.append(conform(source, target), config.target_table, config.cluster_by)
     if config.partition_expiration_days:
@@ -235,7 +243,7 @@ def _merge_touched(spark, config, target, source, keys, partition):
     if not touched:
         return
     scope = commit.in_partitions(target, partition, [r.old for r in touched])
-    after = upsert(scope, source, keys, known_unique=True)
+    after = upsert(scope, source, keys, dedupe_order_by=config.dedupe_order_by or None)
     emptied = []
     if any(r.moved for r in touched):
         left_in = {r[0] for r in after.select(partition).distinct().collect()}
@@ -270,19 +278,20 @@ def _expire(spark, config: Partitioned, partition: str, run_date: date) -> None:
 
 
 def _scd1(spark, config: Scd1, run):
+    keys = key_list(config.unique_key)
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
-        source = one_row_per_key(source, key_list(config.unique_key), config.dedupe_order_by or None)
-        commit.create(scd1_initial(source, run.run_ts, config.updated_at_column), config.target_table)
+        finish = lambda df: scd1_initial(df, run.run_ts, config.updated_at_column)
+        _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, finish)
         return "scd_type_1", {"first_run": True}
     after = scd1(
         _target(spark, config),
-        _unique(source, key_list(config.unique_key), config.dedupe_order_by),
-        config.unique_key,
+        staged(source, "source"),
+        keys,
         config.tracked_columns,
         run.run_ts,
         updated_at=config.updated_at_column,
-        known_unique=True,
+        dedupe_order_by=config.dedupe_order_by or None,
     )
     commit.swap(after, config.target_table)
     return "scd_type_1", {"first_run": False}
@@ -301,23 +310,22 @@ def _scd2(spark, config: Scd2, run):
     keys = key_list(config.unique_key)
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
-        source = one_row_per_key(source, keys, config.dedupe_order_by or None)
-        first = scd2_initial(source, keys, config.tracked_columns, run.run_ts, names)
-        commit.create(first, config.target_table, [names.is_current])
+        finish = lambda df: scd2_initial(df, keys, config.tracked_columns, run.run_ts, names)
+        _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, finish, [names.is_current])
         return "scd_type_2", {"first_run": True}
 
     target = _target(spark, config)
+    source = staged(source, "source")
     parts = scd2_parts(
         target,
-        _unique(source, keys, config.dedupe_order_by),
+        source,
         keys,
         config.tracked_columns,
         run.run_ts,
         names=names,
         close_missing=config.invalidate_hard_deletes,
-        known_unique=True,
+        dedupe_order_by=config.dedupe_order_by or None,
     )
-    current = staged(parts.current, "current")
     newest = high_watermark(target.filter(column(names.is_current)), names.valid_from)
     closed = parts.closed
     if newest is not None:
@@ -326,10 +334,10 @@ def _scd2(spark, config: Scd2, run):
         same = equal_version("c", "h", [*keys, names.valid_from, names.row_hash])
         closed = closed.alias("c").join(recent, same, "left_anti")
     commit.append(closed, config.target_table)
-    if current.isEmpty():
+    if config.invalidate_hard_deletes and source.isEmpty():  # writing no rows would replace no partition
         commit.drop_partitions(spark, config.target_table, names.is_current, ["true"])
     else:
-        commit.replace_partitions(current, config.target_table)
+        commit.replace_partitions(parts.current, config.target_table)
     return "scd_type_2", {"first_run": False}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import key_list
 from ..operators.merge import one_row_per_key
+from ..scratch import staged
 
 # The public driver class or Spark format name of each vendor.
 JDBC_DRIVERS = {
@@ -120,5 +121,5 @@ def upsert_table(
     keys = key_list(merge_key)
     if not keys:
         raise ValueError("an upsert needs a merge key")
-    write_table(one_row_per_key(df, keys, order_by), source, stage_table, "replace")
+    write_table(one_row_per_key(staged(df, "load"), keys, order_by), source, stage_table, "replace")
     run_statement(merge_statement(table, stage_table, df.columns, keys))

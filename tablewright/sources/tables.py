@@ -41,8 +41,8 @@ def load(
 ) -> int:
     """Load rows into a catalog table, creating it with ``df``'s own types if absent.
 
-    ``replace`` swaps the contents, but an empty ``df`` is a no-op and old data stays.
-    ``upsert`` needs ``merge_key``; where a key repeats, the row greatest in ``order_by``
+    An empty ``df`` is a no-op in every mode: ``replace``, which swaps the contents, then
+    leaves the old data. ``upsert`` needs ``merge_key``; where a key repeats, the row greatest in ``order_by``
     wins (without ``order_by`` a repeated key is an error). Anything else appends.
     Returns the number of rows given.
     """
@@ -51,6 +51,8 @@ def load(
         warnings.warn(f"unknown load mode {mode!r}: appending", stacklevel=2)
     keys = key_list(merge_key)
 
+    if df.isEmpty():
+        return 0
     if mode == "upsert" and keys:
         source = staged(df, "load")
         if not commit.table_exists(spark, table):
@@ -61,8 +63,6 @@ def load(
             commit.swap(upsert(target, source, keys, dedupe_order_by=order_by), table)
         return source.count()
 
-    if mode == "replace" and df.isEmpty():
-        return 0
     given = Observation()
     counted = df.observe(given, F.count(F.lit(1)).alias("rows"))
     if not commit.table_exists(spark, table):

@@ -95,14 +95,22 @@ def test_step_log_counts_rows_and_reads_back(spark, tmp_path):
     with log.step("transform") as step:
         df = step.reading(spark.range(10)).filter("id % 2 = 0")
         step.writing(df).write.parquet(str(tmp_path / "out"))
+    with log.step("nothing") as step:
+        step.writing(spark.range(10).filter("id < 0").join(spark.range(3), "id")).collect()
     with pytest.raises(RuntimeError):
         with log.step("load"):
             raise RuntimeError("no disk")
     found = rows(log.frame(spark), "name", "status", "rows_in", "rows_out", "error")
-    assert found == [("load", "failed", None, None, "RuntimeError: no disk"), ("transform", "success", 10, 5, None)]
+    assert found == [
+        ("load", "failed", None, None, "RuntimeError: no disk"),
+        ("nothing", "success", None, 0, None),
+        ("transform", "success", 10, 5, None),
+    ]
     traces = spark.createDataFrame([(1, log.trace())], "id int, trace string")
     steps = explode_steps(traces, "trace", keep=["id"])
-    assert rows(steps, "id", "name", "rows_in", "error.message") == [(1, "load", None, "no disk"), (1, "transform", 10, None)]
+    assert rows(steps, "id", "name", "rows_in", "error.message") == [
+        (1, "load", None, "no disk"), (1, "nothing", None, None), (1, "transform", 10, None),
+    ]
 
 
 def test_watermarks(spark):

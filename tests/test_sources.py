@@ -82,7 +82,8 @@ def test_load_modes(spark, table):
     assert load(df((1, "a", 1), (2, "b", 1)), table) == 2
     assert load(df((2, "c", 2)), table, "append") == 1
     assert rows(spark.table(table), "id", "v") == [(1, "a"), (2, "b"), (2, "c")]
-    assert load(spark.createDataFrame([], schema), table, "replace") == 0
+    for mode in ("append", "replace", "upsert"):
+        assert load(spark.createDataFrame([], schema), table, mode, "id") == 0
     assert spark.table(table).count() == 3
     assert load(df((7, "z", 1)), table, "replace") == 1
     upserted = df((7, "old", 1), (7, "new", 3), (7, "mid", 2), (8, "h", 1))
