@@ -15,7 +15,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import column, quoted
+from ..functions.columns import column, field, quoted
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _VERSION = "__v-"
@@ -66,6 +66,30 @@ def append(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> None:
     out.select(*[column(c) for c in columns]).write.insertInto(table_name(name))
 
 
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro", "hive")
+
+
+def has_row_changes(spark: SparkSession, name: str) -> bool:
+    """Whether the table's provider, not being one of Spark's file formats, can MERGE."""
+    details = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)}")
+    provider = details.filter(F.col("col_name") == "Provider").first()
+    return provider is not None and provider["data_type"].lower() not in FILE_FORMATS
+
+
+def merge_into(source: DataFrame, name: str, keys: Sequence[str]) -> None:
+    """Merge through the table's own row-level support: one row per key in ``source``."""
+    target = table_name(name)
+    on = F.lit(True)
+    for key in keys:
+        on = on & (F.col(f"{target}.{quoted(key)}") == field("s", key))
+    given = {c: field("s", c) for c in source.columns}
+    changes = {c: v for c, v in given.items() if c not in keys}
+    writer = source.alias("s").mergeInto(target, on)
+    if changes:
+        writer = writer.whenMatched().update(changes)
+    writer.whenNotMatched().insert(given).merge()
+
+
 def swap(df: DataFrame, name: str) -> None:
     """Replace an unpartitioned table's rows and columns, reading it meanwhile if need be.
 

@@ -143,6 +143,10 @@ def _incremental(spark, config: Incremental, run):
 
     if config.incremental_strategy == "insert_overwrite":
         _overwrite(spark, config, target, source, by_value)
+    elif config.incremental_strategy == "merge" and keys and commit.has_row_changes(spark, config.target_table):
+        # The table format keeps its own schema rules; on_schema_change is left to it.
+        unique = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by or None)
+        commit.merge_into(unique, config.target_table, keys)
     elif config.incremental_strategy == "merge" and keys:
         after = merge(
             target,

@@ -285,3 +285,10 @@ def test_dotted_table_names(spark, table):
         result = materialize(spark, FullRefresh(target_table=f"analytics.{table}", source="SELECT 1 AS x"))
     assert result["table"] == f"analytics.{table}"
     assert spark.table(f"analytics.{table}").agg(F.sum("x")).first()[0] == 1
+
+
+def test_row_level_merge_is_left_to_table_formats_that_have_it(spark, table):
+    materialize(spark, FullRefresh(target_table=table, source="SELECT 1 AS k, 2 AS v"))
+    assert not commit.has_row_changes(spark, table)
+    with pytest.raises(Exception, match="MERGE"):  # the statement is sound, the file table cannot
+        commit.merge_into(spark.sql("SELECT 1 AS k, 3 AS v"), table, ["k"])

@@ -101,6 +101,7 @@ def test_watermark_reaches_the_scan(spark, tmp_path):
 def test_a_hot_partition_value_is_written_by_several_tasks(skewed, tmp_path):
     from tablewright.plans.commit import laid_out
 
+    skewed.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400kb")  # more than a cold value has
     day = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string"))
     df = skewed.range(0, 60_000, 1, 8).select(day.alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
     laid_out(df, ["day"], ["v"]).write.partitionBy("day").parquet(str(tmp_path / "out"))
