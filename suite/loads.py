@@ -24,6 +24,7 @@ from tablewright.sources.http import HttpPost, HttpPostWriter
 from .merges import CHANGES, changes
 from .registry import new_database, query, source
 
+PER_DOCUMENT = 10_000
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
@@ -81,12 +82,12 @@ def jsonl_roundtrip(spark, sf_dir):
 
 @query("json_documents", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def json_documents(spark, sf_dir):
-    """Files that are one JSON document each: arrays of records, as many as there are tasks."""
+    """Files that are one JSON document each, an array of records."""
     path = scratch_folder(spark, "customer-json")
-    pages = source(spark, sf_dir, "customer").withColumn("page", (F.col("c_custkey") / 500).cast("bigint"))
+    pages = source(spark, sf_dir, "customer").withColumn("page", (F.col("c_custkey") / PER_DOCUMENT).cast("bigint"))
     arrays = pages.groupBy("page").agg(
         F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))).alias("value")
-    )  # at most 500 records a page
+    )  # keys are unique, so at most PER_DOCUMENT records a page
     arrays.repartition("page").write.partitionBy("page").text(path)
     return read_records(spark, f"{path}/*", "json", schema=CUSTOMER_SCHEMA)
 

@@ -21,6 +21,14 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def observed(observation: Observation, name: str) -> int:
+    """A count observed by a query that has run; Spark reports none for a plan it found empty."""
+    try:
+        return observation.get[name]
+    except Py4JError:
+        return 0
+
+
 @dataclass
 class Step:
     """One step. Rows are counted while the data flows by, without a job of their own."""
@@ -43,12 +51,7 @@ class Step:
 
     def rows(self, observation: Observation | None) -> int | None:
         # A failed step may never have run its query; asking would wait for ever.
-        if observation is None or self.status != "success":
-            return None
-        try:
-            return observation.get["rows"]
-        except Py4JError:  # Spark reports nothing for a plan it found to be empty
-            return 0
+        return observed(observation, "rows") if observation and self.status == "success" else None
 
 
 class StepLog:

@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegralType, StringType
 
@@ -32,6 +32,7 @@ from ..operators.snapshots import snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
 from ..scratch import staged
 from . import commit
+from .steps import observed
 
 
 def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
@@ -51,10 +52,12 @@ def materialize(
     *,
     run_ts: datetime | None = None,
     snapshot_id: str | None = None,
+    count_rows: bool = True,
 ) -> dict:
     """Run ``config`` and return ``strategy``, ``table`` and, but for views, ``rows``.
 
-    ``run_ts`` (UTC, by default now) stamps audit columns and dates expiry, so a repeated
+    ``rows`` is the size of the table afterwards; ``count_rows=False`` leaves it out and saves
+    reading the footers of all its files. ``run_ts`` (UTC, by default now) stamps audit columns and dates expiry, so a repeated
     run can be given the time of the first.
     """
     handler = _HANDLERS.get(type(config))
@@ -66,7 +69,7 @@ def materialize(
     )
     strategy, extra = handler(spark, config, run)
     result = {"strategy": strategy, "table": config.target_table, **extra}
-    if strategy != "view":
+    if count_rows and strategy != "view":
         result["rows"] = commit.row_count(spark, config.target_table)
     return result
 
@@ -177,9 +180,12 @@ def _overwrite(spark, config, target, source, by_value):
         return
     # The target's other rows are never read. A NULL value matches nothing, so the old NULL
     # rows must survive the replacement of the NULL partition.
-    unset = source.filter(column(by_value).isNull())
-    commit.replace_partitions(source.filter(column(by_value).isNotNull()), config.target_table)
-    commit.append(unset, config.target_table)
+    unset = column(by_value).isNull()
+    seen = Observation()
+    counted = source.observe(seen, F.count_if(unset).alias("unset"))
+    commit.replace_partitions(counted.filter(~unset), config.target_table)
+    if observed(seen, "unset"):
+        commit.append(source.filter(unset), config.target_table)
 
 
 def partition_name(config: Partitioned) -> str:

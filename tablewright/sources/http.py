@@ -69,6 +69,8 @@ def fetch(url: str, headers: dict[str, str], timeout: float) -> str | None:
     if info.type == fs.FileType.Directory:  # one page written by Spark: its part file
         inside = files.get_file_info(fs.FileSelector(path))
         paths = sorted(f.path for f in inside if f.base_name.startswith("part-") and f.size)
+        if len(paths) > 1:
+            raise ValueError(f"{url} holds {len(paths)} files, but a page is one document")
         return files.open_input_stream(paths[0]).read().decode("utf-8") if paths else None
     if info.type == fs.FileType.NotFound:
         return None

@@ -13,6 +13,7 @@ from ..functions.columns import key_list
 from ..operators.merge import upsert
 from ..operators.schema import conform, describe
 from ..plans import commit
+from ..plans.steps import observed
 from ..scratch import staged
 
 
@@ -71,7 +72,7 @@ def load(
         commit.swap(counted, table)
     else:
         commit.append(conform(counted, spark.table(commit.table_name(table))), table)
-    return given.get["rows"]
+    return observed(given, "rows")
 
 
 __all__ = ["execute", "extract", "load", "table_schema"]

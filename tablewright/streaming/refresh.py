@@ -55,7 +55,7 @@ def refresh_stream(
             run_ts = batch.agg(F.max(column(run_ts_column)).alias("at")).first()["at"]
             if run_ts is None:
                 return  # an empty batch
-        materialize(batch.sparkSession, replace(config, source=batch), run_ts=run_ts)
+        materialize(batch.sparkSession, replace(config, source=batch), run_ts=run_ts, count_rows=False)
         # Batches run in a session of their own; the caller's must not keep the old files.
         session.catalog.refreshTable(config.target_table)
 

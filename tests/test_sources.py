@@ -151,6 +151,14 @@ def test_paged_source_follows_the_response_path(spark, tmp_path):
     assert rows(single, "record") == [('{"data": {"items": [{"id": 1}]}}',)]
 
 
+def test_a_page_of_several_files_is_refused(spark, tmp_path):
+    (tmp_path / "1").mkdir()
+    for n in (0, 1):
+        (tmp_path / "1" / f"part-{n}.txt").write_text("[]")
+    with pytest.raises(Exception, match="a page is one document"):
+        read_pages(spark, f"file://{tmp_path}/{{page}}", max_pages=1).collect()
+
+
 def test_page_urls_and_headers():
     from tablewright.sources.http import PagedHttpReader
 
