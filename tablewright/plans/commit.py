@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import column, field, quoted
+from ..scratch import remove_folder
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _VERSION = "__v-"
@@ -117,7 +118,7 @@ def swap(df: DataFrame, name: str) -> None:
         spark.sql(f"ALTER TABLE {quoted_name} ADD COLUMNS ({added})")
     spark.sql(f"ALTER TABLE {quoted_name} SET LOCATION {_text(new)}")
     spark.catalog.refreshTable(name)
-    _remove(spark, old)
+    remove_folder(spark, old)
 
 
 def replace_partitions(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> None:
@@ -166,12 +167,6 @@ def _location(spark: SparkSession, name: str) -> str:
     return details.filter(F.col("col_name") == "Location").first()["data_type"]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession):
     setting = "spark.sql.sources.partitionOverwriteMode"

@@ -30,7 +30,7 @@ from ..operators.merge import delete_insert, merge, one_row_per_key, overwrite_b
 from ..operators.schema import align_schemas, conform
 from ..operators.snapshots import snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
-from ..scratch import staged
+from ..scratch import discarding_stages, staged
 from . import commit
 from .steps import observed
 
@@ -67,7 +67,8 @@ def materialize(
         run_ts=run_ts or datetime.now(timezone.utc).replace(tzinfo=None),
         snapshot_id=snapshot_id or uuid.uuid4().hex[:8],
     )
-    strategy, extra = handler(spark, config, run)
+    with discarding_stages(spark):
+        strategy, extra = handler(spark, config, run)
     result = {"strategy": strategy, "table": config.target_table, **extra}
     if count_rows and strategy != "view":
         result["rows"] = commit.row_count(spark, config.target_table)
@@ -102,11 +103,18 @@ def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by
     commit.create(finish(source), name, partition_by)
     if order_by:
         return
-    keyed = spark.table(commit.table_name(name)).filter(has_key(keys))
-    repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
-    if repeated is not None:
+    try:
+        _refuse_repeats(spark.table(commit.table_name(name)), keys)
+    except ValueError:
         spark.sql(f"DROP TABLE {commit.table_name(name)}")
-        raise ValueError(f"duplicate source key: {repeated.asDict()}")
+        raise
+
+
+def _refuse_repeats(df: DataFrame, keys: list[str]) -> None:
+    repeated = df.filter(has_key(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    example = repeated.first()
+    if example is not None:
+        raise ValueError(f"duplicate source key: {example.asDict()}")
 
 
 def _full_refresh(spark, config: FullRefresh, run):
@@ -326,6 +334,8 @@ def _scd2(spark, config: Scd2, run):
 
     target = _target(spark, config)
     source = staged(source, "source")
+    if not config.dedupe_order_by:
+        _refuse_repeats(source, keys)  # before the first of the two commits
     parts = scd2_parts(
         target,
         source,

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -32,6 +34,33 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("tablewright_scope", default=None)
+
+
+@contextmanager
+def discarding_stages(spark: SparkSession):
+    """Remove what :func:`staged` wrote inside the block when it ends.
+
+    For jobs that commit their result before the block ends; nothing lazy may outlive it.
+    """
+    outer, folders = _scope.get(), []
+    token = _scope.set(folders)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for folder in folders:
+            if outer is None:
+                remove_folder(spark, folder)
+            else:
+                outer.append(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -39,6 +68,8 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     sees the same rows, and the file sizes tell Spark truthfully whether it may broadcast.
     """
     path = scratch_folder(df.sparkSession, label)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

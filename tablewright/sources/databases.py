@@ -121,5 +121,6 @@ def upsert_table(
     keys = key_list(merge_key)
     if not keys:
         raise ValueError("an upsert needs a merge key")
-    write_table(one_row_per_key(staged(df, "load"), keys, order_by), source, stage_table, "replace")
+    with discarding_stages(df.sparkSession):
+        write_table(one_row_per_key(staged(df, "load"), keys, order_by), source, stage_table, "replace")
     run_statement(merge_statement(table, stage_table, df.columns, keys))

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_list
-from ..operators.merge import upsert
+from ..operators.merge import one_row_per_key, upsert
 from ..operators.schema import conform, describe
 from ..plans import commit
 from ..plans.steps import observed
-from ..scratch import staged
+from ..scratch import discarding_stages, staged
 
 
 def extract(spark: SparkSession, query: str, params: Mapping[str, Any] | Sequence[Any] | None = None) -> DataFrame:
@@ -55,14 +55,14 @@ def load(
     if df.isEmpty():
         return 0
     if mode == "upsert" and keys:
-        source = staged(df, "load")
-        if not commit.table_exists(spark, table):
-            target = spark.createDataFrame([], df.schema)
-            commit.create(upsert(target, source, keys, dedupe_order_by=order_by), table)
-        else:
-            target = spark.table(commit.table_name(table))
-            commit.swap(upsert(target, source, keys, dedupe_order_by=order_by), table)
-        return source.count()
+        with discarding_stages(spark):
+            source = staged(df, "load")
+            if commit.table_exists(spark, table):
+                target = spark.table(commit.table_name(table))
+                commit.swap(upsert(target, source, keys, dedupe_order_by=order_by), table)
+            else:
+                commit.create(one_row_per_key(source, keys, order_by), table)
+            return source.count()
 
     given = Observation()
     counted = df.observe(given, F.count(F.lit(1)).alias("rows"))

@@ -292,3 +292,20 @@ def test_row_level_merge_is_left_to_table_formats_that_have_it(spark, table):
     assert not commit.has_row_changes(spark, table)
     with pytest.raises(Exception, match="MERGE"):  # the statement is sound, the file table cannot
         commit.merge_into(spark.sql("SELECT 1 AS k, 3 AS v"), table, ["k"])
+
+
+def test_staged_sources_are_removed_when_the_table_is_committed(spark, table):
+    from pathlib import Path
+
+    from tablewright.scratch import scratch_root
+
+    def stages():
+        return {p.name for p in Path(scratch_root(spark).removeprefix("file:")).iterdir() if p.name.startswith("source-")}
+
+    before = stages()
+    for v in (1, 2):
+        materialize(spark, Scd2(target_table=table, source=f"SELECT 1 AS k, {v} AS v", unique_key="k", dedupe_order_by="v"))
+    with pytest.raises(Exception, match="duplicate source key"):
+        materialize(spark, Scd2(target_table=table, source="SELECT 1 AS k, id AS v FROM range(2)", unique_key="k"))
+    assert stages() == before
+    assert rows(spark.table(table), "v", "is_current") == [(1, False), (2, True)]
