@@ -35,8 +35,21 @@ def row_count(spark: SparkSession, name: str) -> int:
     return spark.table(table_name(name)).count()
 
 
+def _described(spark: SparkSession, name: str) -> tuple[list[str], dict[str, str]]:
+    """(partition columns, details such as Location and Provider) from one DESCRIBE."""
+    partitions, details, section = [], {}, ""
+    for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)}").collect():  # one row per column
+        if row.col_name.startswith("# ") and row.col_name != "# col_name":
+            section = row.col_name
+        elif section == "# Partition Information" and row.col_name not in ("", "# col_name"):
+            partitions.append(row.col_name)
+        elif section == "# Detailed Table Information":
+            details[row.col_name] = row.data_type
+    return partitions, details
+
+
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    return _described(spark, name)[0]
 
 
 def laid_out(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -72,9 +85,7 @@ FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro", "hive")
 
 def has_row_changes(spark: SparkSession, name: str) -> bool:
     """Whether the table's provider, not being one of Spark's file formats, can MERGE."""
-    details = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)}")
-    provider = details.filter(F.col("col_name") == "Provider").first()
-    return provider is not None and provider["data_type"].lower() not in FILE_FORMATS
+    return _described(spark, name)[1].get("Provider", "hive").lower() not in FILE_FORMATS
 
 
 def merge_into(source: DataFrame, name: str, keys: Sequence[str]) -> None:
@@ -100,12 +111,13 @@ def swap(df: DataFrame, name: str) -> None:
     other sessions that read it before must refresh it.
     """
     spark = df.sparkSession
-    if partition_columns(spark, name):
+    partitions, details = _described(spark, name)
+    if partitions:
         raise ValueError(f"{name} is partitioned; replace its partitions instead")
     quoted_name = table_name(name)
     before = [(f.name, f.dataType) for f in spark.table(quoted_name).schema]
     after = [(f.name, f.dataType) for f in df.schema]
-    old = _location(spark, name)
+    old = details["Location"]
     new = f"{old.rstrip('/').split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").save(new)
     if after[: len(before)] != before:
@@ -162,11 +174,6 @@ def _text(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _location(spark: SparkSession, name: str) -> str:
-    details = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)}")
-    return details.filter(F.col("col_name") == "Location").first()["data_type"]
-
-
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession):
     setting = "spark.sql.sources.partitionOverwriteMode"
