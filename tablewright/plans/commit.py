@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import column, field, quoted
-from ..scratch import remove_folder
+from ..scratch import remove_folder, staged
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _VERSION = "__v-"
@@ -133,6 +133,25 @@ def swap(df: DataFrame, name: str) -> None:
     remove_folder(spark, old)
 
 
+def rewrite(df: DataFrame, name: str) -> None:
+    """Replace all rows of a table, whether or not it is partitioned.
+
+    A partitioned table gets every partition that ``df`` fills; those it leaves empty are
+    dropped after that. ``df`` is written out first, being needed for both.
+    """
+    spark = df.sparkSession
+    partitions = partition_columns(spark, name)
+    if not partitions:
+        return swap(df, name)
+    if len(partitions) > 1:
+        raise ValueError(f"{name} is partitioned by several columns: {partitions}")
+    ready = staged(df, "rewrite")
+    before = partition_values(spark, name)
+    filled = ready.select(column(partitions[0]).cast("string")).distinct().collect()  # one row per partition
+    replace_partitions(ready, name)
+    drop_partitions(spark, name, partitions[0], [v for v in before if v not in {r[0] for r in filled}])
+
+
 def replace_partitions(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> None:
     """Replace exactly the partitions that occur in ``df``; others are not read or written."""
     spark = df.sparkSession

@@ -25,10 +25,10 @@ from ..config import (
 )
 from ..functions.columns import column, equal_keys, field, has_key, key_list, moment
 from ..functions.partitioning import date_partition, list_partition, range_partition
-from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2_initial, scd2_parts
+from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2, scd2_initial, scd2_parts
 from ..operators.merge import delete_insert, merge, one_row_per_key, overwrite_by_value, upsert
 from ..operators.schema import align_schemas, conform
-from ..operators.snapshots import snapshot_rows
+from ..operators.snapshots import prune_snapshots, snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
 from ..scratch import discarding_stages, staged
 from . import commit
@@ -166,10 +166,10 @@ def _incremental(spark, config: Incremental, run):
             on_schema_change=config.on_schema_change,
             dedupe_order_by=config.dedupe_order_by or None,
         )
-        commit.swap(after, config.target_table)
+        commit.rewrite(after, config.target_table)
     elif config.incremental_strategy == "delete+insert" and keys:
         target, source = align_schemas(target, source, config.on_schema_change, keys)
-        commit.swap(delete_insert(target, staged(source), keys), config.target_table)
+        commit.rewrite(delete_insert(target, staged(source), keys), config.target_table)
     else:
         if config.incremental_strategy not in ("merge", "delete+insert", "append"):
             warnings.warn(f"unknown incremental_strategy {config.incremental_strategy!r}: appending", stacklevel=3)
@@ -184,7 +184,7 @@ def _partitionable(df: DataFrame, name: str) -> bool:
 def _overwrite(spark, config, target, source, by_value):
     source = conform(source, target)
     if commit.partition_columns(spark, config.target_table) != [by_value]:
-        commit.swap(overwrite_by_value(target, staged(source), by_value), config.target_table)
+        commit.rewrite(overwrite_by_value(target, staged(source), by_value), config.target_table)
         return
     # The target's other rows are never read. A NULL value matches nothing, so the old NULL
     # rows must survive the replacement of the NULL partition.
@@ -311,7 +311,7 @@ def _scd1(spark, config: Scd1, run):
         updated_at=config.updated_at_column,
         dedupe_order_by=config.dedupe_order_by or None,
     )
-    commit.swap(after, config.target_table)
+    commit.rewrite(after, config.target_table)
     return "scd_type_1", {"first_run": False}
 
 
@@ -336,16 +336,16 @@ def _scd2(spark, config: Scd2, run):
     source = staged(source, "source")
     if not config.dedupe_order_by:
         _refuse_repeats(source, keys)  # before the first of the two commits
-    parts = scd2_parts(
-        target,
-        source,
-        keys,
-        config.tracked_columns,
-        run.run_ts,
-        names=names,
-        close_missing=config.invalidate_hard_deletes,
-        dedupe_order_by=config.dedupe_order_by or None,
-    )
+    options = {
+        "names": names,
+        "close_missing": config.invalidate_hard_deletes,
+        "dedupe_order_by": config.dedupe_order_by or None,
+    }
+    if commit.partition_columns(spark, config.target_table) != [names.is_current]:  # not made by this library
+        after = scd2(target, source, keys, config.tracked_columns, run.run_ts, **options)
+        commit.rewrite(after, config.target_table)
+        return "scd_type_2", {"first_run": False}
+    parts = scd2_parts(target, source, keys, config.tracked_columns, run.run_ts, **options)
     newest = high_watermark(target.filter(column(names.is_current)), names.valid_from)
     closed = parts.closed
     if newest is not None:
@@ -386,7 +386,9 @@ def _snapshot(spark, config: Snapshot, run):
         commit.create(rows, config.target_table, [stamp])
     else:
         commit.append(conform(rows, _target(spark, config)), config.target_table)
-        if config.retain_snapshots:
+        if config.retain_snapshots and commit.partition_columns(spark, config.target_table) != [stamp]:
+            commit.rewrite(prune_snapshots(_target(spark, config), stamp, config.retain_snapshots), config.target_table)
+        elif config.retain_snapshots:
             stamps = sorted((v for v in commit.partition_values(spark, config.target_table) if v), reverse=True)
             commit.drop_partitions(spark, config.target_table, stamp, stamps[config.retain_snapshots :])
     return "snapshot", {"first_run": first, "snapshot_id": run.snapshot_id}

@@ -309,3 +309,27 @@ def test_staged_sources_are_removed_when_the_table_is_committed(spark, table):
         materialize(spark, Scd2(target_table=table, source="SELECT 1 AS k, id AS v FROM range(2)", unique_key="k"))
     assert stages() == before
     assert rows(spark.table(table), "v", "is_current") == [(1, False), (2, True)]
+
+
+def test_tables_laid_out_otherwise_are_maintained_too(spark, table):
+    """Partitioned where the strategy writes plain tables, plain where it partitions."""
+    df(spark, "k int, part string, v int", (1, "a", 1), (2, "b", 2), (3, None, 3)).write.partitionBy("part").saveAsTable(table)
+    columns = ["k", "part", "v"]
+    incremental(spark, table, "merge", df(spark, "k int, part string, v int", (1, "c", 9), (3, None, 8)), unique_key="k")
+    assert rows(spark.table(table), *columns) == [(1, "c", 9), (2, "b", 2), (3, None, 8)]
+    assert set(commit.partition_values(spark, table)) == {"b", "c", None}
+    incremental(spark, table, "delete+insert", df(spark, "k int, part string, v int", (3, "b", 7)), unique_key="k")
+    assert rows(spark.table(table), *columns) == [(1, "c", 9), (2, "b", 2), (3, "b", 7)]
+    assert set(commit.partition_values(spark, table)) == {"b", "c"}
+
+    plain = spark.sql(
+        "SELECT 1 AS customer_id, 'a' AS tier, TIMESTAMP_NTZ '2026-01-01' AS valid_from, CAST(NULL AS TIMESTAMP_NTZ) AS valid_to,"
+        " true AS is_current, md5('a') AS row_hash"
+    )
+    plain.write.saveAsTable(f"{table}_dim")
+    materialize(spark, scd2_config(spark, f"{table}_dim", (1, "b")), run_ts=T1)
+    assert versions(spark, f"{table}_dim") == [(1, "a", T0, T1, False), (1, "b", T1, None, True)]
+
+    spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2026-01-01' AS snapshot_at, 'x' AS snapshot_id").write.saveAsTable(f"{table}_snap")
+    materialize(spark, Snapshot(target_table=f"{table}_snap", source="SELECT 2 AS id", retain_snapshots=1), run_ts=T1)
+    assert rows(spark.table(f"{table}_snap"), "id") == [(2,)]
