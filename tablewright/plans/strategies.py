@@ -41,11 +41,6 @@ def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.sql(config.source, args=dict(config.params) if config.params else None)
 
 
-def register_sql_source(df: DataFrame, name: str) -> None:
-    """Let SQL sources refer to ``df`` as ``name``."""
-    df.createOrReplaceTempView(name)
-
-
 def materialize(
     spark: SparkSession,
     config: TableConfig,
