@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..operators.merge import own_shuffle
 from ..scratch import staged
 from .batches import Texts, explode_texts, extend
 
@@ -204,11 +205,11 @@ def repeats(keyed: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
     all_segments = staged(explode_texts(keyed, "text", SEGMENT, _segment_rows(window, gram)), "segments")
     # seeds: anchors that occur in two documents at least
     shared = all_segments.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    seeds = staged(all_segments.join(shared.select("anchor"), "anchor", "left_semi"), "seeds")
+    seeds = staged(all_segments.join(own_shuffle(shared.select("anchor")), "anchor", "left_semi"), "seeds")
     # extension: the first document of each whole context, and how many contexts an anchor has
     contexts = staged(seeds.groupBy("anchor", "context").agg(F.min("id").alias("first"), F.max("id").alias("last")), "contexts")
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    marked = contexts.join(several, "anchor", "left").filter("first < last or contexts > 1")
+    marked = contexts.join(own_shuffle(several), "anchor", "left").filter("first < last or contexts > 1")
     marked = staged(marked.select("anchor", "context", "first", (F.col("contexts") > 1).alias("open")), "marked")
     met = seeds.join(marked, ["anchor", "context"])
     whole = met.filter("id > first").select("id", "row", "start", "windows")
