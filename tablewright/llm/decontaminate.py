@@ -78,7 +78,7 @@ class Automaton:
         self.empty = not windows
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged runs [first, last) of hit words, and the items whose windows occur."""
+        """Runs [first, last) of hit words, overlapping ones united, and the items whose windows occur."""
         if self.empty:
             return [], set()
         number = self.numbers.get
@@ -87,7 +87,7 @@ class Automaton:
         for last, (length, found) in self.machine.iter(tuple([number(w, 0) for w in words])):
             items.update(found)
             first = last + 1 - length
-            while runs and runs[-1][1] >= first:
+            while runs and runs[-1][1] > first:
                 first = min(first, runs.pop()[0])
             runs.append((first, last + 1))
         return runs, items
@@ -149,7 +149,7 @@ def _united(found, text_col, fields, keep_spans, share):
 
     def join(done, span):
         last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (last["end"] >= span["start"])
+        touches = (F.size(done) > 0) & (last["end"] > span["start"])
         longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
         head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(touches, F.concat(head, F.array(longer))).otherwise(F.concat(done, F.array(span)))

@@ -215,6 +215,9 @@ def text_of(node: Node) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    opened = html.rfind("<!--")
+    if opened > html.rfind("-->"):  # a comment that never ends reaches to the end
+        html = html[:opened]
     tree = Tree()
     tree.feed(html)
     tree.close()

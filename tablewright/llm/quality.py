@@ -37,7 +37,7 @@ POSITIVES = 10_000
 UNLABELLED = 20_000
 STEPS = 600
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 5e-3
 #: Where a positive is predicted.
 THRESHOLD = 0.3
 #: Values this many deviations from the mean say no more than that.
@@ -49,22 +49,22 @@ class Model:
     names: list[str]
     means: np.ndarray
     scales: np.ndarray
-    weights: np.ndarray  # of the clipped deviations, their squares, and one
+    weights: np.ndarray  # of the clipped deviations, and of one
     prior: float
 
     def column(self, columns: dict[str, Column]) -> Column:
         """The score as a Spark expression."""
-        total, k = F.lit(float(self.weights[-1])), len(self.names)
+        total = F.lit(float(self.weights[-1]))
         for i, name in enumerate(self.names):
             z = (columns[name] - F.lit(float(self.means[i]))) / F.lit(float(self.scales[i]))
             z = F.least(F.greatest(z, F.lit(-CLIP)), F.lit(CLIP))
-            total = total + z * F.lit(float(self.weights[i])) + z * z * F.lit(float(self.weights[k + i]))
+            total = total + z * F.lit(float(self.weights[i]))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def _features(x: np.ndarray, means: np.ndarray, scales: np.ndarray) -> np.ndarray:
     z = np.clip((x - means) / scales, -CLIP, CLIP)
-    return np.hstack([z, z * z, np.ones((len(z), 1))])
+    return np.hstack([z, np.ones((len(z), 1))])
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ def fit(names: list[str], positives: np.ndarray, unlabelled: np.ndarray) -> Mode
     both = np.vstack([positives, unlabelled]) if len(positives) else unlabelled
     if not len(positives) or not len(unlabelled):
         k = len(names)
-        return Model(names, np.zeros(k), np.ones(k), np.zeros(2 * k + 1), 0.5)
+        return Model(names, np.zeros(k), np.ones(k), np.zeros(k + 1), 0.5)
     means = both.mean(axis=0)
     scales = np.maximum(both.std(axis=0), 1e-6)
     p, u = _features(positives, means, scales), _features(unlabelled, means, scales)
