@@ -9,6 +9,11 @@ Sizes bound the coefficient: for sizes a and b it is at most 2 min(a, b) / (a +
 templates with t / (2 - t) * a <= b <= (2 - t) / t * a are compared with a unit of size a. They
 are looked up by size, so most units are compared with none.
 
+A shared bigram needs its words. A unit that reaches t with a template of size b shares at least
+t / (2 - t) * b of its bigrams, so it has a word of any set of words that all but fewer bigrams
+contain. A small such set is chosen for all templates together; text without any of these words
+is not normalised at all. This loses nothing: it is a bound like that on sizes.
+
 At scale: everything is a projection of the row it is about: no shuffle, no join, nothing
 collected. The templates are literals in the plan; they are few, and their number is limited by
 ``MOST_TEMPLATES``, beyond which the call fails instead of leaving any out.
@@ -20,6 +25,7 @@ coefficients: the lesser name is the best. Repeated rows are judged one by one.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,17 +115,49 @@ def bigrams(found: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def _sizes(templates: Mapping[str, str], least: float) -> tuple[dict[str, list[str]], int, int]:
+def needed_words(sets: Mapping[str, list[str]], least: float) -> list[str]:
+    """Words of which every unit that shows a template has one, few and long ones first."""
+    missing = {name: len(grams) - ceil(least * len(grams) / (2 - least) - 1e-9) + 1 for name, grams in sets.items()}
+    left = {name: set(grams) for name, grams in sets.items()}
+    found: list[str] = []
+    while any(n > 0 for n in missing.values()):
+        gains: dict[str, int] = {}
+        for name, grams in left.items():
+            if missing[name] > 0:
+                touched: dict[str, int] = {}
+                for gram in grams:
+                    for word in set(gram.split()):
+                        touched[word] = touched.get(word, 0) + 1
+                for word, n in touched.items():
+                    gains[word] = gains.get(word, 0) + min(n, missing[name])
+        best = max(sorted(gains), key=lambda w: gains[w] * len(w) ** 2)
+        found.append(best)
+        for name, grams in left.items():
+            gone = {g for g in grams if best in g.split()}
+            left[name] = grams - gone
+            missing[name] -= len(gone)
+    return found
+
+
+def _has_any(text: Column, needed: list[str]) -> Column:
+    """Whether the words occur in the text, as parts of others too; lower() changes ASCII letters like translate()."""
+    lower, found = F.lower(text), F.lit(False)
+    for word in needed:
+        found = found | F.contains(lower, F.lit(word))
+    return F.coalesce(found, F.lit(False))
+
+
+def _sizes(templates: Mapping[str, str], least: float) -> tuple[dict[str, list[str]], int]:
+    """Bigrams of the templates that have any, and the size of the largest unit to compare."""
     sets = {name: bigrams_of(text) for name, text in sorted(templates.items())}
     sets = {name: grams for name, grams in sets.items() if grams}
-    sizes = [len(g) for g in sets.values()]
-    bound = (2 - least) / least
-    return sets, int(min(sizes, default=1) / bound), int(max(sizes, default=0) * bound) + 1
+    largest = max((len(g) for g in sets.values()), default=0)
+    return sets, int(largest * (2 - least) / least) + 1
 
 
 def notices(unit: Column, templates: Mapping[str, str], least: float) -> Column:
     """array<struct<license, dice>> of the templates that a unit shows."""
-    sets, _, most = _sizes(templates, least)
+    sets, most = _sizes(templates, least)
     kind = "array<struct<license:string,dice:double>>"
     if not sets:
         return F.array().cast(kind)
@@ -140,7 +178,8 @@ def notices(unit: Column, templates: Mapping[str, str], least: float) -> Column:
             chosen = F.when(hit, found) if chosen is None else chosen.when(hit, found)
         return chosen.otherwise(F.array().cast(kind)) if chosen is not None else F.array().cast(kind)
 
-    return F.element_at(F.transform(F.array(bigrams(words(unit))), compared), 1)
+    shown = F.element_at(F.transform(F.array(bigrams(words(unit))), compared), 1)
+    return F.when(_has_any(unit, needed_words(sets, least)), shown).otherwise(F.array().cast(kind))
 
 
 def _ranges(within: Mapping[int, list[str]]) -> list[tuple[int, int, list[str]]]:
@@ -171,6 +210,8 @@ def scan(
     several = F.size(lines) > 1
     units = F.concat(lines, F.when(several, F.array(text)).otherwise(F.array().cast("array<string>")))
     shown = F.transform(units, lambda unit: notices(unit, templates, least))
+    possible = _has_any(text, needed_words(_sizes(templates, least)[0], least))
+    shown = F.when(possible, shown).otherwise(F.array().cast("array<array<struct<license:string,dice:double>>>"))
     bare = docs.select(F.col(f"`{id_col}`").alias(id_col), F.size(lines).cast("bigint").alias("n_lines"), shown.alias("shown"))
     flat = F.flatten("shown")
     best = F.array_max(F.transform(flat, lambda s: s["dice"]))
