@@ -86,6 +86,10 @@ TEMPLATES = {
 }
 
 
+#: Words of ordinary prose, which tell least about a text.
+COMMON = frozenset("a an and any as at be by for free from in is it not of on or out so that the this to under with without you".split())
+
+
 def words_of(text: str) -> list[str]:
     """The words of a template, as :func:`words` finds those of a column."""
     plain = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in _lower(text))
@@ -130,7 +134,7 @@ def needed_words(sets: Mapping[str, list[str]], least: float) -> list[str]:
                         touched[word] = touched.get(word, 0) + 1
                 for word, n in touched.items():
                     gains[word] = gains.get(word, 0) + min(n, missing[name])
-        best = max(sorted(gains), key=lambda w: gains[w] * len(w) ** 2)
+        best = max(sorted(gains), key=lambda w: (w not in COMMON, gains[w] * len(w) ** 2))
         found.append(best)
         for name, grams in left.items():
             gone = {g for g in grams if best in g.split()}
