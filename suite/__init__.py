@@ -1,6 +1,20 @@
 """Runnable queries over the test tables, each with SQL that states its expected result."""
 
-from . import dimensions, graph, loads, merges, partitions, quality, reports, snapshots, streams
+from . import changes, dimensions, graph, loads, merges, partitions, quality, reports, snapshots, streams, warehouse
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dimensions", "graph", "loads", "merges", "partitions", "quality", "reports", "snapshots", "streams"]
+__all__ = [
+    "QUERIES",
+    "SQL",
+    "changes",
+    "dimensions",
+    "graph",
+    "loads",
+    "merges",
+    "partitions",
+    "quality",
+    "reports",
+    "snapshots",
+    "streams",
+    "warehouse",
+]

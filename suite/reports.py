@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tablewright.operators import current_rows
-from tablewright.plans import build_sales_warehouse
 
 from .dimensions import TWO_RUNS, two_runs
 from .registry import new_database, query, source
@@ -157,42 +156,3 @@ def api_cleanup(spark, sf_dir):
         F.coalesce("u.name", F.lit("Unknown")).alias("name"),
         F.coalesce("u.subscription.plan", F.lit("free")).alias("plan"),
     )
-
-
-@query(
-    "warehouse_etl",
-    """
-    SELECT CAST(o_orderdate AS DATE) AS date,
-           CAST(sum(CAST(CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN o_totalprice * 2 ELSE o_totalprice END AS DECIMAL(18, 2))) AS DOUBLE) AS revenue,
-           count(*) AS orders
-    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1
-    """,
-)
-def warehouse_etl(spark, sf_dir):
-    """Two runs of the warehouse job, read through its revenue view.
-
-    The first run loads orders up to a date; the second delivers all of them with doubled
-    totals, of which the high-water mark admits the newer ones.
-    """
-    database = new_database(spark)
-    products = source(spark, sf_dir, "part").selectExpr("p_partkey AS product_id", "p_name AS name", "p_type AS category")
-    customers = source(spark, sf_dir, "customer").selectExpr("c_custkey AS customer_id", "c_name AS name", "c_mktsegment AS tier")
-    first_part = source(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("product_id"))
-    orders = (
-        source(spark, sf_dir, "orders")
-        .join(first_part, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select(
-            F.col("o_orderkey").alias("order_id"),
-            "product_id",
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_totalprice").cast(MONEY).alias("total"),
-            F.col("o_orderdate").alias("created_at"),
-            F.col("o_orderdate").alias("updated_at"),
-        )
-    )
-    early = orders.filter("created_at < '1999-01-01'")
-    doubled = orders.withColumn("total", (F.col("total") * 2).cast(MONEY))
-    moved = customers.withColumn("tier", F.lower("tier"))
-    build_sales_warehouse(spark, database, products, customers, early, datetime(2026, 1, 1))
-    build_sales_warehouse(spark, database, products, moved, doubled, datetime(2026, 1, 2))
-    return spark.table(f"{database}.v_daily_revenue").withColumn("revenue", F.col("revenue").cast("double"))

@@ -24,6 +24,13 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
+def events_in_batches(spark, sf_dir, batches: int = 4):
+    """The events in several files, one micro-batch each, in no order of time."""
+    path = scratch_folder(spark, "event-batches")
+    source(spark, sf_dir, "events").repartition(batches, F.col("event_id") % 97).write.parquet(path)
+    return spark.readStream.schema(source(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def finished(stream_query):
     stream_query.awaitTermination()
     if stream_query.exception() is not None:
@@ -32,9 +39,9 @@ def finished(stream_query):
 
 @query("stream_merge", f"SELECT user_id, event_id, ts, event_type, value FROM ({LATEST}) l")
 def stream_merge(spark, sf_dir):
-    """The latest event of every user."""
+    """The latest event of every user, whichever batch brings it."""
     table = f"{new_database(spark)}.latest"
-    events = event_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
+    events = events_in_batches(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
     config = Incremental(target_table=table, source="", unique_key="user_id", dedupe_order_by=["ts", "event_id"])
     finished(refresh_stream(events, config, scratch_folder(spark, "merge-stream")))
     return spark.table(table)

@@ -1,5 +1,7 @@
 """What to build: one small dataclass per way of maintaining a table.
 
+The names of parameters and their defaults are fixed values of the public interface.
+
 ``source`` is Spark SQL text (with optional named ``params``) or a DataFrame.
 """
 
@@ -45,6 +47,7 @@ class Incremental(TableConfig):
     on_schema_change: str = "append_new_columns"
     overwrite_column: str = ""
     dedupe_order_by: str | Sequence[str] = ""
+    newest_wins: bool = False  # a row older than the target's, by dedupe_order_by, changes nothing
 
 
 @dataclass(kw_only=True)
@@ -60,6 +63,7 @@ class Partitioned(TableConfig):
     incremental_column: str = ""
     partition_expiration_days: int | None = None
     dedupe_order_by: str | Sequence[str] = ""
+    newest_wins: bool = False  # a row older than the target's, by dedupe_order_by, changes nothing
 
 
 @dataclass(kw_only=True)
@@ -70,6 +74,7 @@ class Scd1(TableConfig):
     tracked_columns: Sequence[str] = field(default_factory=tuple)
     updated_at_column: str = "updated_at"
     dedupe_order_by: str | Sequence[str] = ""
+    newest_wins: bool = False  # a row older than the target's, by dedupe_order_by, changes nothing
 
 
 @dataclass(kw_only=True)

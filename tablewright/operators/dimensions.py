@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_difference, column, equal_keys, field, key_list, moment, row_hash
-from .merge import keyed_source, upsert
+from .merge import keyed_source, not_older, upsert
 
 _NEW_HASH = "__new_hash"
 _OPEN = "__still_open"
@@ -29,6 +29,7 @@ def scd1(
     *,
     updated_at: str = "updated_at",
     dedupe_order_by: str | Sequence[str] | None = None,
+    newest_wins: bool = False,
 ) -> DataFrame:
     """Overwrite a matched row whole when a tracked column changed, and stamp it.
 
@@ -36,6 +37,9 @@ def scd1(
     columns every match is overwritten. New keys are inserted; nothing is deleted.
     """
     changed = (lambda t, s: any_difference(t, s, tracked)) if tracked else None
+    if newest_wins:
+        newer, differs = not_older(dedupe_order_by or "", target), changed
+        changed = (lambda t, s: newer(t, s) & differs(t, s)) if differs else newer
     return upsert(
         target,
         source,

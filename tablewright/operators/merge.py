@@ -102,6 +102,20 @@ def one_row_per_key(source: DataFrame, keys: Sequence[str], dedupe_order_by: str
     return parts.checked.unionByName(parts.unkeyed)
 
 
+def not_older(order_by: str | Sequence[str], target: DataFrame) -> Callable[[str, str], Column]:
+    """The condition that a source row does not come before the target's, NULLs coming first."""
+    columns = key_list(order_by)
+    lacking = [c for c in columns if c not in target.columns]
+    if not columns or lacking:
+        raise ValueError(f"the newest row can only win by order columns that the target has: {lacking or 'none given'}")
+
+    def rank(alias: str) -> Column:
+        parts = [F.struct(field(alias, c).isNotNull().alias(f"set{k}"), field(alias, c).alias(f"v{k}")) for k, c in enumerate(columns)]
+        return F.struct(*[p.alias(f"c{k}") for k, p in enumerate(parts)])
+
+    return lambda t, s: rank(s) >= rank(t)
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -157,11 +171,16 @@ def merge(
     *,
     on_schema_change: str = "append_new_columns",
     dedupe_order_by: str | Sequence[str] | None = None,
+    newest_wins: bool = False,
 ) -> DataFrame:
-    """Every non-key source column overwrites matched rows; new keys are inserted by name."""
+    """Every non-key source column overwrites matched rows; new keys are inserted by name.
+
+    With ``newest_wins`` a row that ``dedupe_order_by`` puts before the target's changes nothing.
+    """
     keys = key_list(keys)
+    update_if = not_older(dedupe_order_by or "", target) if newest_wins else None
     target, _ = align_schemas(target, source, on_schema_change, keys)
-    return upsert(target, source, keys, dedupe_order_by=dedupe_order_by)
+    return upsert(target, source, keys, update_if=update_if, dedupe_order_by=dedupe_order_by)
 
 
 def delete_insert(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -174,26 +193,17 @@ def delete_insert(target: DataFrame, source: DataFrame, keys: str | Sequence[str
     return kept.unionByName(conform(source, target))
 
 
-MAX_LISTED_VALUES = 10_000
-
-
-def overwrite_by_value(
-    target: DataFrame, source: DataFrame, partition_column: str, max_listed: int = MAX_LISTED_VALUES
-) -> DataFrame:
+def overwrite_by_value(target: DataFrame, source: DataFrame, partition_column: str) -> DataFrame:
     """Replace the target rows whose partition value the source delivers.
 
-    The delivered values are looked up first. Up to ``max_listed`` of them become a filter
-    on the target's scan, which then prunes and shuffles nothing; more become an anti join.
-    A NULL partition value never matches, so old NULL rows stay. For a table that is
-    physically partitioned the commit does all this without reading the target.
+    The distinct delivered values meet the target in an anti join, which Spark broadcasts
+    when they are few by its own size check. A NULL partition value never matches, so old
+    NULL rows stay. For a table that is physically partitioned the commit does all this
+    without reading the target.
     """
     value = column(partition_column)
-    delivered = source.select(value).filter(value.isNotNull()).distinct()
-    listed = [r[0] for r in delivered.limit(max_listed + 1).collect()]
-    if len(listed) <= max_listed:
-        kept = target.filter(value.isNull() | ~value.isin(listed)) if listed else target
-    else:
-        kept = target.join(own_shuffle(delivered), [partition_column], "left_anti").select(*target.columns)
+    delivered = own_shuffle(source.select(value).filter(value.isNotNull()).distinct())
+    kept = target.join(delivered, [partition_column], "left_anti").select(*target.columns)
     return kept.unionByName(conform(source, target))
 
 

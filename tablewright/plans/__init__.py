@@ -1,6 +1,5 @@
 """Running a table config end to end: read, transition, commit, report."""
 
 from .strategies import materialize, source_frame
-from .warehouse import build_sales_warehouse
 
-__all__ = ["build_sales_warehouse", "materialize", "source_frame"]
+__all__ = ["materialize", "source_frame"]

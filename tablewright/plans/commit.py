@@ -7,6 +7,7 @@ version next to the old one and point the table at it.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
@@ -35,7 +36,7 @@ def row_count(spark: SparkSession, name: str) -> int:
     return spark.table(table_name(name)).count()
 
 
-def _described(spark: SparkSession, name: str) -> tuple[list[str], dict[str, str]]:
+def described(spark: SparkSession, name: str) -> tuple[list[str], dict[str, str]]:
     """(partition columns, details such as Location and Provider) from one DESCRIBE."""
     partitions, details, section = [], {}, ""
     for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)}").collect():  # one row per column
@@ -49,7 +50,7 @@ def _described(spark: SparkSession, name: str) -> tuple[list[str], dict[str, str
 
 
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
-    return _described(spark, name)[0]
+    return described(spark, name)[0]
 
 
 def laid_out(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -65,10 +66,19 @@ def laid_out(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[st
     return df
 
 
-def create(df: DataFrame, name: str, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> None:
-    writer = laid_out(df, partition_by, cluster_by).write.format("parquet")
+def create(
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
+    provider: str = "parquet",
+    path: str | None = None,
+) -> None:
+    writer = laid_out(df, partition_by, cluster_by).write.format(provider)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if path:
+        writer = writer.option("path", path)
     writer.saveAsTable(table_name(name))
 
 
@@ -85,7 +95,7 @@ FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro", "hive")
 
 def has_row_changes(spark: SparkSession, name: str) -> bool:
     """Whether the table's provider, not being one of Spark's file formats, can MERGE."""
-    return _described(spark, name)[1].get("Provider", "hive").lower() not in FILE_FORMATS
+    return described(spark, name)[1].get("Provider", "hive").lower() not in FILE_FORMATS
 
 
 def merge_into(source: DataFrame, name: str, keys: Sequence[str]) -> None:
@@ -105,47 +115,88 @@ def merge_into(source: DataFrame, name: str, keys: Sequence[str]) -> None:
 def swap(df: DataFrame, name: str) -> None:
     """Replace an unpartitioned table's rows and columns, reading it meanwhile if need be.
 
-    The new version goes to a fresh folder and the catalog is then pointed at it, so there
-    is no moment without a table, a failed write changes nothing, and nothing is copied.
-    The previous version's folder is removed last; as after any overwrite of a file table,
-    other sessions that read it before must refresh it.
+    For parquet the new version goes to a fresh folder and the catalog is then pointed at it, so
+    there is no moment without a table, a failed write changes nothing, and nothing is
+    copied. The previous version's folder is removed last; as after any overwrite of a file
+    table, other sessions that read it before must refresh it. Tables of another file format are
+    overwritten in place by their own writer, from a staged copy of the new rows.
     """
     spark = df.sparkSession
-    partitions, details = _described(spark, name)
+    partitions, details = described(spark, name)
     if partitions:
         raise ValueError(f"{name} is partitioned; replace its partitions instead")
+    if _loses_columns(spark, df, name):
+        return _rebuild(df, name, partitions, details)
     quoted_name = table_name(name)
-    before = [(f.name, f.dataType) for f in spark.table(quoted_name).schema]
-    after = [(f.name, f.dataType) for f in df.schema]
+    if details.get("Provider", "hive").lower() != "parquet":
+        ready = staged(df, "swap")
+        add_columns(spark, df, name)
+        ready.select(*[column(c) for c in spark.table(quoted_name).columns]).write.insertInto(quoted_name, overwrite=True)
+        spark.catalog.refreshTable(name)
+        return
     old = details["Location"]
     new = f"{old.rstrip('/').split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").save(new)
-    if after[: len(before)] != before:
-        # Columns were dropped or retyped, which a file table cannot alter in place.
-        spark.sql(f"DROP TABLE {quoted_name}")
-        spark.catalog.createTable(name, path=new, source="parquet", schema=df.schema)
-        return
-    if len(after) > len(before):
-        added = ", ".join(f"{quoted(c)} {t.simpleString()}" for c, t in after[len(before) :])
-        spark.sql(f"ALTER TABLE {quoted_name} ADD COLUMNS ({added})")
+    add_columns(spark, df, name)
     spark.sql(f"ALTER TABLE {quoted_name} SET LOCATION {_text(new)}")
     spark.catalog.refreshTable(name)
     remove_folder(spark, old)
 
 
+def _loses_columns(spark: SparkSession, df: DataFrame, name: str) -> bool:
+    """Whether ``df`` lacks or retypes columns of the table, which a file table cannot alter in place."""
+    given = {f.name: f.dataType for f in df.schema}
+    return any(given.get(f.name) != f.dataType for f in spark.table(table_name(name)).schema)
+
+
+def add_columns(spark: SparkSession, df: DataFrame, name: str) -> None:
+    have = spark.table(table_name(name)).columns
+    added = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema if f.name not in have]
+    if added:
+        spark.sql(f"ALTER TABLE {table_name(name)} ADD COLUMNS ({', '.join(added)})")
+
+
+def _rebuild(df: DataFrame, name: str, partitions: Sequence[str], details: dict[str, str]) -> None:
+    """Replace a table by one with other columns: made whole under another name, then renamed.
+
+    Between dropping the old table and renaming the new one nothing is written; a run that
+    dies there leaves the new table under its first name. A managed table stays managed; an
+    external one stays external, in a new folder beside.
+    """
+    lost = [c for c in partitions if c not in df.columns]
+    if lost:
+        raise ValueError(f"{name} is partitioned by {lost}, which the new rows lack")
+    spark = df.sparkSession
+    stem, _, last = name.rpartition(".")
+    made = f"{stem}{'.' if stem else ''}{last}__new_{uuid.uuid4().hex[:8]}"
+    path = None
+    if details.get("Type", "").upper() == "EXTERNAL":
+        path = f"{details['Location'].rstrip('/').split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:12]}"
+    create(df, made, partitions, provider=details.get("Provider", "parquet"), path=path)
+    spark.sql(f"DROP TABLE {table_name(name)}")
+    spark.sql(f"ALTER TABLE {table_name(made)} RENAME TO {table_name(name)}")
+    if partitions:  # some catalogs leave partitions where they were before the rename
+        spark.sql(f"MSCK REPAIR TABLE {table_name(name)} DROP PARTITIONS")
+        spark.sql(f"MSCK REPAIR TABLE {table_name(name)} ADD PARTITIONS")
+    spark.catalog.refreshTable(name)
+
+
 def rewrite(df: DataFrame, name: str) -> None:
-    """Replace all rows of a table, whether or not it is partitioned.
+    """Replace all rows of a table, whether or not it is partitioned, and its columns.
 
     A partitioned table gets every partition that ``df`` fills; those it leaves empty are
     dropped after that. ``df`` is written out first, being needed for both.
     """
     spark = df.sparkSession
-    partitions = partition_columns(spark, name)
+    partitions, details = described(spark, name)
     if not partitions:
         return swap(df, name)
     if len(partitions) > 1:
         raise ValueError(f"{name} is partitioned by several columns: {partitions}")
+    if _loses_columns(spark, df, name):
+        return _rebuild(df, name, partitions, details)
     ready = staged(df, "rewrite")
+    add_columns(spark, df, name)
     before = partition_values(spark, name)
     filled = ready.select(column(partitions[0]).cast("string")).distinct().collect()  # one row per partition
     replace_partitions(ready, name)
@@ -156,6 +207,9 @@ def replace_partitions(df: DataFrame, name: str, cluster_by: Sequence[str] = ())
     """Replace exactly the partitions that occur in ``df``; others are not read or written."""
     spark = df.sparkSession
     columns = spark.table(table_name(name)).columns
+    lost = [c for c in df.columns if c not in columns]
+    if lost:
+        raise ValueError(f"{name} lacks the columns {lost}")
     out = laid_out(df, partition_columns(spark, name), cluster_by)
     with _dynamic_overwrite(spark):
         out.select(*[column(c) for c in columns]).write.insertInto(table_name(name), overwrite=True)
@@ -193,12 +247,18 @@ def _text(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_overwriting = threading.RLock()
+
+
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession):
+    """Dynamic mode for the writes inside; the setting belongs to the session, so writes of
+    this library take turns, and it is put back before the next one."""
     setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    with _overwriting:
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "dynamic")
+        try:
+            yield
+        finally:
+            spark.conf.set(setting, before)

@@ -26,8 +26,8 @@ from ..config import (
 from ..functions.columns import column, equal_keys, field, has_key, key_list, moment
 from ..functions.partitioning import date_partition, list_partition, range_partition
 from ..operators.dimensions import VersionColumns, scd1, scd1_initial, scd2, scd2_initial, scd2_parts
-from ..operators.merge import delete_insert, merge, one_row_per_key, overwrite_by_value, upsert
-from ..operators.schema import align_schemas, conform
+from ..operators.merge import delete_insert, merge, not_older, one_row_per_key, overwrite_by_value, upsert
+from ..operators.schema import SchemaChanged, align_schemas, conform
 from ..operators.snapshots import prune_snapshots, snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
 from ..scratch import discarding_stages, staged
@@ -87,22 +87,25 @@ def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.table(commit.table_name(config.target_table))
 
 
-def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by, finish, partition_by=()) -> None:
-    """First load of a dimension: one row per key, or no table.
+def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by, finish, partition_by=(), cluster_by=()) -> None:
+    """First load of a keyed table: one row per key, or no table.
 
-    ``finish`` adds the audit columns. Without an order to choose by, the table is written
-    in one pass and its key columns are then checked for repeats.
+    ``finish`` adds what the table has besides. The source is written once; its key columns
+    are checked for repeats before anything is published.
     """
+    source = staged(source, "source")
     if order_by:
-        source = one_row_per_key(staged(source, "source"), keys, order_by)
-    commit.create(finish(source), name, partition_by)
-    if order_by:
-        return
-    try:
-        _refuse_repeats(spark.table(commit.table_name(name)), keys)
-    except ValueError:
-        spark.sql(f"DROP TABLE {commit.table_name(name)}")
-        raise
+        source = one_row_per_key(source, keys, order_by)
+    else:
+        _refuse_repeats(source, keys)
+    commit.create(finish(source), name, partition_by, cluster_by)
+
+
+def _refuse_new_columns(target: DataFrame, source: DataFrame) -> None:
+    """For tables without a schema policy: a column the table lacks is an error, not dropped."""
+    new = [c for c in source.columns if c not in target.columns]
+    if new:
+        raise SchemaChanged(f"columns not in the target: {new}")
 
 
 def _refuse_repeats(df: DataFrame, keys: list[str]) -> None:
@@ -138,6 +141,9 @@ def _incremental(spark, config: Incremental, run):
         partition_by = []
         if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
             partition_by = [by_value]
+        if keys and config.incremental_strategy == "merge":
+            _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, lambda df: df, partition_by)
+            return "incremental", {"first_run": True}
         if keys and config.dedupe_order_by:
             source = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by)
         commit.create(source, config.target_table, partition_by)
@@ -160,6 +166,7 @@ def _incremental(spark, config: Incremental, run):
             keys,
             on_schema_change=config.on_schema_change,
             dedupe_order_by=config.dedupe_order_by or None,
+            newest_wins=config.newest_wins,
         )
         commit.rewrite(after, config.target_table)
     elif config.incremental_strategy == "delete+insert" and keys:
@@ -215,9 +222,10 @@ def _partitioned(spark, config: Partitioned, run):
     source, partition = _with_partition(source_frame(spark, config), config)
     keys = key_list(config.unique_key)
     if not commit.table_exists(spark, config.target_table):
-        if keys and config.dedupe_order_by:
-            source = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by)
-        commit.create(source, config.target_table, [partition], config.cluster_by)
+        if keys:
+            _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, lambda df: df, [partition], config.cluster_by)
+        else:
+            commit.create(source, config.target_table, [partition], config.cluster_by)
         return "partitioned", {"first_run": True}
 
     target = _target(spark, config)
@@ -240,6 +248,7 @@ def _merge_touched(spark, config, target, source, keys, partition):
     it is at most as long as the catalog's own.
     """
     align_schemas(target, source, "ignore", keys)  # the keys must be there
+    _refuse_new_columns(target, source)
     named = source.select(column(partition).alias("old"), F.lit(False).alias("moved")).distinct()
     if config.partition_by not in keys:
         left = (
@@ -256,7 +265,8 @@ def _merge_touched(spark, config, target, source, keys, partition):
     if not touched:
         return
     scope = commit.in_partitions(target, partition, [r.old for r in touched])
-    after = upsert(scope, source, keys, dedupe_order_by=config.dedupe_order_by or None)
+    update_if = not_older(config.dedupe_order_by, target) if config.newest_wins else None
+    after = upsert(scope, source, keys, update_if=update_if, dedupe_order_by=config.dedupe_order_by or None)
     emptied = []
     if any(r.moved for r in touched):
         left_in = {r[0] for r in after.select(partition).distinct().collect()}
@@ -297,6 +307,7 @@ def _scd1(spark, config: Scd1, run):
         finish = lambda df: scd1_initial(df, run.run_ts, config.updated_at_column)
         _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, finish)
         return "scd_type_1", {"first_run": True}
+    _refuse_new_columns(_target(spark, config), source)
     after = scd1(
         _target(spark, config),
         staged(source, "source"),
@@ -305,6 +316,7 @@ def _scd1(spark, config: Scd1, run):
         run.run_ts,
         updated_at=config.updated_at_column,
         dedupe_order_by=config.dedupe_order_by or None,
+        newest_wins=config.newest_wins,
     )
     commit.rewrite(after, config.target_table)
     return "scd_type_1", {"first_run": False}
@@ -314,8 +326,8 @@ def _scd2(spark, config: Scd2, run):
     """The table is partitioned by its current flag, so a run rewrites only open versions.
 
     Two commits: newly closed versions are appended to the history, then the current slice
-    is replaced. If a run dies in between, the next one sees that those versions are in the
-    history already and does not append them again.
+    is replaced. If a run dies in between, those versions are both closed and open. The next
+    run first takes them out of the history again, so that it starts from the state before.
     """
     names = VersionColumns(
         config.valid_from_column, config.valid_to_column, config.is_current_column, config.hash_column
@@ -328,6 +340,7 @@ def _scd2(spark, config: Scd2, run):
         return "scd_type_2", {"first_run": True}
 
     target = _target(spark, config)
+    _refuse_new_columns(target, source)
     source = staged(source, "source")
     if not config.dedupe_order_by:
         _refuse_repeats(source, keys)  # before the first of the two commits
@@ -340,14 +353,10 @@ def _scd2(spark, config: Scd2, run):
         after = scd2(target, source, keys, config.tracked_columns, run.run_ts, **options)
         commit.rewrite(after, config.target_table)
         return "scd_type_2", {"first_run": False}
+    _finish_died_run(spark, config.target_table, names, keys)
+    target = _target(spark, config)
     parts = scd2_parts(target, source, keys, config.tracked_columns, run.run_ts, **options)
-    newest = high_watermark(target.filter(column(names.is_current)), names.valid_from)
     closed = parts.closed
-    if newest is not None:
-        # Versions closed since the last completed run can only come from one that died.
-        recent = parts.history.filter(column(names.valid_to) >= moment(newest)).alias("h")
-        same = equal_version("c", "h", [*keys, names.valid_from, names.row_hash])
-        closed = closed.alias("c").join(recent, same, "left_anti")
     commit.append(closed, config.target_table)
     if config.invalidate_hard_deletes and source.isEmpty():  # writing no rows would replace no partition
         commit.drop_partitions(spark, config.target_table, names.is_current, ["true"])
@@ -356,6 +365,26 @@ def _scd2(spark, config: Scd2, run):
     return "scd_type_2", {"first_run": False}
 
 
+def _finish_died_run(spark, name: str, names: VersionColumns, keys: list[str]) -> None:
+    """Undo the first of a died run's two commits: drop closed copies of versions still open.
+
+    Such a copy ends later than every open version begins, so only history of that time is looked at; mostly
+    there is none, and then nothing is written.
+    """
+    target = spark.table(commit.table_name(name))
+    is_open = F.coalesce(column(names.is_current), F.lit(False))
+    current, history = target.filter(is_open), target.filter(~is_open)
+    same = equal_version("h", "t", [*keys, names.valid_from, names.row_hash])
+    closed_twice = history.alias("h").join(current.alias("t"), same, "left_semi")
+    if closed_twice.isEmpty():
+        return
+    kept = staged(history.alias("h").join(current.alias("t"), same, "left_anti"), "history")
+    if kept.isEmpty():
+        commit.drop_partitions(spark, name, names.is_current, ["false"])
+    else:
+        commit.replace_partitions(kept, name)
+
+
 def equal_version(left: str, right: str, columns: list[str]):
     condition = F.lit(True)
     for name in columns:
@@ -380,7 +409,11 @@ def _snapshot(spark, config: Snapshot, run):
     if first:
         commit.create(rows, config.target_table, [stamp])
     else:
-        commit.append(conform(rows, _target(spark, config)), config.target_table)
+        rows = conform(rows, _target(spark, config))
+        if commit.partition_columns(spark, config.target_table) == [stamp]:
+            commit.replace_partitions(rows, config.target_table)  # a repeated run replaces its own partition
+        else:
+            commit.append(rows, config.target_table)
         if config.retain_snapshots and commit.partition_columns(spark, config.target_table) != [stamp]:
             commit.rewrite(prune_snapshots(_target(spark, config), stamp, config.retain_snapshots), config.target_table)
         elif config.retain_snapshots:

@@ -22,7 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_SETTING} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tablewright-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -56,9 +57,35 @@ def discarding_stages(spark: SparkSession):
                 outer.append(folder)
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path) for a path of any store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _place(spark, folder)
+    files.delete(path, True)
+
+
+def path_exists(spark: SparkSession, name: str) -> bool:
+    files, path = _place(spark, name)
+    return files.exists(path)
+
+
+def write_mark(spark: SparkSession, name: str) -> None:
+    """An empty file."""
+    files, path = _place(spark, name)
+    files.create(path, True).close()
+
+
+def move_files(spark: SparkSession, folder: str, to: str, suffix: str) -> None:
+    """Move the files of one written batch; their names are unique."""
+    files, path = _place(spark, folder)
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.endswith(suffix) and not files.rename(status.getPath(), _place(spark, f"{to.rstrip('/')}/{name}")[1]):
+            raise OSError(f"could not move {status.getPath()}")
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:

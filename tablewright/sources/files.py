@@ -31,8 +31,9 @@ def read_records(
 
     ``json``: each file is one array (its elements are the rows) or one object (one row).
     ``jsonl``: one object per line, blank lines skipped; files are split across tasks.
-    ``csv``: header line, every column text, an empty field is ``''``. ``multiline=False``
-    lets Spark split large CSV files, for data known to have no line breaks inside fields.
+    ``csv``: header line, every column text, an empty field is ``''``. Fields may hold line
+    breaks, so a file is read by one task; ``multiline=False`` lets Spark split large files
+    whose fields are known to hold none.
 
     Give a ``schema`` for JSON wherever it is known: inferring one reads the data twice.
     """

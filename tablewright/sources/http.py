@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -103,6 +104,7 @@ class PagedHttpReader(DataSourceReader):
         self.per_page_param = options.get("per_page_param", "per_page")
         self.per_page = int(options.get("per_page", 100))
         self.max_pages = int(options.get("max_pages", 100))
+        self.stop_at_bound = str(options.get("stop_at_bound", "false")).lower() == "true"
         self.pages_per_task = max(1, int(options.get("pages_per_task", 10)))
         self.response_path = options.get("response_path", "")
 
@@ -127,6 +129,10 @@ class PagedHttpReader(DataSourceReader):
                 return  # past the end: every later page is empty too
             for record in records:
                 yield page, json.dumps(record, ensure_ascii=False)
+        if self.paginate and partition.last == self.max_pages and not self.stop_at_bound:
+            beyond = self.max_pages + 1
+            if records_at(fetch(self.page_url(beyond), self.headers, self.timeout), self.response_path):
+                raise RuntimeError(f"page {beyond} has records too: raise max_pages, or set stop_at_bound to leave them out")
 
 
 class PagedHttp(DataSource):
@@ -211,14 +217,24 @@ def parsed(records: DataFrame, schema: str, text: str = "record") -> DataFrame:
 
 
 def explode_path(df: DataFrame, text: str | Column, item_schema: str, response_path: str) -> DataFrame:
-    """One row per item of the array at a dotted path inside a JSON text column.
+    """One row per record at a dotted path inside a JSON text column.
 
-    The path becomes a nested schema, so only that branch of the document is parsed.
+    An array gives its elements, an object is one record, and a scalar is one record with the
+    value in the first field. Text that is not JSON fails the query; an absent path gives no row.
     """
-    schema = f"array<struct<{item_schema}>>"
-    for key in reversed(response_path.split(".")):
-        schema = f"struct<`{key}`: {schema}>"
-    body = F.from_json(F.col(text) if isinstance(text, str) else text, schema)
-    for key in response_path.split("."):
-        body = body[key]
-    return df.select(F.explode(body).alias("r")).select("r.*")
+    body = F.col(text) if isinstance(text, str) else text
+    path = "$" + "".join(f"['{key}']" for key in response_path.split(".") if key)
+    valid = F.when(body.isNull() | F.try_parse_json(body).isNotNull(), body)
+    checked = F.when(body.isNull() | valid.isNotNull(), valid).otherwise(
+        F.raise_error(F.concat(F.lit("not JSON: "), F.substring(body, 1, 80))).cast("string")
+    )
+    found = df.select(F.get_json_object(checked, path).alias("found")).filter("found is not null")
+    first = F.trim("found").substr(1, 1)
+    record = f"struct<{item_schema}>"
+    one = T._parse_datatype_string(record)
+    scalar = F.struct(
+        *[(F.col("found") if k == 0 else F.lit(None)).cast(f.dataType).alias(f.name) for k, f in enumerate(one.fields)]
+    )
+    listed = F.from_json("found", f"array<{record}>")
+    single = F.when(first == "{", F.from_json("found", one)).otherwise(scalar)
+    return found.select(F.explode(F.when(first == "[", listed).otherwise(F.array(single))).alias("r")).select("r.*")

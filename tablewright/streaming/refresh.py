@@ -1,12 +1,12 @@
 """Keeping tables up to date from streams with the same transitions as in batch.
 
 A micro-batch can be delivered twice after a failure. Keyed transitions converge when
-repeated, so they run in ``foreachBatch``; plain appends go through Spark's own file sink,
-which records finished batches and skips them.
+repeated, so they run in ``foreachBatch``; plain appends publish the files of a batch once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Incremental, Partitioned, Scd1, Scd2, TableConfig
 from ..functions.columns import column, key_list
-from ..plans import materialize
+from ..operators.schema import conform
+from ..plans import commit, materialize
+from ..scratch import move_files, path_exists, write_mark
 
 _KEYED = (Incremental, Partitioned, Scd1, Scd2)
 
@@ -29,6 +31,8 @@ def _fit_for_streams(config: TableConfig) -> TableConfig:
         raise ValueError("only the merge strategy converges when a micro-batch is repeated")
     if isinstance(config, (Incremental, Partitioned)) and config.incremental_column:
         raise ValueError("the stream's checkpoint takes the place of incremental_column")
+    if not isinstance(config, Scd2) and key_list(config.dedupe_order_by):
+        config = replace(config, newest_wins=True)  # also against rows of earlier batches
     return config
 
 
@@ -65,12 +69,30 @@ def refresh_stream(
 
 
 def append_stream(stream: DataFrame, table: str, checkpoint: str, *, continuous: str | None = None) -> StreamingQuery:
-    """Append a stream to a table exactly once, creating it if absent."""
+    """Append a stream to an unpartitioned parquet table exactly once, creating it if absent.
+
+    A batch is written to a hidden folder inside the table's and its files are then moved into
+    place under names of their own. A batch delivered again finds its folder complete and only
+    moves what is left, so rows of the table and of batch appends all stay visible.
+    """
+    session = stream.sparkSession
+    if not commit.table_exists(session, table):
+        commit.create(session.createDataFrame([], stream.schema), table)
+    partitions, details = commit.described(session, table)
+    if partitions or details.get("Provider", "").lower() != "parquet":
+        raise ValueError(f"{table} is not an unpartitioned parquet table")
+    place = f"{details['Location'].rstrip('/')}/_appending-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    if path_exists(session, f"{details['Location'].rstrip('/')}/_spark_metadata"):
+        raise ValueError(f"{table} has a file sink's log, which hides other files; copy it to a new table")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{place}/batch-{batch_id}"
+        if not path_exists(session, f"{folder}/_SUCCESS") and not path_exists(session, f"{folder}/_MOVED"):
+            conform(batch, session.table(commit.table_name(table))).write.mode("overwrite").parquet(folder)
+        move_files(session, folder, details["Location"], ".parquet")
+        write_mark(session, f"{folder}/_MOVED")
+        session.catalog.refreshTable(table)
+
+    writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .toTable(table)
-    )
+    return writer.trigger(**trigger).start()

@@ -1,0 +1,170 @@
+"""Commits keep a table's format, columns and rows; first loads, repeats and died runs."""
+
+import os
+import threading
+import time
+from datetime import datetime
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tablewright import Incremental, Partitioned, Scd1, Scd2, Snapshot, materialize
+from tablewright.operators import SchemaChanged, high_watermark, newer_than, overwrite_by_value
+from tablewright.plans import commit
+from tablewright.sources import load
+
+T0, T1, T2 = datetime(2026, 1, 1), datetime(2026, 1, 15), datetime(2026, 2, 1)
+
+
+def details(spark, table):
+    return commit.described(spark, table)[1]
+
+
+@pytest.mark.parametrize("provider", ["orc", "json", "csv"])
+def test_merge_keeps_the_format_of_the_target(spark, table, provider):
+    spark.sql(f"CREATE TABLE {table} (id INT, v STRING) USING {provider}")
+    spark.sql(f"INSERT INTO {table} VALUES (1, 'a'), (2, 'b')")
+    source = spark.createDataFrame([(2, "bb"), (3, "c")], "id int, v string")
+    materialize(spark, Incremental(target_table=table, source=source, unique_key="id"))
+    assert rows(spark.table(table), "id", "v") == [(1, "a"), (2, "bb"), (3, "c")]
+    assert details(spark, table)["Provider"].lower() == provider
+
+
+def test_csv_options_survive_a_merge_with_a_new_column(spark, table):
+    spark.sql(f"CREATE TABLE {table} (id INT, v STRING) USING csv OPTIONS (header true, sep '|')")
+    spark.sql(f"INSERT INTO {table} VALUES (1, 'a')")
+    source = spark.createDataFrame([(2, "b", 7)], "id int, v string, n int")
+    materialize(spark, Incremental(target_table=table, source=source, unique_key="id"))
+    assert rows(spark.table(table), "id", "v", "n") == [(1, "a", None), (2, "b", 7)]
+
+
+def partitioned_table(spark, table):
+    spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id int, v string, p string").write.partitionBy("p").saveAsTable(table)
+
+
+def test_new_columns_reach_a_partitioned_target(spark, table):
+    partitioned_table(spark, table)
+    source = spark.createDataFrame([(2, "bb", "y", 5), (4, "d", "w", 6)], "id int, v string, p string, n int")
+    materialize(spark, Incremental(target_table=table, source=source, unique_key="id"))
+    assert rows(spark.table(table), "id", "v", "p", "n") == [(1, "a", "x", None), (2, "bb", "y", 5), (3, "c", "z", None), (4, "d", "w", 6)]
+    assert commit.partition_columns(spark, table) == ["p"]
+
+
+def test_dropped_columns_leave_a_partitioned_target(spark, table):
+    partitioned_table(spark, table)
+    source = spark.createDataFrame([(2, "y", 5)], "id int, p string, n int")
+    materialize(spark, Incremental(target_table=table, source=source, unique_key="id", on_schema_change="sync_all_columns"))
+    assert rows(spark.table(table), "id", "p", "n") == [(1, "x", None), (2, "y", 5), (3, "z", None)]
+    assert sorted(spark.table(table).columns) == ["id", "n", "p"] and commit.partition_columns(spark, table) == ["p"]
+    assert details(spark, table)["Type"] == "MANAGED"
+
+
+def test_tables_stay_managed_when_columns_go(spark, table):
+    spark.createDataFrame([(1, "a")], "id int, v string").write.saveAsTable(table)
+    commit.swap(spark.createDataFrame([("x", 2)], "v string, n int"), table)
+    assert rows(spark.table(table), "v", "n") == [("x", 2)] and details(spark, table)["Type"] == "MANAGED"
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{table}__")]
+
+
+def test_tables_without_a_schema_policy_refuse_new_columns(spark, table):
+    old = spark.createDataFrame([(1, "a", T0)], "id int, v string, at timestamp_ntz")
+    new = old.withColumn("more", F.lit(1))
+    for n, config in enumerate(
+        (
+            lambda s, t: Partitioned(target_table=t, source=s, unique_key="id", partition_by="at"),
+            lambda s, t: Scd1(target_table=t, source=s, unique_key="id"),
+            lambda s, t: Scd2(target_table=t, source=s, unique_key="id"),
+        )
+    ):
+        materialize(spark, config(old, f"{table}_{n}"))
+        with pytest.raises(SchemaChanged):
+            materialize(spark, config(new, f"{table}_{n}"))
+
+
+@pytest.mark.parametrize("mode", ["replace", "upsert"])
+def test_load_into_a_partitioned_table(spark, table, mode):
+    partitioned_table(spark, table)
+    given = spark.createDataFrame([(2, "y"), (9, "q")], "id int, p string")
+    assert load(given, table, mode, merge_key="id") == 2
+    want = [(2, None, "y"), (9, None, "q")] if mode == "replace" else [(1, "a", "x"), (2, "b", "y"), (3, "c", "z"), (9, None, "q")]
+    assert rows(spark.table(table), "id", "v", "p") == want
+
+
+def test_overwrites_of_two_threads_take_turns(spark, table):
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before, seen = spark.conf.get(setting), []
+
+    def write():
+        with commit._dynamic_overwrite(spark):
+            time.sleep(0.05)
+            seen.append(spark.conf.get(setting).lower())
+
+    threads = [threading.Thread(target=write) for _ in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == ["dynamic"] * 6 and spark.conf.get(setting) == before
+
+
+@pytest.fixture(params=["America/New_York", "Asia/Tokyo"])
+def python_zone(request):
+    before = os.environ.get("TZ")
+    os.environ["TZ"] = request.param
+    time.tzset()
+    yield request.param
+    os.environ.pop("TZ") if before is None else os.environ.update(TZ=before)
+    time.tzset()
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_marks_do_not_pass_through_the_zone_of_python(spark, python_zone, kind):
+    df = spark.range(24).select("id", F.expr(f"cast(concat('2026-03-08 ', lpad(id, 2, '0'), ':00:00.123456') AS {kind}) AS at"))
+    mark = high_watermark(df.filter("id <= 12"), "at")
+    assert sorted(r["id"] for r in newer_than(df, "at", mark).select("id").collect()) == list(range(13, 24))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_overwritten_values_do_not_either(spark, python_zone, kind):
+    at = F.expr(f"cast(concat('2026-01-0', id % 3 + 1, ' 12:00:00') AS {kind}) AS at")
+    target, source = spark.range(9).select("id", at), spark.range(100, 101).select("id", at)
+    assert sorted(r["id"] for r in overwrite_by_value(target, source, "at").select("id").collect()) == [0, 2, 3, 5, 6, 8, 100]
+
+
+@pytest.mark.parametrize("make", [Incremental, Partitioned])
+def test_first_load_refuses_a_repeated_key_and_publishes_nothing(spark, table, make):
+    source = spark.createDataFrame([(1, T0), (1, T1)], "id int, at timestamp_ntz")
+    more = {"partition_by": "at"} if make is Partitioned else {}
+    with pytest.raises(ValueError, match="duplicate source key"):
+        materialize(spark, make(target_table=table, source=source, unique_key="id", **more))
+    assert not commit.table_exists(spark, table)
+
+
+def test_snapshot_repeated_with_its_stamp_replaces_itself(spark, table):
+    config = Snapshot(target_table=table, source="SELECT 1 AS id UNION ALL SELECT 2")
+    for _ in range(2):
+        materialize(spark, config, run_ts=T0, snapshot_id="a")
+    materialize(spark, config, run_ts=T1, snapshot_id="b")
+    materialize(spark, config, run_ts=T1, snapshot_id="b")
+    assert spark.table(table).count() == 4
+
+
+@pytest.mark.parametrize("then", ["reverts", "persists"])
+def test_scd2_after_a_run_that_died_between_its_commits(spark, table, monkeypatch, then):
+    config = lambda v: Scd2(target_table=table, source=spark.createDataFrame([(1, v), (2, "z")], "id int, v string"), unique_key="id")
+    materialize(spark, config("a"), run_ts=T0)
+
+    def die(*args, **options):
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(commit, "replace_partitions", die)
+        with pytest.raises(RuntimeError):
+            materialize(spark, config("b"), run_ts=T1)
+    materialize(spark, config("a" if then == "reverts" else "b"), run_ts=T2)
+    found = rows(spark.table(table), "id", "v", "valid_from", "valid_to", "is_current")
+    if then == "reverts":
+        assert found == [(1, "a", T0, None, True), (2, "z", T0, None, True)]
+    else:
+        assert found == [(1, "a", T0, T2, False), (1, "b", T2, None, True), (2, "z", T0, None, True)]

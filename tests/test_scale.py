@@ -79,15 +79,11 @@ def test_a_small_source_leaves_the_target_unshuffled(spark, tmp_path):
         assert "SortMergeJoin" not in plan and "Exchange" not in updated
 
 
-def test_overwrite_filters_the_scan_or_falls_back_to_a_join(spark, tmp_path):
-    target, source = hot_target(spark, tmp_path), changes(spark, tmp_path)
-    few = source.filter("k < 3")
-    listed = overwrite_by_value(target, few, "k")
-    plan = listed._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Exchange" not in plan and "PushedFilters: [Or(IsNull(k)" in plan
-    joined = overwrite_by_value(target, few, "k", max_listed=2)
-    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, listed.collect())) == sorted(map(str, joined.collect()))
+def test_overwrite_splits_a_hot_value(skewed, tmp_path):
+    target, source = hot_target(skewed, tmp_path), changes(skewed, tmp_path)
+    after = overwrite_by_value(target, source, "k")
+    assert "skew=true" in final_plan(after)
+    assert after.filter("k = 7").count() == 1
 
 
 def test_watermark_reaches_the_scan(spark, tmp_path):

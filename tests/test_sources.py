@@ -140,7 +140,10 @@ def test_paged_source_stops_at_the_end(spark, tmp_path):
     assert rows(df, "page") == [(1,), (1,), (2,)]
     assert rows(parsed(df, "id int")) == [(1,), (2,), (3,)]
     assert df.rdd.getNumPartitions() == 20
-    assert rows(read_pages(spark, f"file://{tmp_path}/{{page}}.json", max_pages=1), "page") == [(1,), (1,)]
+    first = read_pages(spark, f"file://{tmp_path}/{{page}}.json", max_pages=1, stop_at_bound="true")
+    assert rows(first, "page") == [(1,), (1,)]
+    with pytest.raises(Exception, match="page 2 has records too"):
+        read_pages(spark, f"file://{tmp_path}/{{page}}.json", max_pages=1).collect()
 
 
 def test_paged_source_follows_the_response_path(spark, tmp_path):
@@ -204,3 +207,7 @@ def test_post_sink(spark, tmp_path, batch, posts):
 def test_explode_path(spark):
     df = spark.createDataFrame([('{"data": {"items": [{"id": 1}, {"id": 2}]}}',), ('{"data": {}}',), (None,)], "body string")
     assert rows(explode_path(df, "body", "id int", "data.items")) == [(1,), (2,)]
+    df = spark.createDataFrame([('{"a": {"id": 3}}',), ('{"a": 4}',), ('{"a": [{"id": 5}]}',), ('{"a": null}',)], "body string")
+    assert rows(explode_path(df, "body", "id int", "a")) == [(3,), (4,), (5,)]
+    with pytest.raises(Exception, match="not JSON"):
+        explode_path(spark.createDataFrame([("{oops",)], "body string"), "body", "id int", "a").collect()

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from conftest import rows
 
-from tablewright import AppendOnly, Incremental, Scd1, Scd2
+from tablewright import AppendOnly, Incremental, Scd1, Scd2, materialize
 from tablewright.streaming import append_stream, refresh_stream
 
 SCHEMA = "id int, v string, at timestamp_ntz"
@@ -65,6 +65,32 @@ def test_stream_append_is_exactly_once(spark, table, feed, tmp_path):
     assert rows(spark.table(table), "id", "v") == [(1, "a"), (1, "a")]
 
 
+def test_older_events_of_later_batches_change_nothing(spark, table, feed, tmp_path):
+    put, stream = feed
+    for n, make in enumerate((Incremental, Scd1)):
+        config = make(target_table=f"{table}_{n}", source="", unique_key="id", dedupe_order_by="at")
+        if n == 0:
+            put((1, "new", 9), (2, "b", 1))
+            put((1, "old", 5), (2, "bb", 3), (3, "c", 2))
+        run(refresh_stream(stream(), config, str(tmp_path / f"cp{n}")))
+        assert rows(spark.table(f"{table}_{n}"), "id", "v") == [(1, "new"), (2, "bb"), (3, "c")]
+
+
+def test_stream_and_batch_appends_share_a_table(spark, table, feed, tmp_path):
+    put, stream = feed
+    old = spark.createDataFrame([(k, "old", datetime(2026, 1, 1)) for k in range(5)], SCHEMA)
+    old.write.saveAsTable(table)
+    put((10, "a", 1), (11, "b", 1))
+    put((12, "c", 2))
+    run(append_stream(stream(), table, str(tmp_path / "cp")))
+    assert spark.table(table).count() == 8
+    materialize(spark, AppendOnly(target_table=table, source=old.limit(2)))
+    assert spark.table(table).count() == 10
+    put((13, "d", 3))
+    run(append_stream(stream(), table, str(tmp_path / "cp")))
+    assert spark.table(table).count() == 11 and spark.read.parquet(str(tmp_path / "feed")).count() == 4
+
+
 def test_unfit_configs_are_refused(spark, feed):
     put, stream = feed
     put((1, "a", 1))
