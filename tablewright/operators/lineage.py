@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..scratch import Rounds, staged
+from .merge import own_shuffle
 
 UP, DOWN = "upstream", "downstream"
 
@@ -46,7 +47,7 @@ def reachable_nodes(edges: DataFrame, roots: DataFrame, direction: str = DOWN) -
     """
     links = _links(edges, direction)
     rounds = Rounds(links.sparkSession, "reach", _schema(links))
-    start = roots.toDF("node").distinct()
+    start = own_shuffle(roots.toDF("node").distinct())
 
     def step(frontier: DataFrame) -> DataFrame:
         return links.join(frontier, links.near == frontier.node).select(F.col("far").alias("node")).distinct()
@@ -90,6 +91,7 @@ def _peel(links: DataFrame) -> DataFrame:
     count = F.count(F.lit(1))
     waits_for = links.groupBy(F.col("far").alias("node")).agg(count.alias("parents"))
     sources = links.select(F.col("near").alias("node")).distinct().join(waits_for, ["node"], "left_anti")
+    waits_for = own_shuffle(waits_for)  # a hub's many edges can then be split
     counted = staged(links.join(waits_for, links.far == waits_for.node).select("near", "far", "parents"), "counted")
 
     none = F.lit(0).cast("bigint")
@@ -200,7 +202,7 @@ def downstream_subgraph(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     An edge that starts inside ends inside, so one semi join on its start is enough.
     """
-    inside = reachable_nodes(edges, roots).union(roots.toDF("node")).distinct()
+    inside = own_shuffle(reachable_nodes(edges, roots).union(roots.toDF("node")).distinct())
     return edges.select(UP, DOWN).distinct().join(inside.toDF(UP), [UP], "left_semi").select(UP, DOWN)
 
 

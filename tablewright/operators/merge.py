@@ -102,6 +102,19 @@ def one_row_per_key(source: DataFrame, keys: Sequence[str], dedupe_order_by: str
     return parts.checked.unionByName(parts.unkeyed)
 
 
+def _no_repeats(source: DataFrame, keys: Sequence[str], target: DataFrame) -> DataFrame:
+    """No rows, but the query fails if a key of ``source`` repeats.
+
+    A branch of its own, so that it runs whatever becomes of the joins; counts are combined
+    before their shuffle.
+    """
+    counted = source.groupBy(*[column(k).alias(f"k{n}") for n, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("rows"))
+    key = F.concat_ws(", ", *[F.col(f"k{n}").cast("string") for n in range(len(keys))])
+    complaint = F.raise_error(F.concat(F.lit(f"duplicate source key ({', '.join(keys)}): "), key)).cast("boolean")
+    none = counted.filter(F.when(F.col("rows") > 1, complaint).otherwise(F.lit(False)))
+    return none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+
+
 def not_older(order_by: str | Sequence[str], target: DataFrame) -> Callable[[str, str], Column]:
     """The condition that a source row does not come before the target's, NULLs coming first."""
     columns = key_list(order_by)
@@ -159,9 +172,10 @@ def upsert(
     updated = joined.select(*[after(f) for f in target.schema.fields])
     # Spark moves the semi join below the distinct when it can broadcast the source.
     matched_keys = target.select(*keys).distinct().join(source.select(*keys), keys, "left_semi")
-    fresh = rows.checked.join(matched_keys, keys, "left_anti").unionByName(rows.unkeyed)
+    fresh = rows.matching.join(matched_keys, keys, "left_anti").unionByName(rows.unkeyed)
     inserted = conform(fresh.withColumns(stamps) if stamps else fresh, target)
-    return updated.unionByName(inserted)
+    after = updated.unionByName(inserted)
+    return after if dedupe_order_by else after.unionByName(_no_repeats(rows.matching, keys, target))
 
 
 def merge(

@@ -90,8 +90,14 @@ def write_table(
     )
 
 
-def merge_statement(table: str, stage: str, columns: Sequence[str], keys: Sequence[str]) -> str:
-    """One set-based ANSI MERGE from a staging table."""
+def merge_statement(table: str, stage: str, columns: Sequence[str], keys: Sequence[str], vendor: str = "ansi") -> str:
+    """One set-based upsert from a staging table: an ANSI MERGE, or what MySQL has instead."""
+    if vendor == "mysql":
+        name = lambda c: f"`{c}`"
+        listed = ", ".join(map(name, columns))
+        changes = ", ".join(f"{name(c)} = VALUES({name(c)})" for c in columns if c not in keys)
+        changes = changes or f"{name(keys[0])} = VALUES({name(keys[0])})"
+        return f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {stage} ON DUPLICATE KEY UPDATE {changes}"
     name = lambda c: f'"{c}"'
     on = " AND ".join(f"t.{name(k)} = s.{name(k)}" for k in keys)
     changes = ", ".join(f"{name(c)} = s.{name(c)}" for c in columns if c not in keys)
@@ -112,6 +118,7 @@ def upsert_table(
     run_statement: Callable[[str], None],
     stage_table: str,
     order_by: str | Sequence[str] | None = None,
+    vendor: str = "ansi",
 ) -> None:
     """Upsert set-wise: all partitions write a staging table, then one MERGE runs.
 
@@ -121,6 +128,8 @@ def upsert_table(
     keys = key_list(merge_key)
     if not keys:
         raise ValueError("an upsert needs a merge key")
+    if df.isEmpty():
+        return  # the stage may still hold an earlier delivery
     with discarding_stages(df.sparkSession):
         write_table(one_row_per_key(staged(df, "load"), keys, order_by), source, stage_table, "replace")
-    run_statement(merge_statement(table, stage_table, df.columns, keys))
+    run_statement(merge_statement(table, stage_table, df.columns, keys, vendor))

@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 
 from tablewright.operators import (
+    scd1,
     SchemaChanged,
     align_schemas,
     append_rows,
@@ -128,5 +129,15 @@ def test_latest_per_key_limits_rows_before_the_shuffle(spark):
 
 def test_duplicate_guard_limits_rows_before_the_shuffle(spark):
     target = orders(spark, (1, 1, "a"))
-    plan = merge(target, target, "order_id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    plan = merge(target, target, "order_id")._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[partial_count(1)]" in plan and "Window" not in plan
+
+
+def test_a_repeated_constant_key_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("x",), ("y",), ("z",)], "v string").write.parquet(str(tmp_path / "s"))
+    target = spark.read.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "s")).selectExpr("1 AS k", "v")
+    for after in (merge(target, source, "k"), scd1(target.selectExpr("*", "now() AS updated_at"), source, "k", ["v"], "2026-01-01")):
+        with pytest.raises(Exception, match="duplicate source key"):
+            after.collect()

@@ -18,7 +18,7 @@ from tablewright.sources import (
     upsert_table,
     write_records,
 )
-from tablewright.sources.databases import merge_statement, split_options
+from tablewright.sources.databases import merge_statement, split_options, upsert_table
 from tablewright.sources.http import HttpPost, HttpPostWriter, auth_headers, headers_from, register_http
 
 
@@ -118,6 +118,18 @@ def test_merge_statement():
     )
 
 
+def test_merge_statement_of_mysql():
+    assert merge_statement("t", "s1", ["id", "v"], ["id"], "mysql") == (
+        "INSERT INTO t (`id`, `v`) SELECT `id`, `v` FROM s1 ON DUPLICATE KEY UPDATE `v` = VALUES(`v`)"
+    )
+
+
+def test_upsert_of_nothing_runs_no_statement(spark):
+    run = []
+    upsert_table(spark.createDataFrame([], "id int"), ("jdbc", {}), "t", "id", run.append, "stage")
+    assert run == []
+
+
 def test_upsert_stages_one_row_per_key_then_merges(spark, monkeypatch):
     staged, statements = [], []
     monkeypatch.setattr(
