@@ -88,15 +88,21 @@ def move_files(spark: SparkSession, folder: str, to: str, suffix: str) -> None:
             raise OSError(f"could not move {status.getPath()}")
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and read it back.
+def discard_later(folder: str) -> None:
+    """Let the enclosing :func:`discarding_stages`, if any, remove the folder when it ends."""
+    if _scope.get() is not None:
+        _scope.get().append(folder)
+
+
+def staged(df: DataFrame, label: str = "stage", keep: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back. With ``keep`` it outlives :func:`discarding_stages`.
 
     Used where a plan reads its source several times: the query runs once, every reader
     sees the same rows, and the file sizes tell Spark truthfully whether it may broadcast.
     """
     path = scratch_folder(df.sparkSession, label)
-    if _scope.get() is not None:
-        _scope.get().append(path)
+    if not keep:
+        discard_later(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
