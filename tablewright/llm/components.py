@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.merge import own_shuffle
-from ..scratch import remove_folder, scratch_folder
+from ..scratch import discard_later, remove_folder, scratch_folder
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -26,6 +26,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     spark = edges.sparkSession
     folder = scratch_folder(spark, "components")
+    discard_later(folder)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")

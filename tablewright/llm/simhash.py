@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from ..scratch import staged
-from .batches import Texts, extend
+from ..scratch import discarding_stages, staged
+from .batches import Texts, extend, hidden
 from .components import connected
 
 SEED = 42
@@ -100,13 +100,14 @@ def group_ids(fingerprints: DataFrame, id_cols: list[str]) -> DataFrame:
 
     ``fingerprints`` has the id columns and ``fingerprint``; ids order by the columns in turn.
     """
-    each = staged(fingerprints.groupBy("fingerprint").agg(F.min(F.struct(*id_cols)).alias("first")), "fingerprints")
-    roots = staged(connected(links(each, "fingerprint"), "a", "b"), "roots")
-    linked = each.join(roots, F.col("node") == F.col("fingerprint"))
-    first = staged(linked.groupBy("root").agg(F.min("first").alias("group_first")), "firsts")
-    known = roots.join(first, "root").select("node", "group_first")
-    joined = each.join(known, F.col("node") == F.col("fingerprint"), "left")
-    return staged(joined.select("fingerprint", F.coalesce("group_first", "first").alias("first")), "groups")
+    with discarding_stages(fingerprints.sparkSession):
+        each = staged(fingerprints.groupBy("fingerprint").agg(F.min(F.struct(*id_cols)).alias("first")), "fingerprints")
+        roots = staged(connected(links(each, "fingerprint"), "a", "b"), "roots")
+        linked = each.join(roots, F.col("node") == F.col("fingerprint"))
+        first = staged(linked.groupBy("root").agg(F.min("first").alias("group_first")), "firsts")
+        known = roots.join(first, "root").select("node", "group_first")
+        joined = each.join(known, F.col("node") == F.col("fingerprint"), "left")
+        return staged(joined.select("fingerprint", F.coalesce("group_first", "first").alias("first")), "groups", keep=True)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
@@ -135,8 +136,9 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     copies = prints.groupBy("id", "hash").agg(F.count("*").alias("copies"))
     same = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash"))
     kept = first.join(copies.withColumnsRenamed({"id": "other_id", "hash": "other_hash"}), same)
-    kept = staged(kept.select(F.col("id").alias("__kept_id"), F.col("hash").alias("__kept_hash"), "copies"), "kept")
-    match = key_id.eqNullSafe(F.col("__kept_id")) & (key_text == F.col("__kept_hash"))
-    single = docs.join(kept.filter("copies = 1"), match, "left_semi")
-    several = docs.join(kept.filter("copies > 1"), match, "left_semi").withColumn("__hash", key_text)
-    return single.unionByName(several.dropDuplicates([id_col, "__hash"]).drop("__hash"))
+    kept_id, kept_hash, copies_of, own_hash = hidden(docs, "kept_id", "kept_hash", "copies", "hash")
+    kept = staged(kept.select(F.col("id").alias(kept_id), F.col("hash").alias(kept_hash), F.col("copies").alias(copies_of)), "kept")
+    match = key_id.eqNullSafe(F.col(kept_id)) & (key_text == F.col(kept_hash))
+    single = docs.join(kept.filter(F.col(copies_of) == 1), match, "left_semi")
+    several = docs.join(kept.filter(F.col(copies_of) > 1), match, "left_semi").withColumn(own_hash, key_text)
+    return single.unionByName(several.dropDuplicates([id_col, own_hash]).drop(own_hash))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators.merge import own_shuffle
-from ..scratch import staged
+from ..scratch import discarding_stages, staged
 from .batches import Texts, explode_texts, extend
 
 GRAM = 8
@@ -230,9 +230,11 @@ def remove_repeats(
     the words outside all removed windows, joined by one space."""
     text = F.col(f"`{text_col}`")
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.hash(text).alias("row"), text.alias("text"))
-    found = repeats(keyed.filter(F.col("id").isNotNull()), window)
-    cuts = found.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("cuts"))
-    joined = keyed.join(staged(cuts, "cuts"), ["id", "row"], "left")
+    with discarding_stages(docs.sparkSession):
+        found = repeats(keyed.filter(F.col("id").isNotNull()), window)
+        cuts = found.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("cuts"))
+        cuts = staged(cuts, "cuts", keep=True)
+    joined = keyed.join(cuts, ["id", "row"], "left")
     fields = [
         StructField("n_words", LongType()),
         StructField("n_removed", LongType()),
