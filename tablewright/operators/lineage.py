@@ -2,16 +2,20 @@
 
 Every answer is a loop of joins that carries only the nodes new in the last round and
 writes each round to the shared scratch folder. State is linear in nodes and edges; only
-:func:`reachable_pairs` produces pairs, because pairs are what it is asked for.
+:func:`reachable_pairs` produces pairs, because pairs are what it is asked for. Of what is
+written only the answer stays, as one table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from ..scratch import Rounds, staged
+from ..scratch import Rounds, discarding_stages, staged
 from .merge import own_shuffle
 
 UP, DOWN = "upstream", "downstream"
@@ -21,6 +25,17 @@ class CycleFound(ValueError):
     """The graph has a cycle where an order was asked for."""
 
 
+def _answer(question: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Write the answer once and remove what was written on the way to it."""
+
+    @wraps(question)
+    def ask(edges: DataFrame, *args, **kwargs) -> DataFrame:
+        with discarding_stages(edges.sparkSession):
+            return staged(question(edges, *args, **kwargs), "answer", keep=True)
+
+    return ask
+
+
 def _links(edges: DataFrame, direction: str = DOWN) -> DataFrame:
     """Distinct edges, written once, pointing the way the walk goes (``near`` to ``far``)."""
     if direction not in (UP, DOWN):
@@ -40,6 +55,7 @@ def _schema(links: DataFrame, **extra) -> StructType:
     )
 
 
+@_answer
 def reachable_nodes(edges: DataFrame, roots: DataFrame, direction: str = DOWN) -> DataFrame:
     """Distinct nodes reached from any root by at least one edge.
 
@@ -53,11 +69,12 @@ def reachable_nodes(edges: DataFrame, roots: DataFrame, direction: str = DOWN) -
         return links.join(frontier, links.near == frontier.node).select(F.col("far").alias("node")).distinct()
 
     frontier = rounds.add(step(start))
-    while not frontier.isEmpty():
+    while rounds.new:
         frontier = rounds.add(step(frontier).join(rounds.all(), ["node"], "left_anti"))
     return rounds.all()
 
 
+@_answer
 def reachable_pairs(edges: DataFrame, roots: DataFrame | None = None, direction: str = DOWN) -> DataFrame:
     """(root, node) for every node reached from each root, the root itself left out.
 
@@ -69,7 +86,7 @@ def reachable_pairs(edges: DataFrame, roots: DataFrame | None = None, direction:
     if roots is not None:
         first = first.join(roots.toDF("root").distinct(), ["root"], "left_semi").select("node", "root")
     frontier = rounds.add(first)
-    while not frontier.isEmpty():
+    while rounds.new:
         step = (
             frontier.join(links, frontier.node == links.near)
             .select(F.col("far").alias("node"), "root")
@@ -96,10 +113,11 @@ def _peel(links: DataFrame) -> DataFrame:
 
     none = F.lit(0).cast("bigint")
     frontier = rounds.add(
-        sources.select("node", none.alias("ready"), none.alias("parents"), F.lit(True).alias("done"), F.lit(1).alias("level"))
+        sources.select("node", none.alias("ready"), none.alias("parents"), F.lit(True).alias("done"), F.lit(1).alias("level")),
+        counting=F.col("done"),
     )
     level = 1
-    while not frontier.filter("done").isEmpty():
+    while rounds.new:
         level += 1
         done = frontier.filter("done").select("node")
         reached = counted.join(done, counted.near == done.node).select(
@@ -112,11 +130,13 @@ def _peel(links: DataFrame) -> DataFrame:
             .agg(F.sum("ready").alias("ready"), F.max("parents").alias("parents"))
         )
         frontier = rounds.add(
-            totals.select("node", "ready", "parents", (F.col("ready") == F.col("parents")).alias("done"), F.lit(level).alias("level"))
+            totals.select("node", "ready", "parents", (F.col("ready") == F.col("parents")).alias("done"), F.lit(level).alias("level")),
+            counting=F.col("done"),
         )
     return rounds.all().filter("done").select("node", "level")
 
 
+@_answer
 def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): nodes of one level depend only on lower levels and may run together."""
     links = _links(edges)
@@ -147,7 +167,7 @@ def _colours(core: DataFrame) -> DataFrame:
     """(node, colour): the greatest node that reaches it, itself included."""
     rounds = Rounds(core.sparkSession, "colours", _schema(core, colour=None))
     changed = rounds.add(_nodes(core).select("node", F.col("node").alias("colour")))
-    while not changed.isEmpty():
+    while rounds.new:
         offered = (
             core.join(changed, core.near == changed.node)
             .groupBy(F.col("far").alias("node"))
@@ -165,7 +185,7 @@ def _components(core: DataFrame) -> DataFrame:
     coloured = _colours(core)
     rounds = Rounds(core.sparkSession, "components", _schema(core, colour=None))
     frontier = rounds.add(coloured.filter(F.col("node") == F.col("colour")).select("node", "colour"))
-    while not frontier.isEmpty():
+    while rounds.new:
         back = (
             core.join(frontier, core.far == frontier.node)
             .select(F.col("near").alias("node"), "colour")
@@ -176,6 +196,7 @@ def _components(core: DataFrame) -> DataFrame:
     return rounds.all()
 
 
+@_answer
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Distinct nodes that lie on a cycle (can reach themselves).
 

@@ -137,13 +137,15 @@ def upsert(
     update_if: Callable[[str, str], Column] | None = None,
     stamps: Mapping[str, Column] | None = None,
     dedupe_order_by: str | Sequence[str] | None = None,
+    matched_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Update matched rows, insert unmatched source rows, keep the rest of the target.
 
     ``update_if(target_alias, source_alias)`` restricts the update; ``stamps`` are audit
     columns set on every row that is updated or inserted. Result columns and types are
     the target's; target columns the source lacks keep their value or are NULL on insert,
-    and source columns the target lacks serve at most to order duplicates.
+    and source columns the target lacks serve at most to order duplicates. ``matched_keys``,
+    the distinct source keys that the target has, are looked up unless given.
     """
     keys = key_list(keys)
     if not keys:
@@ -170,8 +172,9 @@ def upsert(
         return F.when(touched, new.cast(f.dataType)).otherwise(old).alias(f.name)
 
     updated = joined.select(*[after(f) for f in target.schema.fields])
-    # Spark moves the semi join below the distinct when it can broadcast the source.
-    matched_keys = target.select(*keys).distinct().join(source.select(*keys), keys, "left_semi")
+    if matched_keys is None:
+        # Spark moves the semi join below the distinct when it can broadcast the source.
+        matched_keys = target.select(*keys).distinct().join(source.select(*keys), keys, "left_semi")
     fresh = rows.matching.join(matched_keys, keys, "left_anti").unionByName(rows.unkeyed)
     inserted = conform(fresh.withColumns(stamps) if stamps else fresh, target)
     after = updated.unionByName(inserted)

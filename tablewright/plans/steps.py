@@ -7,10 +7,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import observed
+
 STEP_COLUMNS = (
     "run_id string, pipeline string, name string, status string, started_at timestamp_ntz, "
     "finished_at timestamp_ntz, duration_ms bigint, rows_in bigint, rows_out bigint, error string"
@@ -21,14 +22,6 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def observed(observation: Observation, name: str) -> int:
-    """A count observed by a query that has run; Spark reports none for a plan it found empty."""
-    try:
-        return observation.get[name]
-    except Py4JError:
-        return 0
-
-
 @dataclass
 class Step:
     """One step. Rows are counted while the data flows by, without a job of their own."""

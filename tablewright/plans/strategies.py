@@ -9,7 +9,7 @@ from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegralType, StringType
+from pyspark.sql.types import DateType, IntegralType, StringType, TimestampType
 
 from ..config import (
     AppendOnly,
@@ -30,9 +30,8 @@ from ..operators.merge import delete_insert, merge, not_older, one_row_per_key,
 from ..operators.schema import SchemaChanged, align_schemas, conform
 from ..operators.snapshots import prune_snapshots, snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
-from ..scratch import discarding_stages, staged
+from ..scratch import discarding_stages, observed, staged
 from . import commit
-from .steps import observed
 
 
 def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
@@ -230,7 +229,7 @@ def _partitioned(spark, config: Partitioned, run):
 
     target = _target(spark, config)
     if config.incremental_column:
-        source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
+        source = newer_than(source, config.incremental_column, _partitioned_mark(spark, config, target, partition))
     if keys:
         _merge_touched(spark, config, target, staged(source, "source"), keys, partition)
     else:
@@ -244,37 +243,58 @@ def _merge_touched(spark, config, target, source, keys, partition):
     """Merge by rewriting only partitions the source names or a matched row lies in.
 
     A matched row may move to another partition; the one it leaves is rewritten too, and
-    dropped if nothing is left in it. The list of touched partitions comes to the driver:
-    it is at most as long as the catalog's own.
+    dropped if nothing is left in it. One join with the target's keys tells all that: which keys
+    match, where they lie and which of them leave. The list of touched partitions comes to the
+    driver: it is at most as long as the catalog's own.
     """
     align_schemas(target, source, "ignore", keys)  # the keys must be there
     _refuse_new_columns(target, source)
-    named = source.select(column(partition).alias("old"), F.lit(False).alias("moved")).distinct()
+    if config.dedupe_order_by:
+        source = staged(one_row_per_key(source, keys, config.dedupe_order_by), "latest")
+    update_if = not_older(config.dedupe_order_by, target) if config.newest_wins else None
+    zero = F.lit(0).cast("bigint")
+    touched, matched_keys = source.select(column(partition).alias("__old"), zero.alias("__left"), F.lit(True).alias("__named")), None
     if config.partition_by not in keys:
-        left = (
-            target.alias("t")
-            .join(source.alias("s"), equal_keys("t", "s", keys))
-            .select(
-                field("t", partition).alias("old"),
-                (~field("t", partition).eqNullSafe(field("s", partition))).alias("moved"),
-            )
-            .distinct()
-        )
-        named = named.union(left)
-    touched = named.groupBy("old").agg(F.bool_or("moved").alias("moved")).collect()
+        leaves = ~field("t", partition).eqNullSafe(field("s", partition))
+        if update_if is not None:
+            leaves = leaves & F.coalesce(update_if("t", "s"), F.lit(False))
+        met = target.alias("t").join(source.alias("s"), equal_keys("t", "s", keys))
+        own_keys = [field("t", k).alias(k) for k in keys]
+        matches = staged(met.select(*own_keys, field("t", partition).alias("__old"), leaves.alias("__leaves")), "matches")
+        matched_keys = matches.select(*keys).distinct()
+        touched = touched.unionByName(matches.select("__old", F.col("__leaves").cast("bigint").alias("__left"), F.lit(False).alias("__named")))
+    touched = touched.groupBy("__old").agg(F.sum("__left").alias("left"), F.bool_or("__named").alias("named")).collect()
     if not touched:
         return
-    scope = commit.in_partitions(target, partition, [r.old for r in touched])
-    update_if = not_older(config.dedupe_order_by, target) if config.newest_wins else None
-    after = upsert(scope, source, keys, update_if=update_if, dedupe_order_by=config.dedupe_order_by or None)
-    emptied = []
-    if any(r.moved for r in touched):
-        left_in = {r[0] for r in after.select(partition).distinct().collect()}
-        emptied = [r.old for r in touched if r.old not in left_in]
+    scope = commit.in_partitions(target, partition, [r[0] for r in touched])
+    after = upsert(scope, source, keys, update_if=update_if, matched_keys=matched_keys)
+    # a row that names a partition fills it, unless it may be turned down as the older one
+    left = {r[0]: r.left for r in touched if r.left and not (r.named and update_if is None)}
+    before = commit.in_partitions(target, partition, list(left)).groupBy(partition).count().collect() if left else []
+    emptied = [r[0] for r in before if r["count"] == left[r[0]]]
+    if emptied and update_if is not None:
+        filled = {r[0] for r in commit.in_partitions(after, partition, emptied).select(partition).distinct().collect()}
+        emptied = [v for v in emptied if v not in filled]
     commit.replace_partitions(after, config.target_table, config.cluster_by)
     commit.drop_partitions(spark, config.target_table, partition, emptied)
 
 
+def _partitioned_mark(spark, config: Partitioned, target: DataFrame, partition: str):
+    """The high-water mark; from the last partition alone where those are dates of the very column.
+
+    TIMESTAMP columns are left out, since their dates depend on the time zone a row was written in.
+    """
+    name = config.incremental_column
+    zoned = isinstance(target.schema[name].dataType, TimestampType)
+    if config.partition_type == "date" and config.partition_by == name and not zoned:
+        dates = [v for v in commit.partition_values(spark, config.target_table) if v is not None]
+        if dates and len({len(v) for v in dates}) == 1:  # the order of such texts is that of time
+            mark = high_watermark(commit.in_partitions(target, partition, [max(dates)]), name)
+            if mark is not None:
+                return mark
+    return high_watermark(target, name)
+
+
 def _expire(spark, config: Partitioned, partition: str, run_date: date) -> None:
     """Drop rows dated before the cutoff: whole partitions through the catalog where dated."""
     cutoff = run_date - timedelta(days=config.partition_expiration_days)

@@ -12,7 +12,9 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
@@ -107,19 +109,33 @@ def staged(df: DataFrame, label: str = "stage", keep: bool = False) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(observation: Observation, name: str) -> int:
+    """A count observed by a query that has run; Spark reports none for a plan it found empty."""
+    try:
+        return observation.get[name]
+    except Py4JError:
+        return 0
+
+
 class Rounds:
-    """Rows found by an iterative job, one written folder per round."""
+    """Rows found by an iterative job, one written folder per round.
+
+    ``new`` is how many rows of the last round count, known from the write itself.
+    """
 
     def __init__(self, spark: SparkSession, label: str, schema: StructType):
         self._spark = spark
         self._schema = schema
         self._folder = scratch_folder(spark, label)
         self._paths: list[str] = []
+        self.new = 0
+        discard_later(self._folder)
 
-    def add(self, df: DataFrame) -> DataFrame:
-        path = f"{self._folder}/round-{len(self._paths):05d}"
-        df.write.parquet(path)
+    def add(self, df: DataFrame, counting: Column | None = None) -> DataFrame:
+        path, seen = f"{self._folder}/round-{len(self._paths):05d}", Observation()
+        df.observe(seen, F.count_if(F.lit(True) if counting is None else counting).alias("new")).write.parquet(path)
         self._paths.append(path)
+        self.new = observed(seen, "new")
         return self.last()
 
     def last(self) -> DataFrame:

@@ -5,7 +5,7 @@ executors. Each record arrives as JSON text; :func:`parsed` turns it into column
 Spark. ``http_post`` sends rows from every partition.
 
 Option ``url`` may hold ``{page}`` and ``{per_page}``; otherwise they become query
-parameters. Besides http(s), any file system Arrow can open serves as a source of pages;
+parameters, beside those of ``params``. ``method`` and ``json_body`` make it a query by POST. Besides http(s), any file system Arrow can open serves as a source of pages;
 a page that is missing there counts as empty.
 """
 
@@ -55,10 +55,10 @@ def headers_from(options: dict) -> dict[str, str]:
     return {**plain, **auth_headers(**auth)}
 
 
-def fetch(url: str, headers: dict[str, str], timeout: float) -> str | None:
-    """The body at ``url``; None for a file that does not exist."""
+def fetch(url: str, headers: dict[str, str], timeout: float, method: str = "GET", body: str | None = None) -> str | None:
+    """What ``url`` answers, sent ``body`` (JSON) if there is one; None for a file that does not exist."""
     if url.startswith(("http://", "https://")):
-        request = urllib.request.Request(url, headers=headers)
+        request = request_for(url, headers, method, body)
         with urllib.request.urlopen(request, timeout=timeout) as response:
             return response.read().decode("utf-8")
     from pyarrow import fs
@@ -78,6 +78,12 @@ def fetch(url: str, headers: dict[str, str], timeout: float) -> str | None:
     return files.open_input_stream(path).read().decode("utf-8")
 
 
+def request_for(url: str, headers: dict[str, str], method: str, body: str | None) -> urllib.request.Request:
+    data = None if body is None else body.encode("utf-8")
+    kind = {} if body is None else {"Content-Type": "application/json"}
+    return urllib.request.Request(url, data=data, headers={**kind, **headers}, method=method.upper())
+
+
 def records_at(body: str | None, response_path: str) -> list:
     """Follow a dotted path; a list gives its items, anything else one record."""
     data = json.loads(body) if body else None
@@ -107,14 +113,24 @@ class PagedHttpReader(DataSourceReader):
         self.stop_at_bound = str(options.get("stop_at_bound", "false")).lower() == "true"
         self.pages_per_task = max(1, int(options.get("pages_per_task", 10)))
         self.response_path = options.get("response_path", "")
+        self.method = options.get("method", "GET")
+        self.params = json.loads(options.get("params", "{}"))
+        self.body = options.get("json_body")
+        if self.body is not None:
+            json.loads(self.body)  # a body that is not JSON fails here, not on the executors
 
     def page_url(self, page: int) -> str:
-        if "{page}" in self.url:
-            return self.url.replace("{page}", str(page)).replace("{per_page}", str(self.per_page))
-        if not self.paginate:
-            return self.url
-        query = urllib.parse.urlencode({self.page_param: page, self.per_page_param: self.per_page})
-        return f"{self.url}{'&' if '?' in self.url else '?'}{query}"
+        url, query = self.url, dict(self.params)
+        if "{page}" in url:
+            url = url.replace("{page}", str(page)).replace("{per_page}", str(self.per_page))
+        elif self.paginate:
+            query |= {self.page_param: page, self.per_page_param: self.per_page}
+        if not query:
+            return url
+        return f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(query, doseq=True)}"
+
+    def page(self, number: int) -> list:
+        return records_at(fetch(self.page_url(number), self.headers, self.timeout, self.method, self.body), self.response_path)
 
     def partitions(self) -> list[InputPartition]:
         if not self.paginate:
@@ -124,14 +140,14 @@ class PagedHttpReader(DataSourceReader):
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         for page in range(partition.first, partition.last + 1):
-            records = records_at(fetch(self.page_url(page), self.headers, self.timeout), self.response_path)
+            records = self.page(page)
             if not records:
                 return  # past the end: every later page is empty too
             for record in records:
                 yield page, json.dumps(record, ensure_ascii=False)
         if self.paginate and partition.last == self.max_pages and not self.stop_at_bound:
             beyond = self.max_pages + 1
-            if records_at(fetch(self.page_url(beyond), self.headers, self.timeout), self.response_path):
+            if self.page(beyond):
                 raise RuntimeError(f"page {beyond} has records too: raise max_pages, or set stop_at_bound to leave them out")
 
 
@@ -201,9 +217,14 @@ def register_http(spark: SparkSession, *more: type[DataSource]) -> None:
 
 
 def read_pages(spark: SparkSession, url: str, **options) -> DataFrame:
-    """(page, record) with ``record`` as JSON text."""
+    """(page, record) with ``record`` as JSON text.
+
+    ``params`` (a mapping) joins the query string and ``json_body`` (anything JSON can hold) is
+    sent with every page; ``method`` is GET unless given.
+    """
     register_http(spark)
-    return spark.read.format("paged_http").options(url=url, **{k: str(v) for k, v in options.items()}).load()
+    given = {k: json.dumps(v) if k in ("params", "json_body") else str(v) for k, v in options.items() if v is not None}
+    return spark.read.format("paged_http").options(url=url, **given).load()
 
 
 def post_rows(df: DataFrame, url: str, **options) -> None:

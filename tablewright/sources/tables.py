@@ -13,8 +13,7 @@ from ..functions.columns import key_list
 from ..operators.merge import one_row_per_key, upsert
 from ..operators.schema import conform, describe
 from ..plans import commit
-from ..plans.steps import observed
-from ..scratch import discarding_stages, staged
+from ..scratch import discarding_stages, observed, staged
 
 
 def extract(spark: SparkSession, query: str, params: Mapping[str, Any] | Sequence[Any] | None = None) -> DataFrame:

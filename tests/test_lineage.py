@@ -104,3 +104,59 @@ def test_against_brute_force(spark, seed):
     for node in sorted({n for e in order for n in e}):
         level[node] = 1 + max((level[a] for a, b in order if b == node), default=0)
     assert rows(topological_levels(graph(spark, order, "int"))) == sorted(level.items())
+
+
+def test_only_the_answer_stays_in_the_shared_folder(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    folders = lambda: {f.name for f in shared.iterdir() if f.is_dir()}
+    edges, looped = graph(spark, DIAMOND), graph(spark, [*DIAMOND, ("e", "b")])
+    questions = [
+        lambda: reachable_nodes(edges, names(spark, "a")),
+        lambda: reachable_pairs(edges, names(spark, "a")),
+        lambda: topological_levels(edges),
+        lambda: cycle_nodes(looped),
+        lambda: downstream_subgraph(edges, names(spark, "b")),
+    ]
+    for ask in questions:
+        before = folders()
+        found = ask()
+        left = folders() - before
+        assert len(left) == 1 and left.pop().startswith("answer-")
+        assert found.count() > 0
+    before = folders()
+    with pytest.raises(CycleFound):
+        topological_levels(looped)
+    assert folders() == before
+
+
+def test_a_hub_is_split(skewed_edges):
+    from tablewright.operators.lineage import _links
+
+    spark, edges = skewed_edges
+    links = _links(edges)
+    frontier = spark.range(2_000).select(F.col("id").alias("node"))
+    step = links.join(frontier, links.near == frontier.node).select(F.col("far").alias("node"))
+    step.collect()
+    assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def skewed_edges(spark):
+    """A hub with most of the edges, no broadcasts, and a low bar for what counts as skewed."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    hub = F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id") % 2_000)
+    yield spark, spark.range(0, 60_000, 1, 8).select(hub.cast("bigint").alias("upstream"), F.sha2(F.col("id").cast("string"), 256).alias("downstream"))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)

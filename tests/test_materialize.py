@@ -159,6 +159,44 @@ def test_partitioned_merge_moves_rows_and_drops_emptied_partitions(spark, table,
     assert len(before) == 3 and len(after) == 3 and not any(v and v.startswith("2024") for v in after)
 
 
+def test_a_partition_is_dropped_only_if_nothing_stays_or_arrives(spark, table):
+    d, opts = date, dict(unique_key="event_id", dedupe_order_by="user_id", newest_wins=True)
+    first = df(spark, EVENTS, (1, d(2024, 1, 1), 5), (2, d(2024, 1, 2), 6), (3, d(2024, 1, 2), 6), (4, d(2024, 1, 3), 6), (5, d(2024, 1, 5), 9))
+    partitioned(spark, table, first, **opts)
+    # 1 leaves the 1st for good; 2 leaves the 2nd, where 3 stays; 4 leaves the 3rd, which an older 5 names in vain
+    later = df(spark, EVENTS, (1, d(2024, 1, 4), 7), (2, d(2024, 1, 4), 7), (4, d(2024, 1, 4), 7), (4, d(2024, 1, 9), 1), (5, d(2024, 1, 3), 8))
+    partitioned(spark, table, later, **opts)
+    assert rows(spark.table(table), "event_id", "event_date", "user_id") == [
+        (1, d(2024, 1, 4), 7), (2, d(2024, 1, 4), 7), (3, d(2024, 1, 2), 6), (4, d(2024, 1, 4), 7), (5, d(2024, 1, 5), 9),
+    ]
+    assert sorted(commit.partition_values(spark, table)) == ["2024-01-02", "2024-01-04", "2024-01-05"]
+
+
+def test_partitioned_merge_refuses_repeats_and_leaves_other_files(spark, table):
+    opts = dict(unique_key="event_id")
+    partitioned(spark, table, df(spark, EVENTS, (1, date(2024, 1, 1), 5), (2, date(2024, 1, 2), 6)), **opts)
+    files = {f for f in spark.table(table).inputFiles() if "2024-01-02" in f}
+    with pytest.raises(Exception, match="duplicate source key"):
+        partitioned(spark, table, df(spark, EVENTS, (1, date(2024, 1, 3), 5), (1, date(2024, 1, 4), 6)), **opts)
+    partitioned(spark, table, df(spark, EVENTS, (1, date(2024, 1, 3), 5)), **opts)
+    assert {f for f in spark.table(table).inputFiles() if "2024-01-02" in f} == files
+    assert rows(spark.table(table), "event_id", "event_date") == [(1, date(2024, 1, 3)), (2, date(2024, 1, 2))]
+
+
+@pytest.mark.parametrize("granularity", ["day", "month"])
+def test_the_mark_of_a_partitioned_table_needs_its_last_partition_only(spark, table, granularity, monkeypatch):
+    from tablewright.plans import strategies
+
+    read = []
+    whole = strategies.high_watermark
+    monkeypatch.setattr(strategies, "high_watermark", lambda t, n: read.append(t.inputFiles()) or whole(t, n))
+    opts = dict(incremental_column="event_date", partition_granularity=granularity)
+    partitioned(spark, table, df(spark, EVENTS, (1, date(2024, 1, 1), 5), (2, date(2024, 3, 2), 6), (3, None, 6)), **opts)
+    partitioned(spark, table, df(spark, EVENTS, (4, date(2024, 3, 1), 5), (5, date(2024, 3, 2), 5), (6, date(2024, 3, 3), 5)), **opts)
+    assert rows(spark.table(table), "event_id") == [(1,), (2,), (3,), (6,)]
+    assert len(read) == 1 and all("2024-03" in f for f in read[0])
+
+
 @pytest.mark.parametrize("granularity", ["day", "month", "year", "hour"])
 def test_partition_expiry_is_exact_and_spares_null(spark, table, granularity):
     d = date

@@ -179,6 +179,10 @@ def test_page_urls_and_headers():
 
     assert PagedHttpReader({"url": "http://h/x", "per_page": "5"}).page_url(2) == "http://h/x?page=2&per_page=5"
     assert PagedHttpReader({"url": "http://h/x?a=1", "page_param": "p"}).page_url(2) == "http://h/x?a=1&p=2&per_page=100"
+    asked = PagedHttpReader({"url": "http://h/x", "params": '{"q": "a b", "tag": ["u", "v"]}', "page_param": "p"})
+    assert asked.page_url(3) == "http://h/x?q=a+b&tag=u&tag=v&p=3&per_page=100"
+    single = PagedHttpReader({"url": "http://h/x", "params": '{"q": 1}', "paginate": "false"})
+    assert single.page_url(1) == "http://h/x?q=1"
     assert auth_headers("bearer", "t") == {"Authorization": "Bearer t"}
     assert auth_headers("api_key", "k", header="X-K") == {"X-K": "k"}
     assert auth_headers("basic", user="u", password="p") == {"Authorization": "Basic dTpw"}
@@ -187,6 +191,26 @@ def test_page_urls_and_headers():
         auth_headers("seal")
 
 
+def test_requests_with_a_method_and_a_body():
+    from tablewright.sources.http import PagedHttpReader, request_for
+
+    plain = request_for("http://h/x", {"A": "1"}, "GET", None)
+    assert plain.get_method() == "GET" and plain.data is None and plain.headers == {"A": "1"}
+    posted = request_for("http://h/x", {"A": "1"}, "post", '{"q": "é"}')
+    assert posted.get_method() == "POST" and posted.data.decode() == '{"q": "é"}'
+    assert posted.headers == {"A": "1", "Content-type": "application/json"}
+    reader = PagedHttpReader({"url": "http://h/x", "method": "POST", "json_body": '{"q": 1}'})
+    assert (reader.method, reader.body) == ("POST", '{"q": 1}')
+    with pytest.raises(ValueError):
+        PagedHttpReader({"url": "http://h/x", "json_body": "{q"})
+
+
+def test_options_travel_as_json(spark, tmp_path):
+    page_files(tmp_path, [[{"id": 1}]])
+    df = read_pages(spark, f"file://{tmp_path}/{{page}}.json", max_pages=2, json_body={"q": [1]}, params={})
+    assert rows(df, "page") == [(1,)]
+
+
 class FolderWriter(HttpPostWriter):
     def deliver(self, payload):
         import uuid
