@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
+from ..scratch import discarding_stages, staged
 from .batches import Texts, extend, hidden, held_out, once
 
 UNKNOWN = "und"
@@ -79,11 +80,16 @@ def fit(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col
     ranked = usable.select(lang.alias("lang"), key.alias("id"), order.alias("hash"))
     counts = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     picked = ranked.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= SAMPLE)
-    picked = picked.select("lang", F.col("id").alias("__id"), "k").distinct()
+    picked = picked.groupBy(F.col("lang").alias("__lang"), F.col("id").alias("__id")).agg(F.min("k").alias("k"))
     at = F.pmod(order, F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1) + 1
     piece = F.substring(text, at.cast("int"), F.lit(SLICE_CHARS))
-    rows = usable.join(picked.withColumnRenamed("lang", "__lang"), (key == F.col("__id")) & (lang == F.col("__lang")))
-    rows = rows.select(lang.alias("lang"), "k", piece.alias("piece")).filter(F.col("k") <= SAMPLE).collect()
+    with discarding_stages(docs.sparkSession):
+        # written first: its size, of SAMPLE ids a language, is known then, and no text is shuffled to meet it
+        picked = staged(picked, "picked")
+        rows = usable.join(picked, (key == F.col("__id")) & (lang == F.col("__lang")))
+        rows = rows.select(lang.alias("lang"), "k", piece.alias("piece"))
+        first = Window.partitionBy("lang").orderBy("k", "piece")  # an id may be repeated
+        rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).collect()
     names = sorted(counts, key=lambda name: (-counts[name], name))
     contents = []
     for name in names:
