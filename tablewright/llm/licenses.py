@@ -1,7 +1,7 @@
 """Licence notices by the Dice coefficient over word bigrams, in DataFrame functions only.
 
-A text's units are its lines and, if it has several, the whole of it. A unit is normalised
-(lower case, runs of anything but letters and digits become one space) and becomes the set of its word
+A text's units are its lines and, if it has several, the whole of it; and places inside it, see
+below. A unit is normalised (lower case, runs of anything but letters and digits become one space) and becomes the set of its word
 bigrams; a template does too. A unit shows a template if twice the number of shared bigrams,
 over the sum of both sizes, is at least the least coefficient t.
 
@@ -14,6 +14,15 @@ t / (2 - t) * b of its bigrams, so it has a word of any set of words that all bu
 contain. A small such set is chosen for all templates together; text without any of these words
 is not normalised at all. This loses nothing: it is a bound like that on sizes.
 
+Places are runs of consecutive words, over line ends or inside a line, so that a wrapped notice or
+one sentence of a line is found too. A run that reaches t has at most (2 - t) / t times as many
+bigrams as its template; one that begins or ends with a bigram the template lacks is no better
+than without it. So only runs from one of the template's bigrams to another are compared, and
+only from where enough different ones lie within that length. Larger templates are placed first, then greater
+coefficients, then earlier runs; a run that overlaps a placed one is left out, as it is part of the
+same notice. A place is a unit of its own unless a line it touches, or the whole text, shows its
+template already.
+
 At scale: everything is a projection of the row it is about: no shuffle, no join, nothing
 collected. The templates are literals in the plan; they are few, and their number is limited by
 ``MOST_TEMPLATES``, beyond which the call fails instead of leaving any out.
@@ -24,8 +33,8 @@ coefficients: the lesser name is the best. Repeated rows are judged one by one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from math import ceil
+from collections.abc import Callable, Mapping
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,6 +206,85 @@ def _ranges(within: Mapping[int, list[str]]) -> list[tuple[int, int, list[str]]]
     return runs
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def places(lines: Column, templates: Mapping[str, str], least: float) -> Column:
+    """array<struct<license, dice, first, last>> of the runs of words that show a template, none
+    overlapping another, with the numbers of the lines they begin and end in."""
+    sets, _ = _sizes(templates, least)
+    if not sets:
+        return F.array().cast("array<struct<license:string,dice:double,first:int,last:int>>")
+    every = sorted({g for grams in sets.values() for g in grams})
+
+    def runs(name: str, hits: Column, grams: Column) -> Column:
+        """For each begin the best run of one template: greatest coefficient, then shortest."""
+        size, least_shared = len(sets[name]), ceil(least * len(sets[name]) / (2 - least) - 1e-9)
+        longest = floor((2 - least) / least * (len(words_of(templates[name])) - 1) + 1e-9)
+
+        def best(own: Column, at: Column) -> Column:
+            begin = F.get(own, at)
+            near = F.filter(F.slice(own, at + 1, F.lit(longest)), lambda x: x["k"] < begin["k"] + longest)
+
+            def until(near: Column, n: Column) -> Column:
+                end = F.get(near, n - 1)
+                shared = F.size(F.array_distinct(F.transform(F.slice(near, F.lit(1), n), lambda x: x["g"])))
+                length = end["k"] - begin["k"] + 1
+                found = F.size(F.array_distinct(F.transform(F.slice(grams, begin["k"] + 1, length), lambda x: x["g"])))
+                return F.struct(
+                    F.lit(-size).alias("order"),
+                    (-2 * shared / (found + size)).alias("minus_dice"),
+                    begin["k"].alias("begin"),
+                    end["k"].alias("end"),
+                    F.lit(name).alias("license"),
+                    begin["first"].alias("first"),
+                    end["last"].alias("last"),
+                )
+
+            def chosen(near: Column) -> Column:
+                enough = F.size(F.array_distinct(F.transform(near, lambda x: x["g"]))) >= least_shared
+                ends = F.sequence(F.lit(least_shared), F.size(near))
+                return F.when(enough, F.array_min(F.transform(ends, lambda n: until(near, n))))
+
+            return _let(near, chosen)
+
+        def begins(own: Column) -> Column:
+            dense = lambda at: F.get(own, at + least_shared - 1)["k"] < F.get(own, at)["k"] + longest
+            at = F.filter(F.sequence(F.lit(0), F.size(own) - least_shared), dense)
+            found = F.filter(F.transform(at, lambda k: best(own, k)), lambda r: r["minus_dice"] <= -least)
+            return F.when(F.size(own) >= least_shared, found)
+
+        return _let(F.filter(hits, lambda x: x["g"].isin(sets[name])), begins)
+
+    def placed(candidates: Column) -> Column:
+        apart = lambda done, r: ~F.exists(done, lambda d: (d["begin"] <= r["end"] + 1) & (r["begin"] <= d["end"] + 1))
+        none = F.filter(candidates, lambda r: F.lit(False))
+        return F.aggregate(candidates, none, lambda done, r: F.when(apart(done, r), F.array_append(done, r)).otherwise(done))
+
+    def found(grams: Column) -> Column:
+        hits = F.filter(grams, lambda x: x["g"].isin(every))
+        by_template = lambda hits: F.flatten(F.filter(F.array(*[runs(n, hits, grams) for n in sets]), lambda r: r.isNotNull()))
+        return _let(F.array_sort(_let(hits, by_template)), placed)
+
+    def numbered(line: Column, k: Column) -> Column:
+        return F.transform(words(line), lambda w: F.struct(w.alias("w"), k.alias("line")))
+
+    def pairs(tokens: Column) -> Column:
+        last = F.greatest(F.size(tokens) - 1, F.lit(0))
+        made = F.zip_with(
+            F.slice(tokens, F.lit(1), last),
+            F.slice(tokens, F.lit(2), last),
+            lambda a, b: F.struct(F.concat(a["w"], F.lit(" "), b["w"]).alias("g"), a["line"].alias("first"), b["line"].alias("last")),
+        )
+        return F.transform(made, lambda x, k: F.struct(x["g"].alias("g"), k.alias("k"), x["first"].alias("first"), x["last"].alias("last")))
+
+    runs_of_text = _let(_let(F.flatten(F.transform(lines, numbered)), pairs), found)
+    kept = lambda r: F.struct(r["license"].alias("license"), (-r["minus_dice"]).alias("dice"), r["first"].alias("first"), r["last"].alias("last"))
+    return F.transform(runs_of_text, kept)
+
+
 def scan(
     docs: DataFrame,
     *,
@@ -205,8 +293,8 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES,
     least: float = LEAST_DICE,
 ) -> DataFrame:
-    """(id, n_lines, n_notices, licenses, best_license, best_dice) for every row: lines, units that
-    show a template, the names shown (sorted, comma-joined), and the best of them."""
+    """(id, n_lines, n_notices, licenses, best_license, best_dice) for every row: lines, units (places
+    among them) that show a template, the names shown (sorted, comma-joined), and the best of them."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; more than {MOST_TEMPLATES} do not belong in a plan")
     text = text_column(docs, text_col)
@@ -216,7 +304,21 @@ def scan(
     shown = F.transform(units, lambda unit: notices(unit, templates, least))
     possible = _has_any(text, needed_words(_sizes(templates, least)[0], least))
     shown = F.when(possible, shown).otherwise(F.array().cast("array<array<struct<license:string,dice:double>>>"))
-    bare = docs.select(F.col(f"`{id_col}`").alias(id_col), F.size(lines).cast("bigint").alias("n_lines"), shown.alias("shown"))
+    within = places(lines, templates, least)
+    within = F.when(possible, within).otherwise(F.array().cast("array<struct<license:string,dice:double,first:int,last:int>>"))
+    bare = docs.select(
+        F.col(f"`{id_col}`").alias(id_col),
+        F.size(lines).cast("bigint").alias("n_lines"),
+        shown.alias("shown"),
+        within.alias("within"),
+    )
+    # lines come first in shown, the whole text after them
+    known = lambda units, p: F.exists(units, lambda unit: F.exists(unit, lambda s: s["license"] == p["license"]))
+    touched = lambda p: F.slice("shown", p["first"] + 1, p["last"] - p["first"] + 1)
+    whole = F.filter("shown", lambda unit, k: k >= F.col("n_lines"))
+    more = F.filter("within", lambda p: ~known(touched(p), p) & ~known(whole, p))
+    more = F.transform(more, lambda p: F.array(F.struct(p["license"].alias("license"), p["dice"].alias("dice"))))
+    bare = bare.select(id_col, "n_lines", F.concat("shown", more).alias("shown"))
     flat = F.flatten("shown")
     best = F.array_max(F.transform(flat, lambda s: s["dice"]))
     names = F.array_sort(F.array_distinct(F.transform(flat, lambda s: s["license"])))

@@ -1,5 +1,6 @@
 """Operators that learn or choose: held-out accuracy, round trips, and odd tables."""
 
+import textwrap
 import zlib
 from collections import defaultdict
 from itertools import groupby
@@ -301,6 +302,19 @@ def test_notices_against_plain_comparison(spark, documents):
         assert r["best_dice"] == (None if best[0] is None else pytest.approx(-best[0]))
 
 
+def test_notices_over_several_lines_and_inside_a_line(documents):
+    grant, terms, gpl = (licenses.TEMPLATES[n] for n in ("MIT-grant", "MIT-terms", "GPL-3.0-notice"))
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 60))
+    mit = "MIT License\n\nCopyright (c) 2024 Somebody\n\n" + wrap(grant) + "\n\n" + wrap(terms) + "\n\nIN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    code = "\n".join(f"value_{k} = compute(value_{k - 1}) + offset[{k}]" for k in range(40))
+    sentence = "Some story of an old house by the sea. Released under the MIT License. More text follows here, and it goes on."
+    texts = [mit, "import os\n" + wrap(gpl, "# ") + "\n" + code, sentence, f"{code} {sentence} {sentence}\n{grant} {code}", "the license of the software " * 300, grant]
+    found = {r["doc_id"]: r for r in licenses.scan(documents(*enumerate(texts))).collect()}
+    shown = [(found[k]["n_notices"], found[k]["licenses"]) for k in range(len(texts))]
+    assert shown == [(2, "MIT-grant,MIT-terms"), (1, "GPL-3.0-notice"), (1, "MIT"), (3, "MIT,MIT-grant"), (0, ""), (1, "MIT-grant")]
+    assert [found[k]["best_dice"] for k in (0, 2)] == [1.0, 1.0]
+
+
 def test_licences_run_without_python(spark):
     plan = queries.op3_licenses(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
