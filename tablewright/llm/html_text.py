@@ -22,6 +22,7 @@ space in a block becomes one space, blocks are joined by one. Repeated rows are
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 from math import e, log
 
@@ -67,6 +68,9 @@ BOILERPLATE = re.compile(
     r"widget\w*|pagination|pager|toolbar|copyright|disclaimer|legal|contentinfo|navigation|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Ends of a comment, and what closes one right after its start.
+COMMENT_END = re.compile(r"--(?:!|\s*)>")
+COMMENT_AT_ONCE = re.compile("-?>")
 CONTAINERS = ("article", "main")
 
 
@@ -83,8 +87,12 @@ class Node:
 class Tree(HTMLParser):
     """Elements as a tree, end tags that are missing implied as browsers do."""
 
+    open_ended = ("textarea", "title")
+    CDATA_CONTENT_ELEMENTS = ("script", "style", *open_ended)
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.closing = False
         self.root = self.here = Node("#root", None, False)
         self.order = [self.root]
 
@@ -124,8 +132,23 @@ class Tree(HTMLParser):
         if node.parent is not None:
             self.here = node.parent
 
+    def close(self):
+        self.closing = True
+        super().close()
+
+    def parse_comment(self, i, report=1):
+        """The end of a comment, closed as browsers close it or, on close(), reaching to the end."""
+        end = COMMENT_AT_ONCE.match(self.rawdata, i + 4) or COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata) if self.closing else -1
+
+    def set_cdata_mode(self, elem):
+        if elem in self.open_ended and f"</{elem}" not in self.rawdata.lower():
+            self.CDATA_CONTENT_ELEMENTS = ("script", "style")  # never closed: read on as elements
+        else:
+            super().set_cdata_mode(elem)
+
     def handle_data(self, data):
-        self.here.items.append(data)
+        self.here.items.append(unescape(data) if self.here.tag == "title" else data)
 
 
 def measure(order: list[Node]) -> None:
@@ -215,9 +238,6 @@ def text_of(node: Node) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    opened = html.rfind("<!--")
-    if opened > html.rfind("-->"):  # a comment that never ends reaches to the end
-        html = html[:opened]
     tree = Tree()
     tree.feed(html)
     tree.close()

@@ -258,6 +258,18 @@ def test_pages_without_text(html):
         assert html_text.main_text(html).strip("<pahref='= ") == ""
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<script>var s='<!--';</script>", "<script><!--\nx()</script>", "<style><!-- p{}</style>", "<textarea><!--</textarea>", "<i title='<!--'></i>", "<!-- a --!>", "<!-->", "<title>a <!-- b</title>"],
+)
+def test_comment_marks_that_open_no_comment(before):
+    assert html_text.main_text(f"{before}<article>{ARTICLE}</article>") == TEXT
+
+
+def test_an_open_comment_reaches_to_the_end():
+    assert html_text.main_text(f"<article>{ARTICLE}<!-- <p>gone</p></article>") == TEXT
+
+
 def test_plain_text_and_deep_pages():
     assert html_text.main_text("just  text") == "just text"
     deep = "<div>" * 20_000 + "deep words" + "</div>" * 20_000
