@@ -7,9 +7,10 @@ surrounds them is not. The least density on the path from that node up to the bo
 threshold: a neighbour of the path at least as dense, and not itself boilerplate, belongs to
 the article too.
 
-What is never article text is left out before densities are computed: scripts, styles, forms,
-navigation, headers, footers, asides, and blocks whose class, id or role names adverts, menus,
-notices, comments and the like. An ``article`` or ``main`` element around the chosen node is
+What is never article text is left out before densities are computed: scripts, styles,
+navigation, headers, footers, asides. So are forms and blocks whose class, id or role names adverts, menus,
+notices, comments and the like, unless such a block holds most of the page's unlinked text and no
+article outside of it is told (``settle_marks``). An ``article`` or ``main`` element around the chosen node is
 taken whole, so that its headline and short paragraphs stay.
 
 At scale: one pass over the rows, no shuffle. The tree is walked without recursion, so depth
@@ -35,9 +36,11 @@ from .batches import Texts, extend, hidden
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_TEXT = frozenset(
     "head script style noscript template iframe object svg math canvas audio video map "
-    "form button select textarea input label fieldset datalist "
+    "button select textarea input label datalist "
     "nav header footer aside menu dialog".split()
 )
+#: Elements that are boilerplate like blocks marked by their class.
+MARKED = frozenset("form fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt rtc ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -72,13 +75,15 @@ BOILERPLATE = re.compile(
 COMMENT_END = re.compile(r"--(?:!|\s*)>")
 COMMENT_AT_ONCE = re.compile("-?>")
 CONTAINERS = ("article", "main")
+#: Share of the page's unlinked text from which an unmarked article or main is taken for the page's own.
+ARTICLE_SHARE = 0.1
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "items", "links", "link_chars", "parent", "skip", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "items", "links", "link_chars", "marked", "parent", "skip", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, marked: bool = False):
+        self.tag, self.parent, self.skip, self.marked = tag, parent, skip, marked
         self.items: list[Node | str] = []  # text and elements in page order
         self.chars = self.tags = self.links = self.link_chars = 0
         self.density = self.total = 0.0
@@ -113,8 +118,8 @@ class Tree(HTMLParser):
             return  # a second one only adds attributes
         marks = " ".join(value for name, value in attrs if name in ("class", "id", "role") and value)
         skip = tag in NEVER_TEXT or any(name == "hidden" for name, _ in attrs)
-        skip = skip or bool(marks and tag not in ("html", "body", *CONTAINERS) and BOILERPLATE.search(marks))
-        node = Node(tag, self.here, skip)
+        marked = tag in MARKED or bool(marks and tag not in ("html", "body", *CONTAINERS) and BOILERPLATE.search(marks))
+        node = Node(tag, self.here, skip, marked)
         self.here.items.append(node)
         self.order.append(node)
         if tag not in VOID:
@@ -166,6 +171,47 @@ def measure(order: list[Node]) -> None:
                 node.link_chars += item.chars if item.tag == "a" else item.link_chars
 
 
+def settle_marks(order: list[Node]) -> None:
+    """Skip marked blocks, but for those that hold most of the page's unlinked text.
+
+    Where an article or main outside of them, or else inside such large ones alone, has a fair share of
+    it, only the blocks around it stay: what else is marked there, however long, is about the article
+    (comments, say). If nothing else is left, no block is skipped for its mark.
+    """
+    full: dict[int, int] = {}  # unlinked characters below a node
+    plain: dict[int, int] = {}  # the same without marked blocks
+    for node in reversed(order):
+        for item in node.items if node.tag != "a" and not node.skip else ():
+            held = isinstance(item, Node)
+            n = full.get(id(item), 0) if held else len("".join(item.split()))
+            full[id(node)] = full.get(id(node), 0) + n
+            unmarked = (0 if item.marked else plain.get(id(item), 0)) if held else n
+            plain[id(node)] = plain.get(id(node), 0) + unmarked
+    total, left = full.get(id(order[0]), 0), plain.get(id(order[0]), 0)
+    most = lambda node: 2 * full.get(id(node), 0) > total
+
+    def article(inside_most: bool) -> Node | None:
+        """The largest article or main with a fair share, outside of marked blocks but those allowed."""
+        covered, best = set(), None
+        for node in order:  # parents come before their children
+            closed = node.skip or node.marked and not (inside_most and most(node))
+            if node.parent is not None and (closed or id(node.parent) in covered):
+                covered.add(id(node))
+            elif node.tag in CONTAINERS and (best is None or plain.get(id(node), 0) > plain.get(id(best), 0)):
+                best = node
+        return best if best is not None and plain.get(id(best), 0) >= max(ARTICLE_SHARE * total, 1) else None
+
+    told = article(False) or article(True)
+    around = set()
+    node = told
+    while node is not None:
+        around.add(id(node))
+        node = node.parent
+    for node in order:
+        if node.marked and id(node) not in around and (told is not None or left and not most(node)):
+            node.skip = True
+
+
 def score(order: list[Node], body: Node) -> None:
     """Composite density of every node, and the sum over its children."""
     body_share = body.link_chars / max(body.chars, 1)
@@ -185,6 +231,7 @@ def score(order: list[Node], body: Node) -> None:
 def chosen(order: list[Node]) -> list[Node]:
     """The subtrees that make up the article, in page order."""
     body = next((n for n in order if n.tag == "body"), order[0])
+    settle_marks(order)
     measure(order)
     score(order, body)
     inside = [n for n in order if not n.skip and n.chars and n.tag not in INLINE and not _skipped(n)]

@@ -266,6 +266,19 @@ def test_comment_marks_that_open_no_comment(before):
     assert html_text.main_text(f"{before}<article>{ARTICLE}</article>") == TEXT
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-with-sidebar'", "section class='no-ads nav-open'", "div id='widget-area'", "form"])
+def test_article_inside_a_marked_block(wrapper):
+    closing = wrapper.split()[0]
+    inner = "".join(NOISE[:3]) + f"<article>{ARTICLE}</article>" + NOISE[-4]
+    assert html_text.main_text(page(f"<{wrapper}>{inner}</{closing}>")) == TEXT
+    assert html_text.main_text(page(f"<{wrapper}><div>{ARTICLE}</div>{NOISE[0]}</{closing}>")) == TEXT
+
+
+def test_long_comments_stay_out():
+    comments = f"<div class='comments'>{'<p>A comment with a good number of words in it.</p>' * 8}</div>"
+    assert html_text.main_text(page(f"<article>{ARTICLE}</article>{comments}")) == TEXT
+
+
 def test_an_open_comment_reaches_to_the_end():
     assert html_text.main_text(f"<article>{ARTICLE}<!-- <p>gone</p></article>") == TEXT
 
