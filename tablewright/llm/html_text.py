@@ -5,13 +5,13 @@ lowered where its text is in links; a node's *density sum* is the sum over its c
 node of the greatest sum is where the article is: its own paragraphs are dense, and what
 surrounds them is not. The least density on the path from that node up to the body is the
 threshold: a neighbour of the path at least as dense, and not itself boilerplate, belongs to
-the article too.
+the article too, and so does text that stands in the path's nodes directly.
 
 What is never article text is left out before densities are computed: scripts, styles,
 navigation, headers, footers, asides. So are forms and blocks whose class, id or role names adverts, menus,
 notices, comments and the like, unless such a block holds most of the page's unlinked text and no
-article outside of it is told (``settle_marks``). An ``article`` or ``main`` element around the chosen node is
-taken whole, so that its headline and short paragraphs stay.
+article outside of it is told (``settle_marks``). The outermost ``article`` around the chosen node (or else ``main``) is taken
+whole, so that its headline and short paragraphs stay; in a ``main`` around it the path goes on.
 
 At scale: one pass over the rows, no shuffle. The tree is walked without recursion, so depth
 is no limit; a page is read in time proportional to its length.
@@ -75,6 +75,7 @@ BOILERPLATE = re.compile(
 COMMENT_END = re.compile(r"--(?:!|\s*)>")
 COMMENT_AT_ONCE = re.compile("-?>")
 CONTAINERS = ("article", "main")
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Share of the page's unlinked text from which an unmarked article or main is taken for the page's own.
 ARTICLE_SHARE = 0.1
 
@@ -228,46 +229,61 @@ def score(order: list[Node], body: Node) -> None:
         node.total += sum(len("".join(i.split())) for i in node.items if isinstance(i, str))
 
 
-def chosen(order: list[Node]) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+def chosen(order: list[Node]) -> list[Node | str]:
+    """The subtrees and texts that make up the article, in page order."""
     body = next((n for n in order if n.tag == "body"), order[0])
     settle_marks(order)
+    for node in order:  # parents come before their children
+        node.skip = node.skip or node.parent is not None and node.parent.skip
     measure(order)
     score(order, body)
-    inside = [n for n in order if not n.skip and n.chars and n.tag not in INLINE and not _skipped(n)]
+    inside = [n for n in order if not n.skip and n.chars and n.tag not in INLINE]
     if not inside:
         return []
     best = max(inside, key=lambda n: n.total)
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    container = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if container is not None:
-        return [container]
     threshold = min(n.density for n in path)
-    keep = {id(best)}
-    for node in path[1:]:
-        keep |= {id(i) for i in node.items if isinstance(i, Node) and not i.skip and i.density >= threshold and i.chars}
-    on_path = {id(n) for n in path} - {id(best)}
-    return [n for n in inside if id(n) in keep - on_path]
-
-
-def _skipped(node: Node) -> bool:
-    """Whether it lies in a skipped element; once known, it is noted on the way."""
-    seen = []
-    while node.parent is not None and not node.skip:
-        seen.append(node)
-        node = node.parent
-    if node.skip:
-        for n in seen:
-            n.skip = True
-    return node.skip
-
-
-def text_of(node: Node) -> str:
-    """All text below a node but that of skipped elements; blocks end words."""
+    articles = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
+    whole = articles[-1] if articles else best  # the outermost
+    around = [k for k, n in enumerate(path) if n.tag in CONTAINERS]
+    at, last = path.index(whole), around[-1] if around else len(path) - 1
+    before: list[list[Node | str]] = []
+    after: list[Node | str] = []
+    for child, node in zip(path[at:last], path[at + 1 : last + 1], strict=True):
+        k = next(k for k, i in enumerate(node.items) if i is child)
+        before.append(_beside(node.items[:k], threshold, bool(around)))
+        after += ["\n", *_beside(node.items[k + 1 :], threshold, bool(around))]
+    first = [i for items in reversed(before) for i in (*items, "\n")]
+    return [*first, whole, *after]
+
+
+def _beside(items: list[Node | str], threshold: float, in_container: bool) -> list[Node | str]:
+    """What of the neighbours of the path belongs to the article: dense blocks, in an article or main
+    also headlines and further articles, and the path node's own text and inline elements, whose density
+    is the node's, unless links are most of it."""
+    found: list[Node | str] = []
+    run: list[Node | str] = []
+    for item in (*items, None):
+        if isinstance(item, str) or item is not None and item.tag in INLINE:
+            run.append(item)
+            continue
+        chars = sum(len("".join(i.split())) if isinstance(i, str) else i.chars for i in run)
+        linked = sum(i.chars if i.tag == "a" else i.link_chars for i in run if isinstance(i, Node))
+        if 2 * linked < chars:
+            found += run
+        run = []
+        if item is not None and not item.skip and item.chars:
+            titled = in_container and (item.tag in HEADLINES or item.tag == "article")
+            found += [item] if titled or item.density >= threshold else ["\n"]
+    return found
+
+
+def text_of(items: list[Node | str]) -> str:
+    """All text of items and below them but that of skipped elements; blocks end words."""
     parts: list[str] = []
-    stack: list[Node | str] = [node]
+    stack: list[Node | str] = items[::-1]
     while stack:
         item = stack.pop()
         if isinstance(item, str):
@@ -288,7 +304,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return " ".join(t for t in map(text_of, chosen(tree.order)) if t)
+    return text_of(chosen(tree.order))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> tuple[DataFrame, dict[str, str]]:

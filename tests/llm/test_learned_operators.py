@@ -279,6 +279,18 @@ def test_long_comments_stay_out():
     assert html_text.main_text(page(f"<article>{ARTICLE}</article>{comments}")) == TEXT
 
 
+def test_parts_and_headline_of_one_main():
+    parts = [f"<article>{'<p>Part %d has many words of some length.</p>' % k * 5}</article>" for k in (1, 2)]
+    html = page(f"<main><h1>Title</h1>{''.join(parts)}<div><a href=a>more</a> <a href=b>less</a></div></main>")
+    assert html_text.main_text(html) == " ".join(["Title", *["Part 1 has many words of some length."] * 5, *["Part 2 has many words of some length."] * 5])
+
+
+def test_text_directly_on_the_path():
+    words = "Many words of some length stand in this paragraph. " * 4
+    html = page(f"<div>Opening <b>wor</b>ds.<div><p>{words}</p><p>{words}</p></div>Closing <a href=x>li</a> words.</div>")
+    assert html_text.main_text(html) == f"Opening words. {words}{words}Closing li words."
+
+
 def test_an_open_comment_reaches_to_the_end():
     assert html_text.main_text(f"<article>{ARTICLE}<!-- <p>gone</p></article>") == TEXT
 
