@@ -3,7 +3,7 @@
 Base kinds are email, ip, card and phone; a proposal that fails its check (parts up to 255,
 Luhn, number of digits) is dropped and not tried otherwise. Their score is high by itself. Further
 kinds are spans whose form alone is weak: iban (length by country, mod 97) and ssn (areas in
-use). A context word near before a span raises its score, and what stays under the threshold
+use). A context word near a span, before or after it, raises its score, and what stays under the threshold
 is not reported.
 
 Patterns are written so that each is scanned in time proportional to the text, whatever the
@@ -42,13 +42,16 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 
 #: The length of an IBAN by country (ISO 13616).
-IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27,
-    "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28,
-    "PT": 25, "RO": 24, "SE": 24,
-}
-
-#: Words that speak for a kind when they stand shortly before a span.
+_REGISTRY = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 "
+    "EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+    "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+IBAN_LENGTHS = {entry[:2]: int(entry[2:]) for entry in _REGISTRY.split()}
+
+#: Words that speak for a kind when they stand near a span, on either side.
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server"),
@@ -152,8 +155,8 @@ def find(text: str | None) -> list[Span]:
     found = []
     for kind in KINDS:
         for start, end in FINDERS[kind](text or ""):
-            before = WORD.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())
-            near = any(w in CONTEXT[kind] for w in before)
+            around = text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS]
+            near = any(w in CONTEXT[kind] for side in around for w in WORD.findall(side.lower()))
             score = min(1.0, SCORE[kind] + RAISE * near)
             if kind in BASE_KINDS or score >= LEAST:
                 found.append(Span(kind, start, end, score))

@@ -203,6 +203,15 @@ def test_added_kinds_need_a_check_and_context():
     assert pii.find("email me: a@b.cd")[0].score >= pii.find("a@b.cd")[0].score
 
 
+@pytest.mark.parametrize("iban", ["HR12 1001 0051 8630 0016 0", "SK31 1200 0000 1987 4263 7541", "MT84MALT011000012345MTLCAST001S", "TR330006100519786457841326", "AE070331234567890123456", "SI56263300012039086"])
+def test_ibans_of_the_whole_registry(iban):
+    assert [(s.kind, s.start, s.end) for s in pii.find(f"pay {iban}.") if s.kind == "iban"] == [("iban", 4, 4 + len(iban))]
+
+
+def test_context_after_a_span():
+    assert [s.kind for s in pii.find("123-45-6789 is my SSN") if s.kind == "ssn"] == ["ssn"]
+
+
 def test_spans_of_the_test_tables(spark):
     found = rows_of(queries.op9_pii(spark, SF), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
     want = []
