@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licenses, packing, pii, quality, rules, simhash, substrings
+from . import (
+    centroids,
+    decontaminate,
+    html_text,
+    interactions,
+    language,
+    licenses,
+    packing,
+    pii,
+    quality,
+    rules,
+    simhash,
+    substrings,
+    url_filter,
+)
 from .batches import held_out
-from .sql import LICENSES_SQL
+from .sql import CENTROIDS_SQL, FILTERS_SQL, LICENSES_SQL, URLS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +90,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", *[F.col(names[n]).alias(n) for n in names])
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.with_inertia(centroids.cluster(_table(spark, sf_dir, "embeddings"), dims=64))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+URL_RULES = (
+    url_filter.Rule("net", "/", False),
+    url_filter.Rule("example.net", "/en/", True),
+    url_filter.Rule("example.com", "/de/", False),
+    url_filter.Rule("org", "/fr/", True),
+)
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, names = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", *[F.col(names[n]).alias(n) for n in ("host", "path", "rule", "verdict")])
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,7 +125,15 @@ QUERIES: dict[str, Query] = {
         op8_packing,
         op9_pii,
         op10_html,
+        op11_centroids,
+        op12_filter_audit,
+        op13_urls,
     )
 }
 
-SQL: dict[str, str] = {"op3_licenses": LICENSES_SQL}
+SQL: dict[str, str] = {
+    "op3_licenses": LICENSES_SQL,
+    "op11_centroids": CENTROIDS_SQL,
+    "op12_filter_audit": FILTERS_SQL,
+    "op13_urls": URLS_SQL,
+}

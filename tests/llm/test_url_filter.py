@@ -1,0 +1,151 @@
+"""Rules as stated, and models against plain counting."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from hashlib import md5
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.llm import queries, url_filter
+from tablewright.llm.url_filter import Rule
+
+from .conftest import SF
+
+LOWER = str.maketrans(url_filter.UPPER, url_filter.LOWER)
+
+
+def parts(url):
+    rest = (url or "").partition("://")
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest[2], re.S).groups() if rest[1] else ("", "")
+    return host.translate(LOWER), path, (rest[2] if rest[1] else url or "").translate(LOWER)
+
+
+def ruled(rules, host, path):
+    fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fit, key=lambda r: len(r.name), default=None)
+
+
+def model(texts):
+    """p(character | context) by recursion over plain counts."""
+    seen = defaultdict(Counter)
+    for text in texts:
+        padded = url_filter.START * url_filter.ORDER + text
+        for k in range(url_filter.ORDER, len(padded)):
+            for n in range(url_filter.ORDER + 1):
+                seen[padded[k - n : k]][padded[k]] += 1
+
+    def p(context, char, alphabet):
+        shorter = p(context[1:], char, alphabet) if context else 1 / (alphabet + 1)
+        after = seen.get(context)
+        return (after[char] + len(after) * shorter) / (after.total() + len(after)) if after else shorter
+
+    return p
+
+
+def plain(urls, rules):
+    """[(id, url)] -> [(id, host, path, rule, verdict, bin)], one URL at a time."""
+    split = [(key, *parts(u)) for key, u in urls]
+    labels = {(t, r.allow if (r := ruled(rules, h, p)) else None) for _, h, p, t in split}
+    held = {t: int(md5(t.encode()).hexdigest()[:4], 16) % 5 == 0 for t, _ in labels}
+    alphabet = len({c for t, _ in labels for c in t})
+
+    def scorer(fit):
+        kinds = [[t for t, label in labels if label is kind and t and not (fit and held[t])] for kind in (True, False)]
+        if not all(kinds):
+            return lambda t: 0
+        allowed, blocked = map(model, kinds)
+
+        def score(t):
+            padded, total = url_filter.START * url_filter.ORDER + t, 0
+            for k in range(url_filter.ORDER, len(padded)):
+                at = padded[k - url_filter.ORDER : k], padded[k], alphabet
+                total += math.floor((math.log(allowed(*at)) - math.log(blocked(*at))) * url_filter.UNITS + 0.5)
+            return math.floor(total / (len(t) * (url_filter.UNITS // url_filter.BINS)))
+
+        return score
+
+    fitted, whole = scorer(True), scorer(False)
+    threshold = url_filter.calibrate([(fitted(t), label, 1) for t, label in labels if label is not None and held[t] and t])
+    found = []
+    for key, host, path, text in split:
+        rule = ruled(rules, host, path)
+        score = None if rule else whole(text) if text else 0
+        allow = rule.allow if rule else score >= threshold
+        found.append((key, host, path, rule and rule.name, "allow" if allow else "block", score))
+    return found
+
+
+def check(df, rules, id_col="page_id"):
+    found, names = url_filter.judge(df, rules)
+    wanted = [names[n] for n in ("host", "path", "rule", "verdict")]
+    rows = found.select(id_col, *wanted, (F.col(names["score"]) * url_filter.BINS).cast("int")).collect()
+    want = plain([tuple(r) for r in df.select(id_col, "url").collect()], rules)
+    order = lambda r: (r[0] is None, tuple(str(v) for v in r))
+    assert sorted(map(tuple, rows), key=order) == sorted(want, key=order)
+    return found, names
+
+
+def test_query_of_the_test_tables(spark):
+    found, names = check(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url"), queries.URL_RULES)
+    verdicts = {(r[names["rule"]], r[names["verdict"]]) for r in found.collect()}
+    assert {("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block")} <= verdicts
+    assert queries.op13_urls(spark, SF).columns == ["page_id", "host", "path", "rule", "verdict"]
+
+
+ODD_URLS = [
+    None, "", "://", "no scheme/path", "http://", "HTTP://A.Example.NET/en/x", "https://example.net/en", "https://example.net/en/?q=/de/",
+    "http://notexample.net/en/", "http://badnet/", "http://net", "http://net/", "http://x.org/fr/a#b", "http://x.org?/fr/", "http://a.com:80/p",
+    "ftp://user@x.example.com/de/1", "http://x.example.com/DE/1", "http://a.b/c://net/", "http://ünï.org/fr/\U0001f600", "http://a\nb.net/\n/x",
+    "http://w.example.com/es/" + "long" * 20_000, "\x01", "http://\x01.org/fr/",
+]
+
+
+def test_odd_urls_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(ODD_URLS)] * 2 + [(None, "http://x.com/")], "page_id long, url string")
+    df = df.select("*", *[F.lit("mine").alias(n) for n in ("host", "rule", "verdict", "text", "__host", "__modelled", "judged1", "id")])
+    found, names = check(df, queries.URL_RULES)
+    assert found.columns[: len(df.columns)] == df.columns and found.select("verdict").distinct().count() == 1
+    rules = {r["url"]: r[names["rule"]] for r in found.collect()}
+    assert rules["https://example.net/en"] == "net/" and rules["http://net"] is None and rules["http://x.org?/fr/"] is None
+    assert rules["http://badnet/"] is None and rules["http://notexample.net/en/"] == "net/"
+
+
+def test_longest_rule_wins_and_ties_go_to_the_first(spark):
+    rules = (Rule("a.org", "/x/", True), Rule("org", "/", False), Rule("org", "/x/yy/z/", False), Rule("a.org", "/x/", False))
+    df = spark.createDataFrame([(1, "http://a.org/x/yy/z/"), (2, "http://a.org/x/"), (3, "http://b.org/x/")], "page_id long, url string")
+    found, names = url_filter.judge(df, rules)
+    assert {r["page_id"]: (r[names["rule"]], r[names["verdict"]]) for r in found.collect()} == {
+        1: ("org/x/yy/z/", "block"), 2: ("a.org/x/", "allow"), 3: ("org/", "block"),
+    }
+
+
+def test_no_rules_one_class_and_no_rows(spark):
+    df = spark.createDataFrame([(k, f"http://h{k}.org/fr/") for k in range(30)] + [(99, "http://x.com/")], "page_id long, url string")
+    check(df, ())
+    found, names = check(df, [Rule("org", "/fr/", False)])
+    assert found.filter("page_id = 99").first()[names["verdict"]] == "allow"
+    check(df.filter("false"), queries.URL_RULES)
+    with pytest.raises(ValueError, match="rules"):
+        url_filter.judge(df, [Rule(f"h{k}", "/", True) for k in range(url_filter.MOST_RULES + 1)])
+
+
+def test_unlabelled_urls_like_labelled_ones(spark):
+    picked = random.Random(4)
+    word = lambda: "".join(picked.choice("abcdefgh") for _ in range(6))
+    rows = [(k, f"http://{word()}.org/articles/{word()}.html" if k % 2 else f"http://{word()}.net/casino/{word()}.php") for k in range(400)]
+    rows += [(1000 + k, f"http://{word()}.com/articles/{word()}.html" if k % 2 else f"http://{word()}.com/casino/{word()}.php") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    found, names = url_filter.judge(df, [Rule("org", "/", True), Rule("net", "/", False)])
+    verdicts = {r["page_id"]: r[names["verdict"]] for r in found.collect()}
+    assert all(verdicts[1000 + k] == ("allow" if k % 2 else "block") for k in range(40))
+
+
+def test_threshold_lies_between_the_classes():
+    assert url_filter.calibrate([(-10, False, 5), (20, True, 3)]) == 5.5
+    assert url_filter.calibrate([(1, True, 2)]) == 0.0
+    assert url_filter.calibrate([]) == 0.0
+    # losing one of nine allowed costs less than keeping one of five blocked
+    assert url_filter.calibrate([(-3, False, 4), (0, True, 1), (2, False, 1), (5, True, 8)]) == 4.0
