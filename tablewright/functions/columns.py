@@ -9,6 +9,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 
 def key_list(keys: str | Iterable[str] | None) -> list[str]:
@@ -47,6 +48,24 @@ def any_difference(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(or_, (~field(left, c).eqNullSafe(field(right, c)) for c in columns))
 
 
+def assigned(value: Column, given: DataType, wanted: DataType, name: str) -> Column:
+    """``value`` as the type of the table column ``name``; the query fails if that loses any of it.
+
+    A number must keep its value (a double of 2.0 may become an integer, 1.9 may not), a time
+    that becomes a date must be midnight. Floating point columns take the nearest value.
+    """
+    cast = value.cast(wanted)
+    if given == wanted:
+        return cast
+    number = isinstance(given, NumericType) and isinstance(wanted, NumericType) and not isinstance(wanted, (FloatType, DoubleType))
+    day = isinstance(given, (TimestampType, TimestampNTZType)) and isinstance(wanted, DateType)
+    if not number and not day:
+        return cast
+    tried = value.try_cast(wanted)
+    complaint = F.concat(F.lit(f"{name} is {wanted.simpleString()}, which cannot hold "), value.cast("string"))
+    return F.when(tried.cast(given).eqNullSafe(value), tried).otherwise(F.raise_error(complaint).cast(wanted))
+
+
 def row_hash(columns: Sequence[str]) -> Column:
     """MD5 of the columns' text joined by ``|``; NULL and ``''`` hash alike.
 

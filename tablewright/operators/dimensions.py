@@ -9,7 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_difference, column, equal_keys, field, key_list, moment, row_hash
+from ..functions.columns import any_difference, assigned, column, equal_keys, field, key_list, moment, row_hash
 from .merge import keyed_source, not_older, upsert
 
 _NEW_HASH = "__new_hash"
@@ -122,15 +122,14 @@ def _opened_like(target: DataFrame, fresh: DataFrame, run_ts, names: VersionColu
         names.is_current: F.lit(True),
         names.row_hash: F.col(_NEW_HASH),
     }
-    own = set(fresh.columns)
-    return fresh.select(
-        *[
-            version.get(f.name, column(f.name) if f.name in own else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in target.schema.fields
-        ]
-    )
+    own = {f.name: f.dataType for f in fresh.schema.fields}
+
+    def value(f) -> Column:
+        if f.name in own and f.name not in version:
+            return assigned(column(f.name), own[f.name], f.dataType, f.name)
+        return version.get(f.name, F.lit(None)).cast(f.dataType)
+
+    return fresh.select(*[value(f).alias(f.name) for f in target.schema.fields])
 
 
 def scd2_parts(

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import column, equal_keys, field, has_key, key_list
+from ..functions.columns import assigned, column, equal_keys, field, has_key, key_list
 from .schema import align_schemas, conform
 
 _HIT = "__matched"
@@ -158,18 +158,19 @@ def upsert(
         rows.matching.withColumn(_HIT, F.lit(True)).alias("s"), equal_keys("t", "s", keys), "left"
     )
     touched = field("s", _HIT).isNotNull()
+    given = {f.name: f.dataType for f in source.schema.fields}
     if update_if is not None:
         touched = touched & update_if("t", "s")
 
     def after(f):
         old = field("t", f.name)
         if f.name in stamps:
-            new = stamps[f.name]
+            new = stamps[f.name].cast(f.dataType)
         elif f.name in shared and f.name not in keys:
-            new = field("s", f.name)
+            new = assigned(field("s", f.name), given[f.name], f.dataType, f.name)
         else:
             return old
-        return F.when(touched, new.cast(f.dataType)).otherwise(old).alias(f.name)
+        return F.when(touched, new).otherwise(old).alias(f.name)
 
     updated = joined.select(*[after(f) for f in target.schema.fields])
     if matched_keys is None:

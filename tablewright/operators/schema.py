@@ -6,8 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ByteType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    TimestampNTZType,
+)
 
-from ..functions.columns import column
+from ..functions.columns import assigned, column
 
 POLICIES = ("ignore", "fail", "append_new_columns", "sync_all_columns")
 
@@ -17,14 +29,17 @@ class SchemaChanged(ValueError):
 
 
 def conform(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` by column name in ``like``'s order and types; columns it lacks are NULL."""
-    own = set(df.columns)
-    extra = own - set(like.columns)
+    """``df`` by column name in ``like``'s order and types; columns it lacks are NULL.
+
+    A value that its column's type cannot hold fails the query.
+    """
+    own = {f.name: f.dataType for f in df.schema.fields}
+    extra = set(own) - set(like.columns)
     if extra:
         raise SchemaChanged(f"columns not in the target: {sorted(extra)}")
     return df.select(
         *[
-            (column(f.name) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name)
+            (assigned(column(f.name), own[f.name], f.dataType, f.name) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in like.schema.fields
         ]
     )
@@ -37,7 +52,8 @@ def align_schemas(
 
     ``ignore`` drops source-only columns; ``fail`` raises on any difference in names or
     types; ``append_new_columns`` gives the target the new columns as NULL;
-    ``sync_all_columns`` does that and drops target columns the source no longer has.
+    ``sync_all_columns`` does that, drops target columns the source no longer has, and widens
+    those whose type the source's holds whole (int to bigint, date to timestamp and the like).
     """
     if policy not in POLICIES:
         raise ValueError(f"on_schema_change {policy!r} is not one of {POLICIES}")
@@ -59,10 +75,27 @@ def align_schemas(
         return target, source
     widened = target.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
     if policy == "sync_all_columns":
-        widened = widened.drop(*gone)
+        given = {f.name: f.dataType for f in source.schema.fields}
+        wider = {f.name: column(f.name).cast(given[f.name]) for f in target.schema.fields if _holds(given.get(f.name), f.dataType)}
+        widened = widened.withColumns(wider).drop(*gone)
     return widened, source
 
 
+def _holds(wide: DataType | None, narrow: DataType) -> bool:
+    """Whether every value of the type ``narrow`` is one of the other type ``wide``."""
+    whole = [ByteType(), ShortType(), IntegerType(), LongType()]
+    if wide is None or wide == narrow:
+        return False
+    if narrow in whole:
+        if wide in whole:
+            return whole.index(wide) > whole.index(narrow)
+        digits = (3, 5, 10, 19)[whole.index(narrow)]
+        return isinstance(wide, DoubleType) and narrow != LongType() or isinstance(wide, DecimalType) and wide.precision - wide.scale >= digits
+    if isinstance(narrow, DecimalType) and isinstance(wide, DecimalType):
+        return wide.scale >= narrow.scale and wide.precision - wide.scale >= narrow.precision - narrow.scale
+    return (narrow, wide) in ((FloatType(), DoubleType()), (DateType(), TimestampNTZType()))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, nullability."""
     rows = [
