@@ -10,6 +10,7 @@ from tablewright import Scd1, Scd2, materialize
 from tablewright.functions import row_hash
 from tablewright.operators import as_of, current_rows, scd1, scd1_initial, scd2, scd2_initial
 from tablewright.operators.dimensions import join_as_of, version_changes
+from tablewright.plans.buckets import BUCKET
 
 from .registry import new_database, query, source
 
@@ -87,6 +88,15 @@ def scd1_table(spark, sf_dir):
     return spark.table(table)
 
 
+@query("scd1_bucketed", scd1_sql(TRACKED))
+def scd1_bucketed(spark, sf_dir):
+    table = f"{new_database(spark)}.customers"
+    for delivered, at in ((source(spark, sf_dir, "customer"), T0), (later_extract(spark, sf_dir), T1)):
+        config = Scd1(target_table=table, source=delivered, unique_key="c_custkey", tracked_columns=TRACKED, buckets=16)
+        materialize(spark, config, run_ts=at)
+    return spark.table(table).drop(BUCKET)
+
+
 HASH = "md5(" + " || '|' || ".join(f"coalesce(CAST(r.{c} AS VARCHAR), '')" for c in TRACKED) + ")"
 
 

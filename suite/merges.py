@@ -13,6 +13,7 @@ from tablewright.operators import (
     newer_than,
     newer_than_target,
 )
+from tablewright.plans.buckets import BUCKET
 from tablewright.sources import extract
 
 from .registry import new_database, query, source
@@ -174,6 +175,44 @@ def incremental_merge_table(spark, sf_dir):
     return spark.table(table)
 
 
+BUCKETS = 16
+
+
+@query("incremental_merge_bucketed", MERGED)
+def incremental_merge_bucketed(spark, sf_dir):
+    """The merge on a table laid out by a hash of its key."""
+    orders = source(spark, sf_dir, "orders")
+    table = f"{new_database(spark)}.orders"
+    for delivered in (orders, changes(orders)):
+        materialize(spark, Incremental(target_table=table, source=delivered, unique_key="o_orderkey", buckets=BUCKETS))
+    return spark.table(table).drop(BUCKET)
+
+
+REPLACED_LINES = """
+    WITH s AS (
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, -l_quantity AS l_quantity, l_extendedprice,
+               l_discount, l_tax, 'N' AS l_returnflag, l_linestatus, l_shipdate
+        FROM lineitem WHERE l_orderkey % 1000 = 7
+    )
+    SELECT * FROM lineitem t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = t.l_orderkey)
+    UNION ALL SELECT * FROM s
+"""
+
+
+@query("delete_insert_bucketed", REPLACED_LINES)
+def delete_insert_bucketed(spark, sf_dir):
+    """Orders delivered anew replace all of their lines, bucket by bucket."""
+    lines = source(spark, sf_dir, "lineitem")
+    anew = lines.filter("l_orderkey % 1000 = 7").withColumns({"l_quantity": -F.col("l_quantity"), "l_returnflag": F.lit("N")})
+    table = f"{new_database(spark)}.lines"
+    for delivered in (lines, anew):
+        config = Incremental(
+            target_table=table, source=delivered, unique_key="l_orderkey", incremental_strategy="delete+insert", buckets=BUCKETS
+        )
+        materialize(spark, config)
+    return spark.table(table).drop(BUCKET)
+
+
 # The source lacks o_orderpriority and brings a new column.
 RESHAPED = f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, 'web' AS channel FROM ({CHANGES}) c"
 SHARED = ORDER_COLUMNS[1:-1]

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tablewright import Incremental, Scd2, materialize
+from tablewright.plans.buckets import BUCKET
 from tablewright.scratch import scratch_folder
 from tablewright.streaming import append_stream, refresh_stream
 
@@ -47,6 +48,16 @@ def stream_merge(spark, sf_dir):
     return spark.table(table)
 
 
+@query("stream_merge_bucketed", f"SELECT user_id, event_id, ts, event_type, value FROM ({LATEST}) l")
+def stream_merge_bucketed(spark, sf_dir):
+    """The same in buckets of the key: a batch rewrites those of its users only."""
+    table = f"{new_database(spark)}.latest"
+    events = events_in_batches(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
+    config = Incremental(target_table=table, source="", unique_key="user_id", dedupe_order_by=["ts", "event_id"], buckets=16)
+    finished(refresh_stream(events, config, scratch_folder(spark, "merge-stream")))
+    return spark.table(table).drop(BUCKET)
+
+
 @query(
     "stream_scd2",
     f"""

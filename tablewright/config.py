@@ -48,6 +48,7 @@ class Incremental(TableConfig):
     overwrite_column: str = ""
     dedupe_order_by: str | Sequence[str] = ""
     newest_wins: bool = False  # a row older than the target's, by dedupe_order_by, changes nothing
+    buckets: int = 0  # lay a new keyed table out in so many buckets of its key; runs rewrite only those they touch
 
 
 @dataclass(kw_only=True)
@@ -75,6 +76,7 @@ class Scd1(TableConfig):
     updated_at_column: str = "updated_at"
     dedupe_order_by: str | Sequence[str] = ""
     newest_wins: bool = False  # a row older than the target's, by dedupe_order_by, changes nothing
+    buckets: int = 0  # as for Incremental
 
 
 @dataclass(kw_only=True)

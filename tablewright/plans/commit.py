@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import column, field, quoted
 from ..scratch import remove_folder, staged
+from . import journal
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _VERSION = "__v-"
@@ -157,11 +158,12 @@ def add_columns(spark: SparkSession, df: DataFrame, name: str) -> None:
 
 
 def _rebuild(df: DataFrame, name: str, partitions: Sequence[str], details: dict[str, str]) -> None:
-    """Replace a table by one with other columns: made whole under another name, then renamed.
+    """Replace a table by one with other columns or partitions: made whole under another name,
+    then renamed.
 
-    Between dropping the old table and renaming the new one nothing is written; a run that
-    dies there leaves the new table under its first name. A managed table stays managed; an
-    external one stays external, in a new folder beside.
+    Dropping the old table and renaming the new one are noted beforehand, so a run that dies
+    there is finished by the next one (:func:`finish_rename`). A managed table stays managed; an external one
+    stays external, in a new folder beside.
     """
     lost = [c for c in partitions if c not in df.columns]
     if lost:
@@ -173,14 +175,26 @@ def _rebuild(df: DataFrame, name: str, partitions: Sequence[str], details: dict[
     if details.get("Type", "").upper() == "EXTERNAL":
         path = f"{details['Location'].rstrip('/').split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:12]}"
     create(df, made, partitions, provider=details.get("Provider", "parquet"), path=path)
-    spark.sql(f"DROP TABLE {table_name(name)}")
-    spark.sql(f"ALTER TABLE {table_name(made)} RENAME TO {table_name(name)}")
-    if partitions:  # some catalogs leave partitions where they were before the rename
+    with journal.intent(spark, name, "rename", made=made):
+        finish_rename(spark, name, made)
+
+
+def finish_rename(spark: SparkSession, name: str, made: str) -> None:
+    """Let the table ``made`` take the place of ``name``, however far a run got with that."""
+    if table_exists(spark, made):
+        spark.sql(f"DROP TABLE IF EXISTS {table_name(name)}")
+        spark.sql(f"ALTER TABLE {table_name(made)} RENAME TO {table_name(name)}")
+    if partition_columns(spark, name):  # some catalogs leave partitions where they were before the rename
         spark.sql(f"MSCK REPAIR TABLE {table_name(name)} DROP PARTITIONS")
         spark.sql(f"MSCK REPAIR TABLE {table_name(name)} ADD PARTITIONS")
     spark.catalog.refreshTable(name)
 
 
+def replace_table(df: DataFrame, name: str) -> None:
+    """Replace a partitioned table by an unpartitioned one of other rows and columns."""
+    _rebuild(df, name, (), described(df.sparkSession, name)[1])
+
+
 def rewrite(df: DataFrame, name: str) -> None:
     """Replace all rows of a table, whether or not it is partitioned, and its columns.
 

@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegralType, StringType, TimestampType
 
@@ -30,8 +30,8 @@ from ..operators.merge import delete_insert, merge, not_older, one_row_per_key,
 from ..operators.schema import SchemaChanged, align_schemas, conform
 from ..operators.snapshots import prune_snapshots, snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
-from ..scratch import discarding_stages, observed, staged
-from . import commit
+from ..scratch import discarding_stages, staged
+from . import buckets, commit, journal
 
 
 def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
@@ -62,6 +62,8 @@ def materialize(
         snapshot_id=snapshot_id or uuid.uuid4().hex[:8],
     )
     with discarding_stages(spark):
+        if not isinstance(config, View):
+            _recover(spark, config)
         strategy, extra = handler(spark, config, run)
     result = {"strategy": strategy, "table": config.target_table, **extra}
     if count_rows and strategy != "view":
@@ -75,6 +77,18 @@ class _Run:
         self.snapshot_id = snapshot_id
 
 
+def _recover(spark: SparkSession, config: TableConfig) -> None:
+    """Finish or undo what a run that died between two commits noted."""
+    record = journal.pending(spark, config.target_table)
+    if record is None:
+        return
+    if record["kind"] == "rename":
+        commit.finish_rename(spark, config.target_table, record["made"])
+    elif record["kind"] == "versions" and commit.table_exists(spark, config.target_table):
+        _undo_closing(spark, config.target_table, VersionColumns(*record["names"]), record["keys"], record["run_ts"])
+    journal.settle(spark, config.target_table)
+
+
 def _call(spark: SparkSession, hook: Hook | None) -> None:
     if callable(hook):
         hook(spark)
@@ -86,7 +100,9 @@ def _target(spark: SparkSession, config: TableConfig) -> DataFrame:
     return spark.table(commit.table_name(config.target_table))
 
 
-def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by, finish, partition_by=(), cluster_by=()) -> None:
+def _create_keyed(
+    spark, name: str, source: DataFrame, keys: list[str], order_by, finish, partition_by=(), cluster_by=(), n_buckets=0
+) -> None:
     """First load of a keyed table: one row per key, or no table.
 
     ``finish`` adds what the table has besides. The source is written once; its key columns
@@ -97,7 +113,11 @@ def _create_keyed(spark, name: str, source: DataFrame, keys: list[str], order_by
         source = one_row_per_key(source, keys, order_by)
     else:
         _refuse_repeats(source, keys)
-    commit.create(finish(source), name, partition_by, cluster_by)
+    if n_buckets:
+        commit.create(buckets.with_bucket(finish(source), keys, n_buckets), name, [buckets.BUCKET], cluster_by)
+        buckets.mark(spark, name, n_buckets)
+    else:
+        commit.create(finish(source), name, partition_by, cluster_by)
 
 
 def _refuse_new_columns(target: DataFrame, source: DataFrame) -> None:
@@ -120,9 +140,7 @@ def _full_refresh(spark, config: FullRefresh, run):
     if not commit.table_exists(spark, config.target_table):
         commit.create(df, config.target_table)
     elif commit.partition_columns(spark, config.target_table):
-        df = staged(df)  # it may read the table that is about to be dropped
-        spark.sql(f"DROP TABLE {commit.table_name(config.target_table)}")
-        commit.create(df, config.target_table)
+        commit.replace_table(df, config.target_table)
     else:
         commit.swap(df, config.target_table)
     _call(spark, config.post_hook)
@@ -141,11 +159,17 @@ def _incremental(spark, config: Incremental, run):
         if config.incremental_strategy == "insert_overwrite" and _partitionable(source, by_value):
             partition_by = [by_value]
         if keys and config.incremental_strategy == "merge":
-            _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, lambda df: df, partition_by)
+            _create_keyed(
+                spark, config.target_table, source, keys, config.dedupe_order_by, lambda df: df, partition_by, n_buckets=config.buckets
+            )
             return "incremental", {"first_run": True}
         if keys and config.dedupe_order_by:
             source = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by)
-        commit.create(source, config.target_table, partition_by)
+        if keys and config.buckets and config.incremental_strategy == "delete+insert":
+            commit.create(buckets.with_bucket(source, keys, config.buckets), config.target_table, [buckets.BUCKET])
+            buckets.mark(spark, config.target_table, config.buckets)
+        else:
+            commit.create(source, config.target_table, partition_by)
         return "incremental", {"first_run": True}
 
     target = _target(spark, config)
@@ -154,6 +178,8 @@ def _incremental(spark, config: Incremental, run):
 
     if config.incremental_strategy == "insert_overwrite":
         _overwrite(spark, config, target, source, by_value)
+    elif keys and config.incremental_strategy in ("merge", "delete+insert") and _in_buckets(spark, config, target, source, keys):
+        pass
     elif config.incremental_strategy == "merge" and keys and commit.has_row_changes(spark, config.target_table):
         # The table format keeps its own schema rules; on_schema_change is left to it.
         unique = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by or None)
@@ -178,22 +204,45 @@ def _incremental(spark, config: Incremental, run):
     return "incremental", {"first_run": False}
 
 
+def _in_buckets(spark, config: Incremental, target: DataFrame, source: DataFrame, keys: list[str]) -> bool:
+    """Bring a bucketed table to its next state by its touched buckets; false if that cannot be."""
+    if not buckets.buckets_of(spark, config.target_table):
+        return False
+    if buckets.BUCKET in source.columns:
+        raise ValueError(f"the source has a column {buckets.BUCKET} of its own")
+    number = F.lit(None).cast("int").alias(buckets.BUCKET)
+    after, bucketed = align_schemas(target, source.select("*", number), config.on_schema_change, keys)
+    source = bucketed.drop(buckets.BUCKET)
+    have = {f.name: f.dataType for f in after.schema.fields}
+    if any(have.get(f.name) != f.dataType for f in target.schema.fields):
+        raise SchemaChanged("a bucketed table cannot lose or widen columns; rebuild it with a full refresh")
+    target = after
+
+    def transition(scope: DataFrame, delivered: DataFrame) -> DataFrame:
+        if config.incremental_strategy == "delete+insert":
+            return delete_insert(scope, delivered, keys)
+        order_by = config.dedupe_order_by or None
+        update_if = not_older(order_by, scope) if config.newest_wins else None
+        return upsert(scope, delivered, keys, update_if=update_if, dedupe_order_by=order_by)
+
+    buckets.change(config.target_table, target, source, keys, transition)
+    return True
+
+
 def _partitionable(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (DateType, StringType, IntegralType))
 
 
 def _overwrite(spark, config, target, source, by_value):
-    source = conform(source, target)
+    source = staged(conform(source, target), "source")  # read twice, and it may read the target
     if commit.partition_columns(spark, config.target_table) != [by_value]:
-        commit.rewrite(overwrite_by_value(target, staged(source), by_value), config.target_table)
+        commit.rewrite(overwrite_by_value(target, source, by_value), config.target_table)
         return
     # The target's other rows are never read. A NULL value matches nothing, so the old NULL
     # rows must survive the replacement of the NULL partition.
     unset = column(by_value).isNull()
-    seen = Observation()
-    counted = source.observe(seen, F.count_if(unset).alias("unset"))
-    commit.replace_partitions(counted.filter(~unset), config.target_table)
-    if observed(seen, "unset"):
+    commit.replace_partitions(source.filter(~unset), config.target_table)
+    if not source.filter(unset).isEmpty():
         commit.append(source.filter(unset), config.target_table)
 
 
@@ -325,20 +374,27 @@ def _scd1(spark, config: Scd1, run):
     source = source_frame(spark, config)
     if not commit.table_exists(spark, config.target_table):
         finish = lambda df: scd1_initial(df, run.run_ts, config.updated_at_column)
-        _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, finish)
+        _create_keyed(spark, config.target_table, source, keys, config.dedupe_order_by, finish, n_buckets=config.buckets)
         return "scd_type_1", {"first_run": True}
-    _refuse_new_columns(_target(spark, config), source)
-    after = scd1(
-        _target(spark, config),
-        staged(source, "source"),
-        keys,
-        config.tracked_columns,
-        run.run_ts,
-        updated_at=config.updated_at_column,
-        dedupe_order_by=config.dedupe_order_by or None,
-        newest_wins=config.newest_wins,
-    )
-    commit.rewrite(after, config.target_table)
+    target = _target(spark, config)
+    _refuse_new_columns(target, source)
+
+    def transition(scope: DataFrame, delivered: DataFrame) -> DataFrame:
+        return scd1(
+            scope,
+            delivered,
+            keys,
+            config.tracked_columns,
+            run.run_ts,
+            updated_at=config.updated_at_column,
+            dedupe_order_by=config.dedupe_order_by or None,
+            newest_wins=config.newest_wins,
+        )
+
+    if buckets.buckets_of(spark, config.target_table):
+        buckets.change(config.target_table, target, source, keys, transition)
+    else:
+        commit.rewrite(transition(target, staged(source, "source")), config.target_table)
     return "scd_type_1", {"first_run": False}
 
 
@@ -346,8 +402,9 @@ def _scd2(spark, config: Scd2, run):
     """The table is partitioned by its current flag, so a run rewrites only open versions.
 
     Two commits: newly closed versions are appended to the history, then the current slice
-    is replaced. If a run dies in between, those versions are both closed and open. The next
-    run first takes them out of the history again, so that it starts from the state before.
+    is replaced. Both are noted beforehand. If a run dies in between, those versions are both
+    closed and open; the next run finds the note and takes them out of the history again, so
+    that it starts from the state before. Without a note the history is not read.
     """
     names = VersionColumns(
         config.valid_from_column, config.valid_to_column, config.is_current_column, config.hash_column
@@ -373,31 +430,32 @@ def _scd2(spark, config: Scd2, run):
         after = scd2(target, source, keys, config.tracked_columns, run.run_ts, **options)
         commit.rewrite(after, config.target_table)
         return "scd_type_2", {"first_run": False}
-    _finish_died_run(spark, config.target_table, names, keys)
-    target = _target(spark, config)
     parts = scd2_parts(target, source, keys, config.tracked_columns, run.run_ts, **options)
-    closed = parts.closed
-    commit.append(closed, config.target_table)
-    if config.invalidate_hard_deletes and source.isEmpty():  # writing no rows would replace no partition
-        commit.drop_partitions(spark, config.target_table, names.is_current, ["true"])
-    else:
-        commit.replace_partitions(parts.current, config.target_table)
+    note = {"names": [names.valid_from, names.valid_to, names.is_current, names.row_hash], "keys": keys, "run_ts": run.run_ts.isoformat(sep=" ")}
+    with journal.intent(spark, config.target_table, "versions", **note):
+        commit.append(parts.closed, config.target_table)
+        if config.invalidate_hard_deletes and source.isEmpty():  # writing no rows would replace no partition
+            commit.drop_partitions(spark, config.target_table, names.is_current, ["true"])
+        else:
+            commit.replace_partitions(parts.current, config.target_table)
     return "scd_type_2", {"first_run": False}
 
 
-def _finish_died_run(spark, name: str, names: VersionColumns, keys: list[str]) -> None:
+def _undo_closing(spark, name: str, names: VersionColumns, keys: list[str], run_ts: str) -> None:
     """Undo the first of a died run's two commits: drop closed copies of versions still open.
 
-    Such a copy ends later than every open version begins, so only history of that time is looked at; mostly
-    there is none, and then nothing is written.
+    Such a copy ends at the time of the run, which the scan of the history is filtered by; often there
+    is none, and then nothing is written.
     """
     target = spark.table(commit.table_name(name))
     is_open = F.coalesce(column(names.is_current), F.lit(False))
     current, history = target.filter(is_open), target.filter(~is_open)
     same = equal_version("h", "t", [*keys, names.valid_from, names.row_hash])
-    closed_twice = history.alias("h").join(current.alias("t"), same, "left_semi")
+    ended = column(names.valid_to) == moment(run_ts).cast(target.schema[names.valid_to].dataType)
+    closed_twice = history.filter(ended).alias("h").join(current.alias("t"), same, "left_semi")
     if closed_twice.isEmpty():
         return
+    same = same & (field("h", names.valid_to) == moment(run_ts).cast(target.schema[names.valid_to].dataType))
     kept = staged(history.alias("h").join(current.alias("t"), same, "left_anti"), "history")
     if kept.isEmpty():
         commit.drop_partitions(spark, name, names.is_current, ["false"])

@@ -37,16 +37,24 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-_scope: ContextVar[list[str] | None] = ContextVar("tablewright_scope", default=None)
+class _Scope(list):
+    """Folders of one :func:`discarding_stages`, and the scope around it."""
+
+    outer: _Scope | None = None
+
+
+_scope: ContextVar[_Scope | None] = ContextVar("tablewright_scope", default=None)
 
 
 @contextmanager
 def discarding_stages(spark: SparkSession):
     """Remove what :func:`staged` wrote inside the block when it ends.
 
-    For jobs that commit their result before the block ends; nothing lazy may outlive it.
+    For jobs that commit their result before the block ends; nothing lazy may outlive it. What
+    is staged to be kept passes to the block around, if there is one.
     """
-    outer, folders = _scope.get(), []
+    outer, folders = _scope.get(), _Scope()
+    folders.outer = outer
     token = _scope.set(folders)
     try:
         yield
@@ -59,6 +67,19 @@ def discarding_stages(spark: SparkSession):
                 outer.append(folder)
 
 
+def _keep_for_caller(folder: str) -> None:
+    """Let the block around the innermost one, or the end of the application, remove the folder."""
+    scope = _scope.get()
+    if scope is not None and scope.outer is not None:
+        scope.outer.append(folder)
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the file system remove the folder when the application ends, if it is still there."""
+    files, path = _place(spark, folder)
+    files.deleteOnExit(path)
+
+
 def _place(spark: SparkSession, path: str):
     """(file system, path) for a path of any store."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +96,27 @@ def path_exists(spark: SparkSession, name: str) -> bool:
     return files.exists(path)
 
 
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """A small file that appears whole or not at all."""
+    files, path = _place(spark, name)
+    made = _place(spark, f"{name}.{uuid.uuid4().hex[:8]}.tmp")[1]
+    stream = files.create(made, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files.delete(path, False)
+    if not files.rename(made, path):
+        raise OSError(f"could not write {name}")
+
+
+def read_text(spark: SparkSession, name: str) -> str:
+    files, path = _place(spark, name)
+    stream = files.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_mark(spark: SparkSession, name: str) -> None:
     """An empty file."""
     files, path = _place(spark, name)
@@ -97,15 +139,20 @@ def discard_later(folder: str) -> None:
 
 
 def staged(df: DataFrame, label: str = "stage", keep: bool = False) -> DataFrame:
-    """Write ``df`` once and read it back. With ``keep`` it outlives :func:`discarding_stages`.
+    """Write ``df`` once and read it back. With ``keep`` it outlives the innermost
+    :func:`discarding_stages`. What no such block removes goes when the application ends.
 
     Used where a plan reads its source several times: the query runs once, every reader
     sees the same rows, and the file sizes tell Spark truthfully whether it may broadcast.
     """
     path = scratch_folder(df.sparkSession, label)
-    if not keep:
+    if keep:
+        _keep_for_caller(path)
+    else:
         discard_later(path)
     df.write.parquet(path)
+    if _scope.get() is None or keep:
+        remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

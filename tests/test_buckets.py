@@ -1,0 +1,125 @@
+"""Tables in buckets of their key: the same result as a whole merge, and untouched files stay."""
+
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tablewright import Incremental, Scd1, materialize
+from tablewright.operators.schema import SchemaChanged
+from tablewright.plans import commit
+from tablewright.plans.buckets import BUCKET, buckets_of
+from tablewright.streaming import refresh_stream
+
+
+def files(spark, table):
+    """Data files by bucket folder."""
+    place = Path(commit.described(spark, table)[1]["Location"].removeprefix("file:"))
+    return {f"{f.parent.name}/{f.name}": f.parent.name for f in place.glob(f"{BUCKET}=*/*.parquet")}
+
+
+def orders(spark, n, value="a", kind="long"):
+    return spark.range(n).select(F.col("id").cast(kind).alias("id"), F.lit(value).alias("v"))
+
+
+def run(spark, table, source, **more):
+    return materialize(spark, Incremental(**{"target_table": table, "source": source, "unique_key": "id", "buckets": 64, **more}))
+
+
+def test_a_merge_of_ten_keys_leaves_other_buckets_alone(spark, table):
+    run(spark, table, orders(spark, 5_000))
+    before = files(spark, table)
+    assert len(set(before.values())) == 64
+    # other key types and numbers of buckets than the table's: the table's count
+    delivered = orders(spark, 10, "new", kind="int").unionByName(spark.createDataFrame([(9_999, "added")], "id int, v string"))
+    result = run(spark, table, delivered, buckets=3)
+    assert result["rows"] == 5_001 and buckets_of(spark, table) == 64
+    touched = {f"{BUCKET}={r[0]}" for r in spark.table(table).filter("v <> 'a'").select(BUCKET).distinct().collect()}
+    after = files(spark, table)
+    assert 1 < len(touched) <= 11
+    assert {f for f, b in before.items() if b not in touched} <= set(after)
+    assert not {f for f, b in before.items() if b in touched} & set(after)
+    assert spark.table(table).filter("v = 'new'").count() == 10
+
+
+@pytest.mark.parametrize("strategy", ["merge", "delete+insert"])
+def test_as_without_buckets(spark, table, strategy):
+    first = spark.createDataFrame([(1, "x", 1), (2, "y", 1), (None, "n", 1), (3, "z", 1)], "id long, k string, v int")
+    second = spark.createDataFrame([(1, "x", 2), (None, "n", 2), (4, "w", 2), (2, None, 2)], "id long, k string, v int")
+    for name, n in ((table, 0), (table + "_b", 5)):
+        for source in (first, second, second.limit(0)):
+            config = Incremental(target_table=name, source=source, unique_key="id, k", incremental_strategy=strategy, buckets=n)
+            materialize(spark, config)
+    assert rows(spark.table(table + "_b"), "id", "k", "v") == rows(spark.table(table), "id", "k", "v")
+
+
+def test_rows_without_a_key_are_only_appended(spark, table):
+    run(spark, table, spark.createDataFrame([(None, "a"), (1, "b")], "id long, v string"))
+    before = files(spark, table)
+    run(spark, table, spark.createDataFrame([(None, "c"), (1, "d")], "id long, v string"))
+    unkeyed = {f for f, b in before.items() if "HIVE" in b}
+    assert unkeyed and unkeyed <= set(files(spark, table))
+    assert rows(spark.table(table), "id", "v") == [(None, "a"), (None, "c"), (1, "d")]
+
+
+def test_repeated_keys_are_refused_or_resolved(spark, table):
+    run(spark, table, spark.createDataFrame([(1, "a", 1)], "id long, v string, at int"))
+    twice = spark.createDataFrame([(1, "b", 2), (1, "c", 3), (2, "d", 1)], "id long, v string, at int")
+    with pytest.raises(Exception, match="duplicate source key"):
+        run(spark, table, twice)
+    run(spark, table, twice, dedupe_order_by="at")
+    assert rows(spark.table(table), "id", "v") == [(1, "c"), (2, "d")]
+    run(spark, table, spark.createDataFrame([(1, "old", 2)], "id long, v string, at int"), dedupe_order_by="at", newest_wins=True)
+    assert rows(spark.table(table), "id", "v") == [(1, "c"), (2, "d")]
+
+
+def test_schema_policies(spark, table):
+    run(spark, table, spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"))
+    more = spark.createDataFrame([(1, "c", 7)], "id long, v string, extra int")
+    run(spark, table, more, on_schema_change="ignore")
+    assert "extra" not in spark.table(table).columns
+    with pytest.raises(SchemaChanged):
+        run(spark, table, more, on_schema_change="fail")
+    run(spark, table, more)
+    assert rows(spark.table(table), "id", "v", "extra") == [(1, "c", 7), (2, "b", None)]
+    with pytest.raises(SchemaChanged):
+        run(spark, table, more.drop("v"), on_schema_change="sync_all_columns")
+    with pytest.raises(ValueError, match=BUCKET):
+        run(spark, table, more.withColumn(BUCKET, F.lit(1)))
+
+
+def test_watermark_and_scd1(spark, table):
+    for name, n in ((table, 0), (table + "_b", 4)):
+        for at, data in ((1, [(1, "a", "p"), (2, "b", "q")]), (2, [(1, "a", "r"), (2, "c", "s"), (3, "d", "t")])):
+            df = spark.createDataFrame(data, "id long, v string, other string")
+            config = Scd1(target_table=name, source=df, unique_key="id", tracked_columns=["v"], buckets=n)
+            materialize(spark, config, run_ts=datetime(2026, 1, at))
+    columns = ["id", "v", "other", "updated_at"]
+    assert rows(spark.table(table + "_b"), *columns) == rows(spark.table(table), *columns)
+    marked = table + "_m"
+    for _ in range(2):
+        run(spark, marked, orders(spark, 10).withColumn("at", F.col("id")), incremental_column="at")
+    run(spark, marked, orders(spark, 12, "b").withColumn("at", F.col("id")), incremental_column="at")
+    assert spark.table(marked).filter("v = 'b'").count() == 2
+
+
+def test_stream_batches_touch_their_buckets_only(spark, table, tmp_path):
+    feed = str(tmp_path / "feed")
+    orders(spark, 1_000).coalesce(1).write.parquet(feed)
+    config = Incremental(target_table=table, source="", unique_key="id", buckets=64)
+
+    def go():
+        stream = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(feed)
+        query = refresh_stream(stream, config, str(tmp_path / "cp"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    go()
+    before = files(spark, table)
+    orders(spark, 2, "b").coalesce(1).write.mode("append").parquet(feed)
+    go()
+    kept = set(before) & set(files(spark, table))
+    assert 0 < len(before) - len(kept) <= 2 * len(before) / 64 + 2
+    assert spark.table(table).filter("v = 'b'").count() == 2 and spark.table(table).count() == 1_000
