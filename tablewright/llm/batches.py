@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..scratch import discarding_stages, staged
+
 #: Rows turned into Python objects at once.
 SLICE = 128
 
@@ -97,6 +99,25 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(fold(id_col) == 0, F.lit(False))
 
 
+def sampled_rows(rows: DataFrame, order: str, most: int) -> list:
+    """At most ``most`` distinct rows, those least by ``order``, an even 64-bit hash column.
+
+    Only rows below a hash that lets about a third more than ``most`` through are written and
+    collected, so that what reaches the driver does not grow with the table or its partitions; of a
+    limit over an order every partition would send its own ``most``. Copies of a row count once.
+    """
+    spread = rows.agg(F.approx_count_distinct(order, 0.02)).first()[0]
+    share = min(1.0, 1.3 * most / max(spread, 1))
+    while True:
+        bound = int(share * 2**64) - 2**63
+        few = rows if share >= 1 else rows.filter(F.col(order) < F.lit(bound))
+        with discarding_stages(rows.sparkSession):
+            few = staged(few.distinct(), "sample")
+            if share >= 1 or few.count() >= most:
+                return sorted(few.collect(), key=lambda r: (r[order], tuple(r)))[:most]
+        share = min(1.0, 2 * share)
+
+
 _KEPT: dict[str, object] = {}
 
 

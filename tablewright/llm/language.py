@@ -8,10 +8,10 @@ Texts are first reduced to lower-case letters and single spaces, so that capital
 symbols say nothing. Whole texts are encoded, in pieces of a fixed size: what a long text has
 repeated before would otherwise outweigh the dictionary.
 
-At scale: fitting reads ids and labels, and the texts of at most ``SAMPLE`` documents a
-language (``SAMPLE`` * ``SLICE_CHARS`` characters come to the driver for each). Predicting is one
-pass without a shuffle; what is broadcast is one dictionary of at most ``DICTIONARY`` bytes a
-language.
+At scale: fitting hashes the labelled texts in one pass, takes ``SAMPLE`` different ones a language,
+and sends ``PIECE_BYTES`` of each to the driver, all of which go into the dictionary. Predicting is one
+pass without a shuffle; what is broadcast is one dictionary of at most ``DICTIONARY`` bytes for each of
+at most ``MOST_LANGUAGES`` languages, the most common ones among the labels.
 
 Defined results: null text or text without a letter is ``und`` with score 0, rejected. With no
 labelled text at all everything is ``und``. Equal sizes go to the language more common among the
@@ -33,10 +33,12 @@ from ..scratch import discarding_stages, staged
 from .batches import Texts, extend, hidden, held_out, once
 
 UNKNOWN = "und"
-#: Labelled documents a language, and characters of each, that a dictionary is made from.
+#: Different labelled texts a language that a dictionary is made from, and its bytes.
 SAMPLE = 200
-SLICE_CHARS = 2_000
 DICTIONARY = 128 * 1024
+#: Bytes of each; a piece has that many characters or fewer.
+PIECE_BYTES = DICTIONARY // SAMPLE - 1
+MOST_LANGUAGES = 100
 #: zstandard's level, and bytes encoded at once.
 LEVEL = 6
 PIECE = 2_000
@@ -75,26 +77,24 @@ def fit(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col
     """Dictionaries from labelled documents for which ``learn_from`` holds."""
     key, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     usable = docs.filter(learn_from & lang.isNotNull() & text.rlike(r"\p{L}"))
-    order = F.xxhash64(key)
-    newest = Window.partitionBy("lang").orderBy("hash", "id")
-    ranked = usable.select(lang.alias("lang"), key.alias("id"), order.alias("hash"))
-    counts = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    picked = ranked.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= SAMPLE)
-    picked = picked.groupBy(F.col("lang").alias("__lang"), F.col("id").alias("__id")).agg(F.min("k").alias("k"))
-    at = F.pmod(order, F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1) + 1
-    piece = F.substring(text, at.cast("int"), F.lit(SLICE_CHARS))
+    order = F.xxhash64(text)
     with discarding_stages(docs.sparkSession):
+        # copies of a text are one; the least id stands for it
+        texts = usable.groupBy(lang.alias("lang"), order.alias("hash")).agg(F.min(key).alias("id"), F.count("*").alias("n"))
+        texts = staged(texts, "texts")
+        common = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+        counts = {r["lang"]: r["n"] for r in staged(common, "languages").collect()}
+        newest = Window.partitionBy("lang").orderBy("hash", "id")
+        picked = texts.filter(F.col("lang").isin(list(counts))).withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= SAMPLE)
         # written first: its size, of SAMPLE ids a language, is known then, and no text is shuffled to meet it
-        picked = staged(picked, "picked")
-        rows = usable.join(picked, (key == F.col("__id")) & (lang == F.col("__lang")))
-        rows = rows.select(lang.alias("lang"), "k", piece.alias("piece"))
-        first = Window.partitionBy("lang").orderBy("k", "piece")  # an id may be repeated
-        rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).collect()
+        picked = staged(picked.select(F.col("lang").alias("__lang"), F.col("id").alias("__id"), F.col("hash").alias("__hash"), "k"), "picked")
+        at = F.pmod(order, F.greatest(F.length(text) - PIECE_BYTES, F.lit(0)) + 1) + 1
+        piece = F.substring(text, at.cast("int"), F.lit(PIECE_BYTES))
+        rows = usable.join(picked, (key == F.col("__id")) & (lang == F.col("__lang")) & (order == F.col("__hash")))
+        rows = rows.groupBy(F.col("__lang").alias("lang"), "k").agg(F.min(piece).alias("piece")).collect()
     names = sorted(counts, key=lambda name: (-counts[name], name))
-    contents = []
-    for name in names:
-        pieces = dict.fromkeys(letters(r["piece"]) for r in sorted(rows, key=lambda r: (r["k"], r["piece"])) if r["lang"] == name)
-        contents.append(b"\n".join(pieces)[:DICTIONARY] or b" ")
+    pieces = {(r["lang"], r["k"]): letters(r["piece"])[:PIECE_BYTES] for r in rows}
+    contents = [b"\n".join(dict.fromkeys(pieces[at] for at in sorted(pieces) if at[0] == name)) or b" " for name in names]
     return Languages(names, contents)
 
 

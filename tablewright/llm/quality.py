@@ -13,11 +13,12 @@ estimation; Garg et al., 2021). No negative label is used anywhere.
 
 At scale: statistics come from one pass over the texts and are written once. At most
 ``POSITIVES`` and ``UNLABELLED`` rows of numbers, picked by a hash of the id, come to the driver
-for fitting. Scoring is a projection: the fitted model is a Spark expression.
+for fitting, however many rows or partitions there are. Scoring is a projection: the fitted model is a Spark expression.
 
 Defined results: null text is empty, and text without a word scores 0. Without any positives
 every text with words scores the prior 0.5. Rows of fold 0 are scored like others, but their
-labels are never read.
+labels are never read. Repeated rows are scored one by one and fitted on once; an id is
+positive if any of its labels is. Equal statistics score alike. An empty table has no scores.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import staged
-from .batches import held_out
+from ..scratch import discarding_stages, staged
+from .batches import held_out, sampled_rows
 from .statistics import ratios, with_counts
 
 #: Rows fitted on at most.
@@ -137,11 +138,11 @@ def sample(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str)
     good = labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias(id_col)).distinct()
 
     def rows(df: DataFrame, most: int) -> np.ndarray:
-        picked = df.select(order.alias("__order"), *[c.alias(n) for n, c in columns.items()]).orderBy("__order", *columns).limit(most)
-        return np.array([[r[n] for n in columns] for r in picked.collect()], float).reshape(-1, len(columns))
+        picked = sampled_rows(df.select(order.alias("__order"), *[c.alias(n) for n, c in columns.items()]), "__order", most)
+        return np.array([[r[n] for n in columns] for r in picked], float).reshape(-1, len(columns))
 
     positives = rows(usable.join(good, id_col, "left_semi"), POSITIVES)
-    unlabelled = rows(usable.join(good, id_col, "left_anti").unionByName(usable.join(good, id_col, "left_semi")), UNLABELLED)
+    unlabelled = rows(usable, UNLABELLED)
     return list(columns), positives, unlabelled
 
 
@@ -150,8 +151,9 @@ def score(
 ) -> tuple[DataFrame, Model]:
     """(id, held_out, score, predicted) for every row, and the model."""
     bare = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
-    stats = staged(with_counts(bare, "__text").drop("__text"), "statistics")
-    model = fit(*sample(stats, labels, id_col=id_col, label_col=label_col))
+    with discarding_stages(docs.sparkSession):
+        stats = staged(with_counts(bare, "__text").drop("__text"), "statistics", keep=True)
+        model = fit(*sample(stats, labels, id_col=id_col, label_col=label_col))
     value = F.when(F.col("n_words") > 0, model.column(ratios())).otherwise(F.lit(0.0))
     found = stats.select(id_col, held_out(id_col).alias("held_out"), value.alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), model

@@ -10,11 +10,13 @@ a projection and reading it is easy.
 
 At scale: statistics are computed in one pass over the texts and written once; labels meet them
 by a join of numbers. At most ``SAMPLE`` labelled rows, taken by a hash of the id, come to the
-driver to be learned from. Nothing else is bounded.
+driver to be learned from, however many rows or partitions there are. Nothing else is bounded.
 
 Defined results: null text has no words, and fails the base rule like any text of fewer than
 50 words. Without labels of both kinds the list is empty and keeps what passes the base rule.
-Repeated rows are judged one by one; an id labelled twice counts twice in the sample.
+Repeated rows are judged one by one and learned from once; an id with two different labels is
+learned from with both. Of conditions of equal gain the first by name, then the lower threshold, is
+taken. An empty table has no verdicts.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import staged
-from .batches import held_out
+from ..scratch import discarding_stages, staged
+from .batches import held_out, sampled_rows
 from .statistics import ratios, with_counts
 
 #: Labelled rows learned from at most.
@@ -161,7 +163,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, *, id_col: str, label_c
     marked = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").alias("__label")).filter("__label is not null")
     rows = stats.filter(~held_out(id_col)).join(marked, id_col)
     rows = rows.select(F.xxhash64(id_col).alias("__order"), "__label", *[c.alias(n) for n, c in columns.items()])
-    found = rows.orderBy("__order", *columns).limit(most).collect()
+    found = sampled_rows(rows, "__order", most)
     values = {n: np.array([r[n] for r in found], float) for n in columns}
     return values, np.array([r["__label"] for r in found], float)
 
@@ -174,8 +176,9 @@ def judge(
     ``rule`` is the number of the rule that dropped the row, from 1; null if none did.
     """
     bare = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
-    stats = staged(with_counts(bare, "__text").drop("__text"), "statistics")
-    values, label = labelled_sample(stats.filter(~base_failed()), labels, id_col=id_col, label_col=label_col)
+    with discarding_stages(docs.sparkSession):
+        stats = staged(with_counts(bare, "__text").drop("__text"), "statistics", keep=True)
+        values, label = labelled_sample(stats.filter(~base_failed()), labels, id_col=id_col, label_col=label_col)
     rules = learn(values, label == 0)
     columns = ratios()
     kept = ~base_failed() & verdict(rules, columns)

@@ -4,20 +4,8 @@ A fingerprint has 64 bits; a bit is set if it is set in over half the hashes of
 word shingles. Two fingerprints link if they differ in two bits or fewer, and a group is what
 links reach.
 
-Finding the links
------------------
-A fingerprint is cut into segments. For every segment its Hamming ball of radius one is
-enumerated, and each member, with the other segments as they are, is a key under which the
-fingerprint enters the table: 65 keys. Two fingerprints at distance two or less meet under at
-least one key (their common neighbour, in whichever segments the two bits lie). The complete
-distance of what meets is verified.
-
-The key names all segments, not one, for the sake of skew. A key then holds at most 65
-different fingerprints, however many documents or near copies there are, while a bucket of one
-segment's value alone grows with the corpus and its pairs with the square of that. Within a key
-neighbours in sort order are linked, not all pairs: any two there are within distance two of
-each other, so the chain reaches the same group. Exact copies share a fingerprint and are one
-row before any of this.
+The links are found by :mod:`.multi_index`: hash tables by segment, small Hamming balls, complete
+distances. Exact copies share a fingerprint and are one row before any of this.
 
 Defined results
 ---------------
@@ -38,10 +26,11 @@ from pyspark.sql.types import LongType, StructField
 from ..scratch import discarding_stages, staged
 from .batches import Texts, extend, hidden
 from .components import connected
+from .multi_index import near_pairs
 
 SEED = 42
 BITS = 64
-SEGMENTS = 4
+MOST_BITS = 2
 #: Hashes whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
 
@@ -76,25 +65,6 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, n: int = 3) -> Dat
     return extend(df, text_col, [StructField(name, LongType())], start)
 
 
-def ball(value: Column, segments: int = SEGMENTS) -> Column:
-    """The keys of a fingerprint: itself, then for each segment every other member of the
-    segment's ball of radius one, the other segments unchanged."""
-    width = BITS // segments
-    flips = [1 << bit for s in range(segments) for bit in range(s * width, (s + 1) * width)]
-    signed = [x - (1 << BITS) if x >= 1 << (BITS - 1) else x for x in flips]
-    return F.array(value, *[value.bitwiseXOR(F.lit(x)) for x in signed])
-
-
-def links(fingerprints: DataFrame, column: str, most: int = 2) -> DataFrame:
-    """(a, b): pairs of different fingerprints at distance ``most`` (two) or less, enough of
-    them to reach all others that are. ``fingerprints`` has every value once."""
-    value = F.col(column)
-    table = fingerprints.select(value.alias("b"), F.explode(ball(value)).alias("key"))
-    previous = F.expr("lag(b) over (partition by key order by b)")
-    met = table.withColumn("a", previous).filter(F.col("a").isNotNull())
-    return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
-
-
 def group_ids(fingerprints: DataFrame, id_cols: list[str]) -> DataFrame:
     """(fingerprint, first): for every fingerprint the smallest id of its group.
 
@@ -102,7 +72,7 @@ def group_ids(fingerprints: DataFrame, id_cols: list[str]) -> DataFrame:
     """
     with discarding_stages(fingerprints.sparkSession):
         each = staged(fingerprints.groupBy("fingerprint").agg(F.min(F.struct(*id_cols)).alias("first")), "fingerprints")
-        roots = staged(connected(links(each, "fingerprint"), "a", "b"), "roots")
+        roots = staged(connected(near_pairs(each, "fingerprint", MOST_BITS), "a", "b"), "roots")
         linked = each.join(roots, F.col("node") == F.col("fingerprint"))
         first = staged(linked.groupBy("root").agg(F.min("first").alias("group_first")), "firsts")
         known = roots.join(first, "root").select("node", "group_first")
@@ -114,11 +84,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, fingerprint, component_id) for every row: 16 hex digits, and the smallest id that
     links reach."""
     bare = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = staged(with_fingerprint(bare, "text", "fingerprint", n).select("id", "fingerprint"), "simhash")
-    groups = group_ids(prints.select(F.col("id").isNull().alias("none"), "id", "fingerprint"), ["none", "id"])
-    found = prints.join(groups, "fingerprint")
-    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
-    return found.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.col("first.id").alias("component_id"))
+    with discarding_stages(docs.sparkSession):
+        prints = staged(with_fingerprint(bare, "text", "fingerprint", n).select("id", "fingerprint"), "simhash")
+        groups = group_ids(prints.select(F.col("id").isNull().alias("none"), "id", "fingerprint"), ["none", "id"])
+        found = prints.join(groups, "fingerprint")
+        digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+        found = found.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.col("first.id").alias("component_id"))
+        return staged(found, "answer", keep=True)
 
 
 def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
@@ -130,14 +102,16 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     key_id, key_text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
     bare = docs.select(key_id.alias("id"), key_text.alias("hash"), F.col(f"`{text_col}`").alias("text"))
-    prints = staged(with_fingerprint(bare, "text", "fingerprint", n).select("id", "hash", "fingerprint"), "simhash")
-    told = prints.select(F.col("id").isNull().alias("none"), "id", "hash", "fingerprint")
-    first = group_ids(told, ["none", "id", "hash"]).select("first").distinct().select("first.id", "first.hash")
-    copies = prints.groupBy("id", "hash").agg(F.count("*").alias("copies"))
-    same = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash"))
-    kept = first.join(copies.withColumnsRenamed({"id": "other_id", "hash": "other_hash"}), same)
-    kept_id, kept_hash, copies_of, own_hash = hidden(docs, "kept_id", "kept_hash", "copies", "hash")
-    kept = staged(kept.select(F.col("id").alias(kept_id), F.col("hash").alias(kept_hash), F.col("copies").alias(copies_of)), "kept")
+    with discarding_stages(docs.sparkSession):
+        prints = staged(with_fingerprint(bare, "text", "fingerprint", n).select("id", "hash", "fingerprint"), "simhash")
+        told = prints.select(F.col("id").isNull().alias("none"), "id", "hash", "fingerprint")
+        first = group_ids(told, ["none", "id", "hash"]).select("first").distinct().select("first.id", "first.hash")
+        copies = prints.groupBy("id", "hash").agg(F.count("*").alias("copies"))
+        same = F.col("id").eqNullSafe(F.col("other_id")) & (F.col("hash") == F.col("other_hash"))
+        kept = first.join(copies.withColumnsRenamed({"id": "other_id", "hash": "other_hash"}), same)
+        kept_id, kept_hash, copies_of, own_hash = hidden(docs, "kept_id", "kept_hash", "copies", "hash")
+        kept = kept.select(F.col("id").alias(kept_id), F.col("hash").alias(kept_hash), F.col("copies").alias(copies_of))
+        kept = staged(kept, "kept", keep=True)
     match = key_id.eqNullSafe(F.col(kept_id)) & (key_text == F.col(kept_hash))
     single = docs.join(kept.filter(F.col(copies_of) == 1), match, "left_semi")
     several = docs.join(kept.filter(F.col(copies_of) > 1), match, "left_semi").withColumn(own_hash, key_text)

@@ -82,38 +82,6 @@ def test_groups_of_odd_texts(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
-def test_two_fingerprints_meet_exactly_within_distance_two(value, flips):
-    other = value
-    for bit in flips:
-        other ^= 1 << bit
-    keys = lambda x: {x, *(x ^ 1 << b for b in range(64))}
-    assert bool(keys(value) & keys(other)) == (len(flips) <= 2)
-
-
-def test_ball_has_all_keys_once(spark):
-    found = spark.range(1).select(simhash.ball(F.lit(5).cast("bigint")).alias("k")).first()["k"]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    assert sorted(found) == sorted([5, *(signed(5 ^ 1 << b) for b in range(64))])
-
-
-def test_links_reach_every_near_pair(spark):
-    picked = random.Random(3)
-    values = {picked.getrandbits(64) for _ in range(40)}
-    for v in list(values):
-        for _ in range(3):
-            v ^= 1 << picked.randrange(64)
-            values.add(v)
-    values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
-    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "f long"), "f")
-    roots = {r["node"]: r["root"] for r in connected(edges, "a", "b").collect()}
-    for a in values:
-        for b in values:
-            if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
-                assert roots[a] == roots[b]
-
-
 def test_one_document_of_each_group_stays(spark, odd):
     kept = simhash.one_per_group(odd)
     assert kept.columns == odd.columns
