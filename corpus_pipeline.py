@@ -1,7 +1,13 @@
 """A corpus from raw documents: identified, without near-duplicates, clean of the benchmark, with
 personal data masked, and packed.
 
-Every stage takes what its predecessor kept, as written; ``run`` applies all of them.
+Every stage takes what its predecessor kept, as written; ``run`` applies all of them and leaves
+the last one's rows alone behind.
+
+Null and empty texts have no language and go in the first stage. Rows without an id go with
+the near-duplicates of a group that has one. Repeated rows are copies, of which one stays; of equal
+documents the one with the smallest id stays. An empty table has no sequences. Extra columns are carried up
+to the last stage, which returns pieces of sequences.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from tablewright.llm.language import keep_identified
 from tablewright.llm.packing import pack
 from tablewright.llm.pii import redact
 from tablewright.llm.simhash import one_per_group
-from tablewright.scratch import staged
+from tablewright.scratch import discarding_stages, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with discarding_stages(spark):
+        for name, stage in STAGES:
+            docs = staged(stage(spark, docs, sf_dir), name, keep=name == STAGES[-1][0])
+    return docs
