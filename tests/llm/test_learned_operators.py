@@ -365,4 +365,4 @@ def test_licences_take_odd_tables(odd, empty):
 
 def test_sorted_names_and_sql_agree(spark):
     names = [k for k, _ in groupby(sorted(queries.QUERIES))]
-    assert len(names) == 10 and set(queries.SQL) <= set(names)
+    assert len(names) == 13 and set(queries.SQL) <= set(names)
