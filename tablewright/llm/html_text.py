@@ -7,10 +7,14 @@ surrounds them is not. The least density on the path from that node up to the bo
 threshold: a neighbour of the path at least as dense, and not itself boilerplate, belongs to
 the article too, and so does text that stands in the path's nodes directly.
 
-What is never article text is left out before densities are computed: scripts, styles,
-navigation, headers, footers, asides. So are forms and blocks whose class, id or role names adverts, menus,
-notices, comments and the like, unless such a block holds most of the page's unlinked text and no
-article outside of it is told (``settle_marks``). The outermost ``article`` around the chosen node (or else ``main``) is taken
+What is never article text is left out before densities are computed: scripts, styles, hidden
+elements, navigation, headers (of an article all but its headlines), footers, asides. Forms and blocks whose
+class, id or role names adverts, reader comments, cookies and the like go too, unless such a block holds
+most of the page's unlinked text and no article outside of it is told (``settle_marks``). Words that also
+occur in articles (a section on related work, a discussion, a notice) only weigh: inside the
+article such a block stays if it is a paragraph, or long and hardly linked. Inline elements and headings
+are never marked. An article inside an article is a reader's comment, by the HTML standard, if it is no longer
+than the outer one's own text; one that is mostly links, beside others that are not, a teaser. The outermost ``article`` around the chosen node (or else ``main``) is taken
 whole, so that its headline and short paragraphs stay; in a ``main`` around it the path goes on.
 
 At scale: one pass over the rows, no shuffle. The tree is walked without recursion, so depth
@@ -23,6 +27,7 @@ space in a block becomes one space, blocks are joined by one. Repeated rows are
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from html import unescape
 from html.parser import HTMLParser
 from math import e, log
@@ -65,12 +70,19 @@ CLOSES = {
 }
 #: Words in a class, id or role that mark boilerplate.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|"
-    r"aside|footer|header|masthead|comment\w*|disqus|reply|replies|respond|discussion|cookies?|consent|gdpr|notice\w*|"
-    r"alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|"
-    r"widget\w*|pagination|pager|toolbar|copyright|disclaimer|legal|contentinfo|navigation|complementary)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|"
+    r"aside|footer|masthead|comment\w*|disqus|replies|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|signup|"
+    r"widget\w*|pagination|pager|toolbar|contentinfo|navigation|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Whole names that mark boilerplate around articles, and may be used in one.
+DOUBTFUL = frozenset(
+    "side header reply respond discussion notice notices alert overlay share sharing social related recommended recommendations "
+    "login search copyright disclaimer legal related-posts related-articles related-links related-stories share-buttons social-links".split()
+)
+#: Unlinked characters from which a block of a doubtful name inside an article is text.
+LEAST_TEXT = 140
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Ends of a comment, and what closes one right after its start.
 COMMENT_END = re.compile(r"--(?:!|\s*)>")
 COMMENT_AT_ONCE = re.compile("-?>")
@@ -80,18 +92,45 @@ HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLE_SHARE = 0.1
 
 
-class Node:
-    __slots__ = ("chars", "children", "density", "items", "links", "link_chars", "marked", "parent", "skip", "tag", "tags", "total")
+#: Elements whose start closes an open one, by the element that is open: what it closes up to.
+_OPEN = [(("p",), ("table", "td", "th", "button", "object")), *dict.fromkeys(CLOSES.values())]
+_GROUP = {**dict.fromkeys(CLOSES_P, 0), **{tag: _OPEN.index(rule) for tag, rule in CLOSES.items()}}
+_SETS = {t: [k for k, (tags, _) in enumerate(_OPEN) if t in tags] for tags, _ in _OPEN for t in tags}
+_CLEARS = {t: [k for k, (_, stops) in enumerate(_OPEN) if t in stops] for _, stops in _OPEN for t in stops}
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, marked: bool = False):
-        self.tag, self.parent, self.skip, self.marked = tag, parent, skip, marked
+
+class Node:
+    __slots__ = (
+        "base", "chars", "density", "doubtful", "inline", "items", "links", "link_chars", "marked", "only_headlines", "open", "parent",
+        "skip", "tag", "tags", "total",
+    )
+
+    def __init__(self, tag: str, parent: Node | None, skip: bool, marked: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.skip, self.marked, self.doubtful = tag, parent, skip, marked, doubtful
+        self.only_headlines = False
         self.items: list[Node | str] = []  # text and elements in page order
         self.chars = self.tags = self.links = self.link_chars = 0
         self.density = self.total = 0.0
+        # the nearest open element of each rule of _OPEN, and the block around with its open inline elements
+        self.open: tuple[Node | None, ...] = parent.open if parent is not None else (None,) * len(_OPEN)
+        if tag in _SETS or tag in _CLEARS:
+            known = list(self.open)
+            for k in _CLEARS.get(tag, ()):
+                known[k] = None
+            for k in _SETS.get(tag, ()):
+                known[k] = self
+            self.open = tuple(known)
+        within = parent is not None and tag in INLINE
+        self.base: Node = parent.base if within else self
+        self.inline: dict[str, int] | None = None if within else {}
 
 
 class Tree(HTMLParser):
-    """Elements as a tree, end tags that are missing implied as browsers do."""
+    """Elements as a tree, end tags that are missing implied as browsers do.
+
+    Every element is opened and closed once, and whether an end tag or an implied end finds an open
+    element is known without a search, so that depth costs nothing.
+    """
 
     open_ended = ("textarea", "title")
     CDATA_CONTENT_ELEMENTS = ("script", "style", *open_ended)
@@ -101,42 +140,53 @@ class Tree(HTMLParser):
         self.closing = False
         self.root = self.here = Node("#root", None, False)
         self.order = [self.root]
-
-    def _closing(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        node = self.here
-        while node.parent is not None and node.tag not in stops:
-            if node.tag in tags:
-                self.here = node.parent
-                return
-            node = node.parent
+        self.opened: dict[str, int] = {}  # elements open, by tag
+
+    def _enter(self, node: Node) -> None:
+        self.here = node
+        self.opened[node.tag] = self.opened.get(node.tag, 0) + 1
+        if node.base is not node:
+            node.base.inline[node.tag] = node.base.inline.get(node.tag, 0) + 1
+
+    def _leave(self, to: Node) -> None:
+        """Close what is open up to and with the child of ``to``."""
+        while self.here is not to:
+            node = self.here
+            self.opened[node.tag] -= 1
+            if node.base is not node:
+                node.base.inline[node.tag] -= 1
+            self.here = node.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
-            self._closing(("p",), ("table", "td", "th", "button", "object"))
-        elif tag in CLOSES:
-            self._closing(*CLOSES[tag])
+        if tag in _GROUP:
+            ended = self.here.open[_GROUP[tag]]
+            if ended is not None:
+                self._leave(ended.parent)
         if tag in ("html", "body") and any(n.tag == tag for n in self.order[:4]):
             return  # a second one only adds attributes
-        marks = " ".join(value for name, value in attrs if name in ("class", "id", "role") and value)
-        skip = tag in NEVER_TEXT or any(name == "hidden" for name, _ in attrs)
-        marked = tag in MARKED or bool(marks and tag not in ("html", "body", *CONTAINERS) and BOILERPLATE.search(marks))
-        node = Node(tag, self.here, skip, marked)
+        names = [value for name, value in attrs if name in ("class", "id", "role") and value]
+        marks = " ".join(names) if tag not in INLINE and tag not in HEADLINES and tag not in ("html", "body", "main") else ""
+        marked = tag in MARKED or bool(marks and BOILERPLATE.search(marks))
+        doubtful = not marked and tag != "article" and any(t.lower() in DOUBTFUL for t in marks.split())
+        headed = tag == "header" and (self.opened.get("article") or self.opened.get("main"))
+        hidden_by = any(name == "hidden" or name == "style" and value and HIDDEN.search(value) for name, value in attrs)
+        node = Node(tag, self.here, tag in NEVER_TEXT and not headed or hidden_by, marked, doubtful)
+        node.only_headlines = tag not in HEADLINES and bool(headed or self.here.only_headlines)
         self.here.items.append(node)
         self.order.append(node)
         if tag not in VOID:
-            self.here = node
+            self._enter(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if not self.opened.get(tag) or tag in INLINE and not self.here.base.inline.get(tag):
+            return  # nothing to close, or only beyond a block, which a stray inline end tag does not close
         node = self.here
-        while node.parent is not None and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return  # a stray inline end tag closes no block
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.here = node.parent
+        self._leave(node.parent)
 
     def close(self):
         self.closing = True
@@ -154,7 +204,8 @@ class Tree(HTMLParser):
             super().set_cdata_mode(elem)
 
     def handle_data(self, data):
-        self.here.items.append(unescape(data) if self.here.tag == "title" else data)
+        if not self.here.only_headlines:
+            self.here.items.append(unescape(data) if self.here.tag == "title" else data)
 
 
 def measure(order: list[Node]) -> None:
@@ -180,13 +231,16 @@ def settle_marks(order: list[Node]) -> None:
     (comments, say). If nothing else is left, no block is skipped for its mark.
     """
     full: dict[int, int] = {}  # unlinked characters below a node
+    whole: dict[int, int] = {}  # all of them
     plain: dict[int, int] = {}  # the same without marked blocks
     for node in reversed(order):
+        if not node.skip:
+            whole[id(node)] = sum(len("".join(i.split())) if isinstance(i, str) else whole.get(id(i), 0) for i in node.items)
         for item in node.items if node.tag != "a" and not node.skip else ():
             held = isinstance(item, Node)
             n = full.get(id(item), 0) if held else len("".join(item.split()))
             full[id(node)] = full.get(id(node), 0) + n
-            unmarked = (0 if item.marked else plain.get(id(item), 0)) if held else n
+            unmarked = (0 if item.marked or item.doubtful else plain.get(id(item), 0)) if held else n
             plain[id(node)] = plain.get(id(node), 0) + unmarked
     total, left = full.get(id(order[0]), 0), plain.get(id(order[0]), 0)
     most = lambda node: 2 * full.get(id(node), 0) > total
@@ -203,13 +257,39 @@ def settle_marks(order: list[Node]) -> None:
         return best if best is not None and plain.get(id(best), 0) >= max(ARTICLE_SHARE * total, 1) else None
 
     told = article(False) or article(True)
-    around = set()
+    around, within = set(), set()
     node = told
     while node is not None:
         around.add(id(node))
         node = node.parent
     for node in order:
-        if node.marked and id(node) not in around and (told is not None or left and not most(node)):
+        if told is not None and (node is told or node.parent is not None and id(node.parent) in within):
+            within.add(id(node))
+        if id(node) in around:
+            continue
+        if node.marked and (told is not None or left and not most(node)):
+            node.skip = True
+        elif node.doubtful and told is not None:
+            text = full.get(id(node), 0)
+            is_text = node.tag == "p" or text >= LEAST_TEXT and 3 * text > 2 * whole.get(id(node), 0)
+            node.skip = node.skip or not (id(node) in within and is_text)
+        elif node.doubtful and left and not most(node):
+            node.skip = True
+
+
+def settle_nested(order: list[Node]) -> None:
+    """Skip articles inside an article that are no longer than its own text."""
+    own: dict[int, int] = {}  # of each article, characters outside of inner ones
+    outer: dict[int, Node | None] = {}  # the article around, itself included
+    for node in order:  # parents come before their children
+        above = outer.get(id(node.parent)) if node.parent is not None else None
+        outer[id(node)] = node if node.tag == "article" else above
+        if outer[id(node)] is not None and not node.skip and node.tag != "a":
+            at = id(outer[id(node)])
+            own[at] = own.get(at, 0) + sum(len("".join(i.split())) for i in node.items if isinstance(i, str))
+    for node in order:
+        around = outer.get(id(node.parent)) if node.tag == "article" and node.parent is not None else None
+        if around is not None and own.get(id(around), 0) >= own.get(id(node), 0):
             node.skip = True
 
 
@@ -229,13 +309,27 @@ def score(order: list[Node], body: Node) -> None:
         node.total += sum(len("".join(i.split())) for i in node.items if isinstance(i, str))
 
 
+def _inherit_skips(order: list[Node]) -> None:
+    for node in order:  # parents come before their children
+        node.skip = node.skip or node.parent is not None and node.parent.skip
+
+
 def chosen(order: list[Node]) -> list[Node | str]:
     """The subtrees and texts that make up the article, in page order."""
     body = next((n for n in order if n.tag == "body"), order[0])
     settle_marks(order)
-    for node in order:  # parents come before their children
-        node.skip = node.skip or node.parent is not None and node.parent.skip
+    settle_nested(order)
+    _inherit_skips(order)
     measure(order)
+    articles = [n for n in order if n.tag == "article" and not n.skip and n.chars]
+    teasers = [n for n in articles if 2 * n.link_chars > n.chars]
+    if 0 < len(teasers) < len(articles):
+        for node in teasers:
+            node.skip = True
+        _inherit_skips(order)
+        for node in order:
+            node.chars = node.tags = node.links = node.link_chars = 0
+        measure(order)
     score(order, body)
     inside = [n for n in order if not n.skip and n.chars and n.tag not in INLINE]
     if not inside:
@@ -275,11 +369,23 @@ def _beside(items: list[Node | str], threshold: float, in_container: bool) -> li
             found += run
         run = []
         if item is not None and not item.skip and item.chars:
-            titled = in_container and (item.tag in HEADLINES or item.tag == "article")
-            found += [item] if titled or item.density >= threshold else ["\n"]
+            titled = _headline(item, HEADLINES if in_container else ("h1",))
+            further = in_container and item.tag == "article" and 2 * item.link_chars < item.chars
+            dense = item.density >= threshold and 2 * item.link_chars < item.chars
+            found += [item] if titled or further or dense else ["\n"]
     return found
 
 
+def _headline(node: Node, tags: Collection[str]) -> bool:
+    """Whether all text of the node is that of one headline."""
+    while node.tag not in tags:
+        filled = [i for i in node.items if (i.strip() if isinstance(i, str) else not i.skip and i.chars)]
+        if len(filled) != 1 or isinstance(filled[0], str):
+            return False
+        node = filled[0]
+    return 2 * node.link_chars < node.chars
+
+
 def text_of(items: list[Node | str]) -> str:
     """All text of items and below them but that of skipped elements; blocks end words."""
     parts: list[str] = []
