@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright import Scd1, Scd2, materialize
 from tablewright.functions import row_hash
 from tablewright.operators import as_of, current_rows, scd1, scd1_initial, scd2, scd2_initial
-from tablewright.operators.dimensions import join_as_of, version_changes
+from tablewright.operators.dimensions import join_as_of, join_as_of_binned, version_changes
 from tablewright.plans.buckets import BUCKET
 
 from .registry import new_database, query, source
@@ -186,12 +186,14 @@ def scd2_as_of(spark, sf_dir):
     return as_of(two_runs(spark, sf_dir), AS_OF)
 
 
-@query(
-    "scd2_join_as_of",
-    f"""SELECT o.*, d.c_mktsegment, d.valid_from FROM orders o LEFT JOIN ({TWO_RUNS}) d
-        ON o.o_custkey = d.c_custkey AND d.valid_from <= o.o_orderdate
-        AND (d.valid_to IS NULL OR d.valid_to > o.o_orderdate)""",
-)
+JOINED_AS_OF = f"""
+    SELECT o.*, d.c_mktsegment, d.valid_from FROM orders o LEFT JOIN ({TWO_RUNS}) d
+    ON o.o_custkey = d.c_custkey AND d.valid_from <= o.o_orderdate
+    AND (d.valid_to IS NULL OR d.valid_to > o.o_orderdate)
+"""
+
+
+@query("scd2_join_as_of", JOINED_AS_OF)
 def scd2_join_as_of(spark, sf_dir):
     """Each order with the customer version valid on its date."""
     dimension = two_runs(spark, sf_dir).select(
@@ -200,6 +202,38 @@ def scd2_join_as_of(spark, sf_dir):
     return join_as_of(source(spark, sf_dir, "orders"), dimension, "o_custkey", "o_orderdate").drop("valid_to")
 
 
+@query("scd2_join_as_of_binned", JOINED_AS_OF)
+def scd2_join_as_of_binned(spark, sf_dir):
+    """The same by bins of time, for keys with many versions."""
+    dimension = two_runs(spark, sf_dir).select(
+        F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "valid_from", "valid_to"
+    )
+    return join_as_of_binned(source(spark, sf_dir, "orders"), dimension, "o_custkey", "o_orderdate").drop("valid_to")
+
+
+@query(
+    "price_versions",
+    """
+    WITH v AS (
+        SELECT o_custkey % 3 AS shelf, o_orderkey, o_totalprice AS price, o_orderdate AS valid_from,
+               lead(o_orderdate) OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate) AS valid_to
+        FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 3, o_orderdate ORDER BY o_orderkey) = 1
+    )
+    SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate, v.o_orderkey AS set_by, v.price
+    FROM lineitem l LEFT JOIN v ON v.shelf = l.l_partkey % 3 AND v.valid_from <= l.l_shipdate
+        AND (v.valid_to IS NULL OR v.valid_to > l.l_shipdate)
+    """,
+)
+def price_versions(spark, sf_dir):
+    """Three keys with a version for every day of orders; each line takes the one valid when it was shipped."""
+    orders = source(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("shelf"), "o_orderkey", "o_totalprice", "o_orderdate")
+    first = orders.groupBy("shelf", "o_orderdate").agg(F.min(F.struct("o_orderkey", "o_totalprice")).alias("set"))
+    until = F.expr("lead(o_orderdate) over (partition by shelf order by o_orderdate)")
+    versions = first.select("shelf", F.col("set.o_orderkey").alias("set_by"), F.col("set.o_totalprice").alias("price"), F.col("o_orderdate").alias("valid_from"), until.alias("valid_to"))
+    lines = source(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_partkey") % 3).alias("shelf"))
+    return join_as_of_binned(lines, versions, "shelf", "l_shipdate").drop("shelf", "valid_from", "valid_to")
+
+
 @query(
     "scd2_history",
     f"""WITH d AS ({TWO_RUNS})

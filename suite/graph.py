@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import (
     cycle_nodes,
+    cycle_path,
     downstream_subgraph,
     propagate_failures,
     reachable_nodes,
@@ -84,6 +85,32 @@ def cycle_nodes_query(spark, sf_dir):
     return cycle_nodes(edges(spark, sf_dir).unionByName(back))
 
 
+@query(
+    "cycle_path",
+    f"""{CLOSURE.replace(EDGES, LOOPED)}, cycle AS (SELECT a AS node FROM c WHERE a = b)
+        SELECT row_number() OVER (ORDER BY node) - 1 AS position, node FROM cycle
+        UNION ALL SELECT count(*), min(node) FROM cycle""",
+)
+def cycle_path_query(spark, sf_dir):
+    """The same cycle in order: on the way down numbers grow."""
+    back = source(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("upstream"), F.min("c_custkey").alias("downstream"))
+    return cycle_path(edges(spark, sf_dir).unionByName(back))
+
+
+@query(
+    "order_chains",
+    f"""SELECT o_orderkey AS node,
+               CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS level
+        FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)""",
+)
+def order_chains(spark, sf_dir):
+    """Each order of a customer waits for the one before: long chains of nodes with one parent."""
+    orders = source(spark, sf_dir, "orders")
+    before = F.expr("lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey)")
+    chained = orders.select(before.alias("upstream"), F.col("o_orderkey").alias("downstream"))
+    return topological_levels(chained.filter("upstream is not null"))
+
+
 @query(
     "subgraph",
     f"""{CLOSURE}, inside AS (

@@ -14,6 +14,7 @@ from .dimensions import (
 from .lineage import (
     CycleFound,
     cycle_nodes,
+    cycle_path,
     downstream_subgraph,
     propagate_failures,
     reachable_nodes,

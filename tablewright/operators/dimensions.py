@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..functions.columns import any_difference, assigned, column, equal_keys, field, key_list, moment, row_hash
 from .merge import keyed_source, not_older, upsert
@@ -230,6 +232,86 @@ def join_as_of(
     )
 
 
+def _micros(value: Column, kind) -> Column:
+    """Microseconds that grow with a date or time, whatever the session's time zone."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value)
+    wall = value.cast("timestamp_ntz")
+    second = (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("bigint")
+    minutes = (F.hour(wall) * 60 + F.minute(wall)).cast("bigint")
+    return F.datediff(wall, F.lit("1970-01-01")).cast("bigint") * 86_400_000_000 + minutes * 60_000_000 + second
+
+
+#: How much wider the bins of each level of :func:`join_as_of_binned` are.
+WIDER = 8
+
+
+def join_as_of_binned(
+    facts: DataFrame,
+    dimension: DataFrame,
+    keys: str | Sequence[str],
+    at: str,
+    names: VersionColumns = VersionColumns(),
+    how: str = "left",
+) -> DataFrame:
+    """:func:`join_as_of` for keys with very many versions, which must not overlap.
+
+    Time is cut into bins, on levels of growing width; the narrowest is about as wide as the
+    shortest tenth of versions last. A closed version lies on the level whose bins are as wide as it is long,
+    in two of them at most, an open one on a level of its own. A fact looks up one bin on each level, so
+    it meets the versions of that bin instead of all of its key, and the facts of a key are spread over
+    tasks by time. Levels are as many as powers of ``WIDER`` between the shortest and the longest
+    version; their numbers come to the driver.
+    """
+    keys = key_list(keys)
+    if how not in ("left", "inner"):
+        raise ValueError(f"how {how!r} is neither 'left' nor 'inner'")
+    attributes = [c for c in dimension.columns if c not in keys]
+    taken = {*facts.columns, *dimension.columns}
+
+    def unused(name: str) -> str:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        return name
+
+    begin, end, level, bin_, found = map(unused, ("__begin", "__end", "__level", "__bin", "__found"))
+    kind = dimension.schema[names.valid_from].dataType
+    closed = column(names.valid_to).isNotNull()
+    timed = dimension.filter(column(names.valid_from).isNotNull()).withColumns(
+        {begin: _micros(column(names.valid_from), kind), end: _micros(column(names.valid_to), kind)}
+    )
+    length = F.greatest(F.col(end) - F.col(begin), F.lit(1))
+    width = timed.filter(closed).agg(F.percentile_approx(length, 0.1)).first()[0] or 1
+    power = F.greatest(F.ceil(F.log(length / F.lit(float(width))) / F.lit(log(WIDER))), F.lit(0)).cast("int")
+    leveled = timed.withColumn(level, F.when(closed, power).otherwise(F.lit(-1)))
+    levels = sorted(r[0] for r in leveled.select(level).distinct().collect())  # a few dozen at most
+    met = facts
+    when_kind = facts.schema[at].dataType
+    columns = []
+    for k in levels:
+        size = F.lit(int(width) * WIDER**k if k >= 0 else 1)
+        versions = leveled.filter(F.col(level) == k)
+        if k >= 0:
+            bins = F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))
+            versions = versions.withColumn(bin_, F.explode(bins))
+        payload = unused(f"__version{k}".replace("-", "o"))
+        columns.append(payload)
+        mine = versions.select(*keys, *([bin_] if k >= 0 else []), F.struct(*[column(c) for c in attributes]).alias(payload))
+        start, stop = F.col(f"d.{payload}.`{names.valid_from}`"), F.col(f"d.{payload}.`{names.valid_to}`")
+        on = equal_keys("f", "d", keys) & (start <= field("f", at)) & (stop.isNull() | (stop > field("f", at)))
+        looking = met
+        if k >= 0:
+            looking = met.withColumn(bin_, F.floor(_micros(column(at), when_kind) / size))
+            on = on & (F.col(f"f.{bin_}") == F.col(f"d.{bin_}"))
+        met = looking.alias("f").join(mine.alias("d"), on, "left").select(*[field("f", c) for c in met.columns], field("d", payload))
+    version = F.coalesce(*[F.col(c) for c in columns]) if columns else F.struct(*[F.lit(None).cast(dimension.schema[c].dataType).alias(c) for c in attributes])
+    met = met.withColumn(found, version)
+    if how == "inner":
+        met = met.filter(F.col(found).isNotNull() if columns else F.lit(False))
+    return met.select(*[column(c) for c in facts.columns], *[F.col(f"{found}.`{c}`").alias(c) for c in attributes])
+
+
 def key_history(dimension: DataFrame, predicate: Column, names: VersionColumns = VersionColumns()) -> DataFrame:
     """All versions of the keys that satisfy ``predicate``, oldest first."""
     return dimension.filter(predicate).orderBy(column(names.valid_from))

@@ -237,25 +237,36 @@ def parsed(records: DataFrame, schema: str, text: str = "record") -> DataFrame:
     return records.select(F.from_json(F.col(text), schema).alias("r")).select("r.*")
 
 
-def explode_path(df: DataFrame, text: str | Column, item_schema: str, response_path: str) -> DataFrame:
+def explode_path(df: DataFrame, text: str | Column, item_schema: str, response_path: str, missing: str = "skip") -> DataFrame:
     """One row per record at a dotted path inside a JSON text column.
 
     An array gives its elements, an object is one record, and a scalar is one record with the
-    value in the first field. Text that is not JSON fails the query; an absent path gives no row.
+    value in the first field. A field that is absent or of another type is NULL. Text that is not JSON
+    fails the query; an absent path gives no row, or with ``missing="fail"`` an error as from
+    :func:`records_at`. The text is parsed once, into a VARIANT that all else is read from.
     """
+    if missing not in ("skip", "fail"):
+        raise ValueError(f"missing {missing!r} is neither 'skip' nor 'fail'")
     body = F.col(text) if isinstance(text, str) else text
     path = "$" + "".join(f"['{key}']" for key in response_path.split(".") if key)
-    valid = F.when(body.isNull() | F.try_parse_json(body).isNotNull(), body)
-    checked = F.when(body.isNull() | valid.isNotNull(), valid).otherwise(
-        F.raise_error(F.concat(F.lit("not JSON: "), F.substring(body, 1, 80))).cast("string")
-    )
-    found = df.select(F.get_json_object(checked, path).alias("found")).filter("found is not null")
-    first = F.trim("found").substr(1, 1)
-    record = f"struct<{item_schema}>"
-    one = T._parse_datatype_string(record)
-    scalar = F.struct(
-        *[(F.col("found") if k == 0 else F.lit(None)).cast(f.dataType).alias(f.name) for k, f in enumerate(one.fields)]
-    )
-    listed = F.from_json("found", f"array<{record}>")
-    single = F.when(first == "{", F.from_json("found", one)).otherwise(scalar)
-    return found.select(F.explode(F.when(first == "[", listed).otherwise(F.array(single))).alias("r")).select("r.*")
+    fields = T._parse_datatype_string(f"struct<{item_schema}>").fields
+
+    def unless(bad: Column, complaint: str) -> Column:
+        error = F.raise_error(F.concat(F.lit(complaint), F.substring("body", 1, 80))).cast("boolean")
+        return F.when(F.col("body").isNotNull() & bad, error).otherwise(F.lit(True))
+
+    parsed_once = df.select(body.alias("body")).select("body", F.try_parse_json("body").alias("json"))
+    parsed_once = parsed_once.filter(unless(F.col("json").isNull(), "not JSON: "))
+    at = parsed_once.select("body", F.try_variant_get("json", path, "variant").alias("at"))
+    if missing == "fail":
+        at = at.filter(unless(F.col("at").isNull(), f"no {response_path!r} in "))
+    at = at.filter(F.col("at").isNotNull() & ~F.is_variant_null("at")).select("at")
+    items = F.coalesce(F.try_variant_get("at", "$", "array<variant>"), F.array("at"))
+    item = at.select(F.explode(items).alias("item")).withColumn("whole", F.schema_of_variant("item").startswith("OBJECT"))
+
+    def value(k: int, f) -> Column:
+        kind = f.dataType.simpleString()
+        inside = F.try_variant_get("item", f"$['{f.name}']", kind)
+        return F.when(F.col("whole"), inside).otherwise(F.try_variant_get("item", "$", kind) if k == 0 else F.lit(None).cast(f.dataType)).alias(f.name)
+
+    return item.select(*[value(k, f) for k, f in enumerate(fields)])

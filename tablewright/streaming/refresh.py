@@ -17,7 +17,7 @@ from ..config import Incremental, Partitioned, Scd1, Scd2, TableConfig
 from ..functions.columns import column, key_list
 from ..operators.schema import conform
 from ..plans import commit, materialize
-from ..scratch import move_files, path_exists, write_mark
+from ..scratch import move_files, path_exists, remove_folder, write_mark
 
 _KEYED = (Incremental, Partitioned, Scd1, Scd2)
 
@@ -72,8 +72,10 @@ def append_stream(stream: DataFrame, table: str, checkpoint: str, *, continuous:
     """Append a stream to an unpartitioned parquet table exactly once, creating it if absent.
 
     A batch is written to a hidden folder inside the table's and its files are then moved into
-    place under names of their own. A batch delivered again finds its folder complete and only
-    moves what is left, so rows of the table and of batch appends all stay visible.
+    place under names of their own, so rows of the table and of batch appends all stay visible. A batch delivered
+    again finds its folder complete and only moves what is left, or finds the mark that it was published.
+    Marks lie in the checkpoint, where a rewrite of the table does not reach them; only the
+    last batch can come again, so earlier marks are removed.
     """
     session = stream.sparkSession
     if not commit.table_exists(session, table):
@@ -81,16 +83,22 @@ def append_stream(stream: DataFrame, table: str, checkpoint: str, *, continuous:
     partitions, details = commit.described(session, table)
     if partitions or details.get("Provider", "").lower() != "parquet":
         raise ValueError(f"{table} is not an unpartitioned parquet table")
-    place = f"{details['Location'].rstrip('/')}/_appending-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    own = f"_appending-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    marks = f"{checkpoint.rstrip('/')}/published"
     if path_exists(session, f"{details['Location'].rstrip('/')}/_spark_metadata"):
         raise ValueError(f"{table} has a file sink's log, which hides other files; copy it to a new table")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{place}/batch-{batch_id}"
-        if not path_exists(session, f"{folder}/_SUCCESS") and not path_exists(session, f"{folder}/_MOVED"):
+        if path_exists(session, f"{marks}/batch-{batch_id}"):
+            return
+        location = commit.described(session, table)[1]["Location"].rstrip("/")  # a rewrite moves it
+        folder = f"{location}/{own}/batch-{batch_id}"
+        if not path_exists(session, f"{folder}/_SUCCESS"):
             conform(batch, session.table(commit.table_name(table))).write.mode("overwrite").parquet(folder)
-        move_files(session, folder, details["Location"], ".parquet")
-        write_mark(session, f"{folder}/_MOVED")
+        move_files(session, folder, location, ".parquet")
+        write_mark(session, f"{marks}/batch-{batch_id}")
+        remove_folder(session, f"{location}/{own}")
+        remove_folder(session, f"{marks}/batch-{batch_id - 1}")
         session.catalog.refreshTable(table)
 
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import (
     CycleFound,
     cycle_nodes,
+    cycle_path,
     downstream_subgraph,
     propagate_failures,
     reachable_nodes,
@@ -15,6 +16,7 @@ from tablewright.operators import (
     topological_levels,
     topological_order,
 )
+from tablewright.operators import lineage
 
 DIAMOND = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("a", "b")]
 
@@ -57,6 +59,65 @@ def test_cycles(spark):
     assert rows(topological_levels(graph(spark, [])), "node") == []
 
 
+def check_path(df, edges):
+    """The rows form one simple cycle of ``edges``, from the least node on any."""
+    found = cycle_path(df).orderBy("position").collect()
+    path = [r["node"] for r in found]
+    assert [r["position"] for r in found] == list(range(len(path)))
+    on = {a for a, b in closure(edges) if a == b}
+    if not on:
+        assert path == []
+        return path
+    assert path[0] == path[-1] == min(on) and len(set(path)) == len(path) - 1
+    assert set(zip(path, path[1:], strict=False)) <= set(edges)
+    return path
+
+
+def test_cycle_path(spark):
+    tail = [("e", "tail"), ("head", "a")]
+    assert check_path(graph(spark, DIAMOND + [("e", "b"), *tail]), DIAMOND + [("e", "b"), *tail]) == ["b", "d", "e", "b"]
+    assert check_path(graph(spark, [("z", "z"), *tail]), [("z", "z"), *tail]) == ["z", "z"]
+    assert check_path(graph(spark, DIAMOND), DIAMOND) == []
+    ring = [(k, (k + 1) % 9) for k in range(9)] + [(20, 21), (21, 20), (8, 20)]
+    assert check_path(graph(spark, ring, "int"), ring) == [*range(9), 0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cycle_path_of_random_graphs(spark, seed):
+    pick = random.Random(seed)
+    edges = {(pick.randrange(30), pick.randrange(30)) for _ in range(36)}
+    edges |= {(100 + k, 101 + k) for k in range(20)} | {(3, 100), (120, 3)}  # a long stretch with one parent each
+    check_path(graph(spark, edges, "int"), edges)
+
+
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    """2,000 nodes in a row, and a cycle of as many: rounds grow with the logarithm."""
+    rounds, add = [], lineage.Rounds.add
+    monkeypatch.setattr(lineage.Rounds, "add", lambda self, *a, **k: rounds.append(1) or add(self, *a, **k))
+    n = 2_000
+    chain = spark.range(n).select(F.col("id").alias("upstream"), (F.col("id") + 1).alias("downstream"))
+    levels = {r["node"]: r["level"] for r in topological_levels(chain).collect()}
+    assert levels == {k: k + 1 for k in range(n + 1)} and len(rounds) < 20
+    looped = chain.union(spark.createDataFrame([(n, 0)], "upstream long, downstream long"))
+    assert [r["node"] for r in cycle_path(looped).orderBy("position").collect()] == [*range(n + 1), 0]
+    assert len(rounds) < 60
+
+
+def test_levels_through_joins_and_stretches(spark):
+    """A ladder: stretches of different length that meet again and again."""
+    edges, top = set(), 0
+    for k in range(5):
+        below = top + 100
+        for length in (1, 3 + k):
+            path = [top, *[top + 10 * length + j for j in range(length)], below]
+            edges |= set(zip(path, path[1:], strict=False))
+        top = below
+    level = {}
+    for node in sorted({n for e in edges for n in e}):
+        level[node] = 1 + max((level[a] for a, b in edges if b == node), default=0)
+    assert rows(topological_levels(graph(spark, edges, "int"))) == sorted(level.items())
+
+
 def test_subgraph(spark):
     edges = graph(spark, DIAMOND)
     assert rows(downstream_subgraph(edges, names(spark, "b"))) == [("b", "d"), ("d", "e")]

@@ -2,6 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
 from tablewright.sources import (
@@ -247,3 +248,18 @@ def test_explode_path(spark):
     assert rows(explode_path(df, "body", "id int", "a")) == [(3,), (4,), (5,)]
     with pytest.raises(Exception, match="not JSON"):
         explode_path(spark.createDataFrame([("{oops",)], "body string"), "body", "id int", "a").collect()
+
+
+def test_explode_path_takes_what_is_there(spark):
+    df = spark.createDataFrame(
+        [(1, '{"a": {"b c": [{"id": 1, "n": "x"}, {"n": null}, 7, {"id": "no number", "n": {"deep": 1}}]}}'), (2, '{"a": {}}'), (3, None), (4, '{"a": {"b c": null}}'), (5, "5")],
+        "k int, body string",
+    )
+    want = [(None, None), (None, '{"deep":1}'), (1, "x"), (7, None)]
+    assert rows(explode_path(df, "body", "id int, n string", "a.b c")) == want
+    with pytest.raises(Exception, match="no 'a.b c' in"):
+        explode_path(df, "body", "id int", "a.b c", missing="fail").collect()
+    assert rows(explode_path(df.filter("k in (1, 3, 4)"), "body", "id int", "a.b c", missing="fail")) == [(n,) for n, _ in want]
+    with pytest.raises(ValueError, match="neither"):
+        explode_path(df, "body", "id int", "a", missing="perhaps")
+    assert rows(explode_path(df, F.col("body"), "v int", "")) == [(None,), (None,), (None,), (5,)]
