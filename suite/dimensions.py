@@ -214,10 +214,11 @@ def scd2_join_as_of_binned(spark, sf_dir):
 @query(
     "price_versions",
     """
-    WITH v AS (
-        SELECT o_custkey % 3 AS shelf, o_orderkey, o_totalprice AS price, o_orderdate AS valid_from,
-               lead(o_orderdate) OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate) AS valid_to
+    WITH day AS (
+        SELECT o_custkey % 3 AS shelf, o_orderkey, o_totalprice AS price, o_orderdate AS valid_from
         FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 3, o_orderdate ORDER BY o_orderkey) = 1
+    ), v AS (
+        SELECT *, lead(valid_from) OVER (PARTITION BY shelf ORDER BY valid_from) AS valid_to FROM day
     )
     SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate, v.o_orderkey AS set_by, v.price
     FROM lineitem l LEFT JOIN v ON v.shelf = l.l_partkey % 3 AND v.valid_from <= l.l_shipdate
