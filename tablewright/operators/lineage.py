@@ -137,6 +137,8 @@ def _ancestors(tables: list[DataFrame], start: DataFrame) -> DataFrame:
     """Distinct nodes of ``start`` (node) and all their ancestors that have a parent, by the
     tables of :func:`_jumps`: every round doubles how far up is known."""
     found = start.select("node").distinct()
+    if start.isEmpty():
+        return found
     for table in tables:
         up = table.join(own_shuffle(found), ["node"], "left_semi").select(F.col("to").alias("node"))
         found = staged(found.union(up).distinct(), "ancestors")
@@ -280,13 +282,14 @@ def _components(links: DataFrame) -> DataFrame:
 
     Propagates the greatest node forwards and walks back inside each colour; what that settles leaves.
     """
-    core, found = _core(links), None
+    core, found = staged(links, "core"), None
     while not core.isEmpty():
         settled = staged(_settled_components(core), "members")
         found = settled if found is None else found.union(settled)
         rest = core.join(settled.select(F.col("node").alias("near")), ["near"], "left_anti")
         rest = rest.join(settled.select(F.col("node").alias("far")), ["far"], "left_anti")
-        core = _core(staged(rest.select("near", "far"), "rest"))
+        rest = staged(rest.select("near", "far"), "rest")
+        core = rest if rest.isEmpty() else _core(rest)
     return _nodes(links).select("node", F.col("node").alias("colour")).limit(0) if found is None else found
 
 
@@ -312,7 +315,7 @@ def _on_cycles(links: DataFrame) -> DataFrame:
     single, joins = _single_parents(core)
     tables = _jumps(single)
     hops = staged(_contracted(joins, tables[-1]).filter("near is not null"), "hops")
-    of = staged(_components(hops.select("near", "far").distinct()), "of")
+    of = _components(hops.select("near", "far").distinct())
     start, end = of.toDF("near", "from"), of.toDF("far", "into")
     inner = hops.join(start, ["near"]).join(end, ["far"]).filter(F.col("from") == F.col("into"))
     inner = staged(inner.select("near", "via"), "inner")

@@ -74,17 +74,16 @@ def check_path(df, edges):
 
 
 def test_cycle_path(spark):
-    tail = [("e", "tail"), ("head", "a")]
+    tail = [("e", "tail"), ("head", "a"), ("z", "z")]
     assert check_path(graph(spark, DIAMOND + [("e", "b"), *tail]), DIAMOND + [("e", "b"), *tail]) == ["b", "d", "e", "b"]
-    assert check_path(graph(spark, [("z", "z"), *tail]), [("z", "z"), *tail]) == ["z", "z"]
-    assert check_path(graph(spark, DIAMOND), DIAMOND) == []
     ring = [(k, (k + 1) % 9) for k in range(9)] + [(20, 21), (21, 20), (8, 20)]
     assert check_path(graph(spark, ring, "int"), ring) == [*range(9), 0]
+    assert check_path(graph(spark, [("a", "a"), ("a", "b")]), [("a", "a")]) == ["a", "a"]
+    assert check_path(graph(spark, DIAMOND), DIAMOND) == []
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_cycle_path_of_random_graphs(spark, seed):
-    pick = random.Random(seed)
+def test_cycle_path_of_a_random_graph(spark):
+    pick = random.Random(1)
     edges = {(pick.randrange(30), pick.randrange(30)) for _ in range(36)}
     edges |= {(100 + k, 101 + k) for k in range(20)} | {(3, 100), (120, 3)}  # a long stretch with one parent each
     check_path(graph(spark, edges, "int"), edges)
