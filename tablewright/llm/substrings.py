@@ -24,7 +24,8 @@ Defined results
 ---------------
 Null or blank text: no words. Fewer than 50 words: nothing is removed. Rows with a null id are
 neither removed from nor a reason to remove. Rows with equal ids are not earlier than each
-other; they are told apart by a hash of their text.
+other; they are told apart by a hash of their text. Ids may be of any type that has an order; whole numbers
+are returned as bigint.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, LongType, StringType, StructField, StructType
 
 from ..operators.merge import own_shuffle
 from ..scratch import discarding_stages, staged
@@ -202,7 +203,8 @@ def repeats(keyed: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
 
     ``keyed`` has id, row (a hash that tells rows of one id apart) and text.
     """
-    all_segments = staged(explode_texts(keyed, "text", SEGMENT, _segment_rows(window, gram)), "segments")
+    of_kind = lambda schema: StructType([keyed.schema["id"], *schema.fields[1:]])
+    all_segments = staged(explode_texts(keyed, "text", of_kind(SEGMENT), _segment_rows(window, gram)), "segments")
     # seeds: anchors that occur in two documents at least
     shared = all_segments.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     seeds = staged(all_segments.join(own_shuffle(shared.select("anchor")), "anchor", "left_semi"), "seeds")
@@ -216,7 +218,7 @@ def repeats(keyed: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
     unsettled = met.filter("id = first and open").select("id", "row", F.struct("start", "windows", "anchor").alias("segment"))
     wanted = staged(unsettled.groupBy("id", "row").agg(F.collect_list("segment").alias("segments")), "wanted")
     texts = keyed.join(wanted, ["id", "row"]).select("id", "row", "text", "segments")
-    windows = staged(explode_texts(texts, "text", WINDOW, _window_rows(window)), "settled")
+    windows = staged(explode_texts(texts, "text", of_kind(WINDOW), _window_rows(window)), "settled")
     firsts = windows.groupBy("anchor", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     firsts = staged(firsts.drop("last"), "firsts")
     single = windows.join(firsts, ["anchor", "window"]).filter("id > first").select("id", "row", "start", F.lit(1).alias("windows"))
@@ -229,7 +231,9 @@ def remove_repeats(
     """(id, n_words, n_removed, kept_sha256) for every row of ``docs``, and kept_text on demand:
     the words outside all removed windows, joined by one space."""
     text = F.col(f"`{text_col}`")
-    keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.hash(text).alias("row"), text.alias("text"))
+    key = F.col(f"`{id_col}`")
+    whole_number = isinstance(docs.select(key).schema[0].dataType, IntegralType)
+    keyed = docs.select((key.cast("bigint") if whole_number else key).alias("id"), F.hash(text).alias("row"), text.alias("text"))
     with discarding_stages(docs.sparkSession):
         found = repeats(keyed.filter(F.col("id").isNotNull()), window)
         cuts = found.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("cuts"))

@@ -131,6 +131,24 @@ def test_repeats_with_edits_overlaps_and_copies(spark, documents):
     assert all(hashlib.sha256(r[4].encode()).hexdigest() == r[3] for r in found)
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(30,0)", "int", "date"])
+def test_substrings_of_any_id(spark, kind):
+    """Ids beyond bigint and of other types, in their own order."""
+    common = " ".join(words(70, 9))
+    texts = {k: f"{' '.join(words(30, 50 + k))} {common} {' '.join(words(20, 80 + k))}" for k in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string")
+    ids = {
+        "string": F.concat(F.lit("doc-"), "k"),
+        "decimal(30,0)": F.col("k").cast("decimal(30,0)") + F.lit("100000000000000000000").cast("decimal(30,0)"),
+        "int": F.col("k"),
+        "date": F.date_add(F.lit("2026-01-01"), F.col("k")),
+    }
+    df = df.select(ids[kind].alias("doc_id"), "text")
+    found = [tuple(r) for r in substrings.remove_repeats(df).collect()]
+    want = brute.removed([tuple(r) for r in df.collect()])
+    assert sorted(found) == sorted(want) and sum(r[2] for r in want) >= 11 * 70
+
+
 def test_repeats_take_odd_tables(odd, empty):
     texts = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     found = substrings.remove_repeats(odd)
