@@ -6,8 +6,11 @@ bigrams; a template does too. A unit shows a template if twice the number of sha
 over the sum of both sizes, is at least the least coefficient t.
 
 Sizes bound the coefficient: for sizes a and b it is at most 2 min(a, b) / (a + b), so only
-templates with t / (2 - t) * a <= b <= (2 - t) / t * a are compared with a unit of size a. They
-are looked up by size, so most units are compared with none.
+templates with t / (2 - t) * a <= b <= (2 - t) / t * a are compared with a unit of size a; most units are
+compared with none.
+
+Some notices differ by a few words (those of one family of licences, say). Templates whose own
+coefficient is half or more are rivals: of rivals that a unit shows only the likest counts.
 
 A shared bigram needs its words. A unit that reaches t with a template of size b shares at least
 t / (2 - t) * b of its bigrams, so it has a word of any set of words that all but fewer bigrams
@@ -18,8 +21,8 @@ Places are runs of consecutive words, over line ends or inside a line, so that a
 one sentence of a line is found too. A run that reaches t has at most (2 - t) / t times as many
 bigrams as its template; one that begins or ends with a bigram the template lacks is no better
 than without it. So only runs from one of the template's bigrams to another are compared, and
-only from where enough different ones lie within that length. Larger templates are placed first, then greater
-coefficients, then earlier runs; a run that overlaps a placed one is left out, as it is part of the
+only from where enough different ones lie within that length. Larger templates are placed first (rivals count as equally large, and of them the run that
+shares most bigrams goes first), then greater coefficients, then earlier runs; a run that overlaps a placed one is left out, as it is part of the
 same notice. A place is a unit of its own unless a line it touches, or the whole text, shows its
 template already.
 
@@ -33,6 +36,7 @@ coefficients: the lesser name is the best. Repeated rows are judged one by one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from math import ceil, floor
 
@@ -46,6 +50,12 @@ MOST_TEMPLATES = 1000
 
 #: Wording of public licence notices.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -62,9 +72,22 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met"
     ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
@@ -75,6 +98,16 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version."
+    ),
+    "LGPL-3.0-notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
     "MIT": "Released under the MIT License",
     "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -91,9 +124,17 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software."
+    ),
     "all-rights-reserved": "All rights reserved",
 }
 
+#: Templates whose own coefficient is at least this are rivals.
+RIVAL_DICE = 0.5
+
 
 #: Words of ordinary prose, which tell least about a text.
 COMMON = frozenset("a an and any as at be by for free from in is it not of on or out so that the this to under with without you".split())
@@ -160,50 +201,70 @@ def _has_any(text: Column, needed: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _sizes(templates: Mapping[str, str], least: float) -> tuple[dict[str, list[str]], int]:
-    """Bigrams of the templates that have any, and the size of the largest unit to compare."""
+def _sets(templates: Mapping[str, str]) -> dict[str, list[str]]:
+    """Bigrams of the templates that have any."""
     sets = {name: bigrams_of(text) for name, text in sorted(templates.items())}
-    sets = {name: grams for name, grams in sets.items() if grams}
-    largest = max((len(g) for g in sets.values()), default=0)
-    return sets, int(largest * (2 - least) / least) + 1
+    return {name: grams for name, grams in sets.items() if grams}
+
+
+def rivals(sets: Mapping[str, list[str]]) -> dict[str, list[str]]:
+    """For each template the others so like it that a text showing one may seem to show the other."""
+    size = {n: len(g) for n, g in sets.items()}
+    alike = lambda a, b: 2 * len(set(sets[a]) & set(sets[b])) >= RIVAL_DICE * (size[a] + size[b])
+    return {a: [b for b in sets if b != a and alike(a, b)] for a in sets}
+
+
+def _literals(sets: Mapping[str, list[str]], templates: Mapping[str, str], least: float) -> Column:
+    """The templates as one constant array, so that the plan does not grow with their number.
+
+    ``order`` places the larger first, rivals as if all were as large as the largest of them.
+    """
+    near = rivals(sets)
+    rows = [
+        {
+            "license": name,
+            "size": len(grams),
+            "grams": grams,
+            "rivals": near[name],
+            "order": -max(len(sets[n]) for n in (name, *near[name])),
+            "least_shared": ceil(least * len(grams) / (2 - least) - 1e-9),
+            "longest": floor((2 - least) / least * (len(words_of(templates[name])) - 1) + 1e-9),
+        }
+        for name, grams in sets.items()
+    ]
+    kind = "array<struct<license:string,size:int,grams:array<string>,rivals:array<string>,order:int,least_shared:int,longest:int>>"
+    return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
 def notices(unit: Column, templates: Mapping[str, str], least: float) -> Column:
-    """array<struct<license, dice>> of the templates that a unit shows."""
-    sets, most = _sizes(templates, least)
+    """array<struct<license, dice>> of the templates that a unit shows, of rivals the likest only."""
+    sets = _sets(templates)
     kind = "array<struct<license:string,dice:double>>"
     if not sets:
         return F.array().cast(kind)
-    # candidates by size, so that a unit meets only templates within the bounds
-    within = {a: [n for n, g in sets.items() if least * (a + len(g)) <= 2 * min(a, len(g))] for a in range(1, most + 1)}
+    known = _literals(sets, templates, least)
 
     def compared(grams: Column) -> Column:
-        def against(name: str) -> Column:
-            size = len(sets[name])
-            shared = F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in sets[name]])))
-            return F.struct(F.lit(name).alias("license"), (2 * shared / (F.size(grams) + size)).alias("dice"))
-
-        ranges = _ranges(within)
-        chosen = None
-        for low, high, names in ranges:
-            hit = (F.size(grams) >= low) & (F.size(grams) <= high)
-            found = F.filter(F.array(*[against(n) for n in names]), lambda s: s["dice"] >= least)
-            chosen = F.when(hit, found) if chosen is None else chosen.when(hit, found)
-        return chosen.otherwise(F.array().cast(kind)) if chosen is not None else F.array().cast(kind)
-
-    shown = F.element_at(F.transform(F.array(bigrams(words(unit))), compared), 1)
-    return F.when(_has_any(unit, needed_words(sets, least)), shown).otherwise(F.array().cast(kind))
+        size = F.size(grams)
+        # only templates within the bounds are compared
+        near = F.filter(known, lambda t: least * (size + t["size"]) <= 2 * F.least(size, t["size"]))
 
+        def against(t: Column) -> Column:
+            dice = 2 * F.size(F.array_intersect(grams, t["grams"])) / (size + t["size"])
+            return F.struct(t["license"].alias("license"), dice.alias("dice"), t["rivals"].alias("rivals"))
 
-def _ranges(within: Mapping[int, list[str]]) -> list[tuple[int, int, list[str]]]:
-    """Runs of sizes with the same candidates, those with none left out."""
-    runs: list[tuple[int, int, list[str]]] = []
-    for size, names in sorted(within.items()):
-        if runs and runs[-1][1] == size - 1 and runs[-1][2] == names:
-            runs[-1] = (runs[-1][0], size, names)
-        elif names:
-            runs.append((size, size, names))
-    return runs
+        return _let(F.filter(F.transform(near, against), lambda s: s["dice"] >= least), best)
+
+    def best(found: Column) -> Column:
+        def beaten(s: Column) -> Column:
+            better = lambda o: (o["dice"] > s["dice"]) | ((o["dice"] == s["dice"]) & (o["license"] < s["license"]))
+            return F.exists(found, lambda o: F.array_contains(s["rivals"], o["license"]) & better(o))
+
+        left = F.filter(found, lambda s: ~beaten(s))
+        return F.transform(left, lambda s: F.struct(s["license"].alias("license"), s["dice"].alias("dice")))
+
+    shown = _let(bigrams(words(unit)), compared)
+    return F.when(_has_any(unit, needed_words(sets, least)), shown).otherwise(F.array().cast(kind))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -214,19 +275,20 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def places(lines: Column, templates: Mapping[str, str], least: float) -> Column:
     """array<struct<license, dice, first, last>> of the runs of words that show a template, none
     overlapping another, with the numbers of the lines they begin and end in."""
-    sets, _ = _sizes(templates, least)
+    sets = _sets(templates)
     if not sets:
         return F.array().cast("array<struct<license:string,dice:double,first:int,last:int>>")
     every = sorted({g for grams in sets.values() for g in grams})
 
-    def runs(name: str, hits: Column, grams: Column) -> Column:
+    known = _literals(sets, templates, least)
+
+    def runs(t: Column, hits: Column, grams: Column) -> Column:
         """For each begin the best run of one template: greatest coefficient, then shortest."""
-        size, least_shared = len(sets[name]), ceil(least * len(sets[name]) / (2 - least) - 1e-9)
-        longest = floor((2 - least) / least * (len(words_of(templates[name])) - 1) + 1e-9)
+        size, least_shared, longest = t["size"], t["least_shared"], t["longest"]
 
         def best(own: Column, at: Column) -> Column:
             begin = F.get(own, at)
-            near = F.filter(F.slice(own, at + 1, F.lit(longest)), lambda x: x["k"] < begin["k"] + longest)
+            near = F.filter(F.slice(own, at + 1, longest), lambda x: x["k"] < begin["k"] + longest)
 
             def until(near: Column, n: Column) -> Column:
                 end = F.get(near, n - 1)
@@ -234,18 +296,18 @@ def places(lines: Column, templates: Mapping[str, str], least: float) -> Column:
                 length = end["k"] - begin["k"] + 1
                 found = F.size(F.array_distinct(F.transform(F.slice(grams, begin["k"] + 1, length), lambda x: x["g"])))
                 return F.struct(
-                    F.lit(-size).alias("order"),
                     (-2 * shared / (found + size)).alias("minus_dice"),
                     begin["k"].alias("begin"),
                     end["k"].alias("end"),
-                    F.lit(name).alias("license"),
+                    t["license"].alias("license"),
                     begin["first"].alias("first"),
                     end["last"].alias("last"),
+                    (-shared).alias("minus_shared"),
                 )
 
             def chosen(near: Column) -> Column:
                 enough = F.size(F.array_distinct(F.transform(near, lambda x: x["g"]))) >= least_shared
-                ends = F.sequence(F.lit(least_shared), F.size(near))
+                ends = F.sequence(least_shared, F.size(near))
                 return F.when(enough, F.array_min(F.transform(ends, lambda n: until(near, n))))
 
             return _let(near, chosen)
@@ -254,9 +316,13 @@ def places(lines: Column, templates: Mapping[str, str], least: float) -> Column:
             dense = lambda at: F.get(own, at + least_shared - 1)["k"] < F.get(own, at)["k"] + longest
             at = F.filter(F.sequence(F.lit(0), F.size(own) - least_shared), dense)
             found = F.filter(F.transform(at, lambda k: best(own, k)), lambda r: r["minus_dice"] <= -least)
-            return F.when(F.size(own) >= least_shared, found)
+            # of rivals the one that shares most is placed, not a shorter one that lies in it whole
+            rank = lambda r: F.when(F.size(t["rivals"]) > 0, r["minus_shared"]).otherwise(0)
+            columns = ("minus_dice", "begin", "end", "license", "first", "last")
+            ranked = lambda r: F.struct(t["order"].alias("order"), rank(r).alias("rank"), *[r[c].alias(c) for c in columns])
+            return F.when(F.size(own) >= least_shared, F.transform(found, ranked))
 
-        return _let(F.filter(hits, lambda x: x["g"].isin(sets[name])), begins)
+        return _let(F.filter(hits, lambda x: F.array_contains(t["grams"], x["g"])), begins)
 
     def placed(candidates: Column) -> Column:
         apart = lambda done, r: ~F.exists(done, lambda d: (d["begin"] <= r["end"] + 1) & (r["begin"] <= d["end"] + 1))
@@ -265,7 +331,7 @@ def places(lines: Column, templates: Mapping[str, str], least: float) -> Column:
 
     def found(grams: Column) -> Column:
         hits = F.filter(grams, lambda x: x["g"].isin(every))
-        by_template = lambda hits: F.flatten(F.filter(F.array(*[runs(n, hits, grams) for n in sets]), lambda r: r.isNotNull()))
+        by_template = lambda hits: F.flatten(F.filter(F.transform(known, lambda t: runs(t, hits, grams)), lambda r: r.isNotNull()))
         return _let(F.array_sort(_let(hits, by_template)), placed)
 
     def numbered(line: Column, k: Column) -> Column:
@@ -302,7 +368,7 @@ def scan(
     several = F.size(lines) > 1
     units = F.concat(lines, F.when(several, F.array(text)).otherwise(F.array().cast("array<string>")))
     shown = F.transform(units, lambda unit: notices(unit, templates, least))
-    possible = _has_any(text, needed_words(_sizes(templates, least)[0], least))
+    possible = _has_any(text, needed_words(_sets(templates), least))
     shown = F.when(possible, shown).otherwise(F.array().cast("array<array<struct<license:string,dice:double>>>"))
     within = places(lines, templates, least)
     within = F.when(possible, within).otherwise(F.array().cast("array<struct<license:string,dice:double,first:int,last:int>>"))

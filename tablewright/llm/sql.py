@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import LEAST_DICE, TEMPLATES
+from .licenses import LEAST_DICE, RIVAL_DICE, TEMPLATES
 
 
 def _quoted(text: str) -> str:
@@ -10,7 +10,7 @@ def _quoted(text: str) -> str:
 
 
 def _licenses() -> str:
-    """Every unit against every template, without pruning."""
+    """Every unit against every template, without pruning; of rivals the likest."""
     values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in sorted(TEMPLATES.items()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,11 +30,19 @@ def _licenses() -> str:
       SELECT doc_id, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS unit FROM split
     ), grams AS (
       SELECT doc_id, k, {pairs} AS grams FROM (SELECT doc_id, k, {words("unit")} AS w FROM unit)
-    ), shown AS (
+    ), rival AS (
+      SELECT a.license, b.license AS other FROM template a JOIN template b ON a.license <> b.license
+        AND 2 * len(list_intersect(a.grams, b.grams)) >= {RIVAL_DICE} * (len(a.grams) + len(b.grams))
+    ), reached AS (
       SELECT doc_id, k, license, 2 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
       FROM grams g, template t
       WHERE len(g.grams) > 0 AND len(g.grams) <= 3 * len(t.grams) AND len(t.grams) <= 3 * len(g.grams)
         AND 2 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) >= {LEAST_DICE}
+    ), shown AS (
+      SELECT * FROM reached s WHERE NOT EXISTS (
+        SELECT 1 FROM reached o JOIN rival r ON r.other = o.license
+        WHERE o.doc_id = s.doc_id AND o.k = s.k AND r.license = s.license
+          AND (o.dice > s.dice OR (o.dice = s.dice AND o.license < s.license)))
     ), best AS (
       SELECT doc_id, count(DISTINCT k) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
         max(dice) AS best_dice

@@ -331,6 +331,8 @@ def test_notices_against_plain_comparison(spark, documents):
         lines = (text or "").split("\n")
         units = lines + ([text] if len(lines) > 1 else [])
         shown = [[(dice(set(licenses.bigrams_of(u)), s), n) for n, s in sets.items() if dice(set(licenses.bigrams_of(u)), s) >= 0.8] for u in units]
+        rival = lambda a, b: a != b and dice(sets[a], sets[b]) >= 0.5
+        shown = [[x for x in u if not any(rival(x[1], o[1]) and (-o[0], o[1]) < (-x[0], x[1]) for o in u)] for u in shown]
         flat = [x for u in shown for x in u]
         best = min(((-d, n) for d, n in flat), default=(None, None))
         r = found[k]
@@ -352,6 +354,24 @@ def test_notices_over_several_lines_and_inside_a_line(documents):
     assert [found[k]["best_dice"] for k in (0, 2)] == [1.0, 1.0]
 
 
+def test_neighbouring_licences_are_told_apart(documents):
+    wrap = lambda text: "\n".join(" * " + line for line in textwrap.wrap(text, 58))
+    names = [n for n in licenses.TEMPLATES if "GPL" in n and "notice" in n or n in ("0BSD", "ISC", "Zlib", "Unlicense", "EPL-2.0", "CC0-1.0", "BSL-1.0")]
+    forms = [lambda t: t, lambda t: "/*\n" + wrap(t) + "\n */\nint main() {}\n", lambda t: f"A story begins. {t} And it goes on from there.\nMore."]
+    texts = [form(licenses.TEMPLATES[n]) for n in names for form in forms]
+    found = {r["doc_id"]: r for r in licenses.scan(documents(*enumerate(texts))).collect()}
+    assert [(found[k]["licenses"], found[k]["best_license"]) for k in found] == [(names[k // 3],) * 2 for k in found]
+    lesser = licenses.TEMPLATES["LGPL-2.1-notice"].replace("This library", "This program")
+    [r] = licenses.scan(documents((1, lesser))).collect()
+    assert (r["licenses"], r["n_notices"]) == ("LGPL-2.1-notice", 1)
+
+
+def test_many_licence_templates(documents):
+    many = {f"licence {k}": f"the {k} licence of {k + 1} and {k * 7} grants rights" for k in range(200)}
+    [r] = licenses.scan(documents((1, f"prose\n{many['licence 77']}\nprose")), templates=many).collect()
+    assert r["best_license"] == "licence 77" and r["best_dice"] == 1.0
+
+
 def test_licences_run_without_python(spark):
     plan = queries.op3_licenses(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
