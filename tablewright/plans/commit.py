@@ -139,7 +139,7 @@ def swap(df: DataFrame, name: str) -> None:
     new = f"{old.rstrip('/').split(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").save(new)
     add_columns(spark, df, name)
-    spark.sql(f"ALTER TABLE {quoted_name} SET LOCATION {_text(new)}")
+    spark.sql(f"ALTER TABLE {quoted_name} SET LOCATION {text_literal(new)}")
     spark.catalog.refreshTable(name)
     remove_folder(spark, old)
 
@@ -239,7 +239,7 @@ def partition_values(spark: SparkSession, name: str) -> list[str | None]:
 
 def drop_partitions(spark: SparkSession, name: str, partition: str, values: Sequence) -> None:
     specs = [
-        f"PARTITION ({quoted(partition)} = {'NULL' if v is None else _text(v)})" for v in values
+        f"PARTITION ({quoted(partition)} = {'NULL' if v is None else text_literal(v)})" for v in values
     ]
     for start in range(0, len(specs), 500):
         batch = ", ".join(specs[start : start + 500])
@@ -257,7 +257,7 @@ def in_partitions(df: DataFrame, partition: str, values: Sequence) -> DataFrame:
     return df.filter(condition)
 
 
-def _text(value) -> str:
+def text_literal(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

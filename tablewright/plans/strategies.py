@@ -32,6 +32,7 @@ from ..operators.snapshots import prune_snapshots, snapshot_rows
 from ..operators.watermark import high_watermark, newer_than
 from ..scratch import discarding_stages, staged
 from . import buckets, commit, journal
+from .marks import kept_mark, note_rewritten
 
 
 def source_frame(spark: SparkSession, config: TableConfig) -> DataFrame:
@@ -173,8 +174,11 @@ def _incremental(spark, config: Incremental, run):
         return "incremental", {"first_run": True}
 
     target = _target(spark, config)
+    mark = None
     if config.incremental_column:
-        source = newer_than(source, config.incremental_column, high_watermark(target, config.incremental_column))
+        mark = kept_mark(spark, config.target_table, config.incremental_column)
+        target = _target(spark, config)
+        source = newer_than(source, config.incremental_column, mark)
 
     if config.incremental_strategy == "insert_overwrite":
         _overwrite(spark, config, target, source, by_value)
@@ -185,18 +189,24 @@ def _incremental(spark, config: Incremental, run):
         unique = one_row_per_key(staged(source, "source"), keys, config.dedupe_order_by or None)
         commit.merge_into(unique, config.target_table, keys)
     elif config.incremental_strategy == "merge" and keys:
+        delivered = staged(source, "source")
         after = merge(
             target,
-            staged(source, "source"),
+            delivered,
             keys,
             on_schema_change=config.on_schema_change,
             dedupe_order_by=config.dedupe_order_by or None,
             newest_wins=config.newest_wins,
         )
         commit.rewrite(after, config.target_table)
+        if config.incremental_column and not config.dedupe_order_by:  # an order may leave delivered rows out
+            note_rewritten(spark, config.target_table, config.incremental_column, mark, delivered)
     elif config.incremental_strategy == "delete+insert" and keys:
         target, source = align_schemas(target, source, config.on_schema_change, keys)
-        commit.rewrite(delete_insert(target, staged(source), keys), config.target_table)
+        delivered = staged(source)
+        commit.rewrite(delete_insert(target, delivered, keys), config.target_table)
+        if config.incremental_column:
+            note_rewritten(spark, config.target_table, config.incremental_column, mark, delivered)
     else:
         if config.incremental_strategy not in ("merge", "delete+insert", "append"):
             warnings.warn(f"unknown incremental_strategy {config.incremental_strategy!r}: appending", stacklevel=3)
