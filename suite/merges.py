@@ -116,6 +116,27 @@ def watermark_filter(spark, sf_dir):
     return newer_than(lines, "l_shipdate", mark)
 
 
+KNOWN = "ts <= TIMESTAMP '2024-01-20' OR (event_type = 'error' AND ts <= TIMESTAMP '2024-01-22')"
+
+
+@query(
+    "stored_mark",
+    f"SELECT event_id, ts, event_type FROM events WHERE {KNOWN} OR ts > (SELECT max(ts) FROM events WHERE {KNOWN})",
+)
+def stored_mark(spark, sf_dir):
+    """A log that is appended to above its mark, which is kept with the files it covers; in between
+    another job adds files of its own."""
+    table = f"{new_database(spark)}.log"
+    events = source(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    until = lambda day: events.filter(F.col("ts") <= F.lit(day).cast("timestamp_ntz"))
+    for day in ("2024-01-10", "2024-01-20"):
+        materialize(spark, Incremental(target_table=table, source=until(day), incremental_column="ts"))
+    errors = until("2024-01-22").filter("event_type = 'error' AND ts > TIMESTAMP_NTZ '2024-01-20'")
+    errors.write.insertInto(table)
+    materialize(spark, Incremental(target_table=table, source=events, incremental_column="ts"))
+    return spark.table(table)
+
+
 @query("watermark_subquery", LATE_LINES)
 def watermark_subquery(spark, sf_dir):
     shipped = source(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("l_shipdate"))
