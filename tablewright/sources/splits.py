@@ -14,6 +14,7 @@ ten-millionth of blocks of 128 MB, and its length is checked.
 The second pass cuts each block into records. What a block has of records that reach over its
 borders it gives as fragments, which are put together by (file, block the record begins in): a
 group is one record, whatever the file's size.
+Records inside blocks and fragments are two branches of the plan, so this pass runs once for each.
 
 A block that the first pass did not see (its size was set anew between the passes) fails the
 query instead of being read in a wrong state.
