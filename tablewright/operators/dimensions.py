@@ -244,6 +244,8 @@ def _micros(value: Column, kind) -> Column:
 
 #: How much wider the bins of each level of :func:`join_as_of_binned` are.
 WIDER = 8
+#: A level with fewer versions is copied until it has about so many, each copy for some of the facts.
+SPREAD = 1024
 
 
 def join_as_of_binned(
@@ -260,8 +262,10 @@ def join_as_of_binned(
     shortest tenth of versions last. A closed version lies on the level whose bins are as wide as it is long,
     in two of them at most, an open one on a level of its own. A fact looks up one bin on each level, so
     it meets the versions of that bin instead of all of its key, and the facts of a key are spread over
-    tasks by time. Levels are as many as powers of ``WIDER`` between the shortest and the longest
-    version; their numbers come to the driver.
+    tasks by time. A level of few versions, such as the open ones of a few keys, would leave few groups for
+    all facts; it is copied under ``SPREAD`` numbers in all, and a fact looks up the copy of its time's hash.
+    Levels are as many as powers of ``WIDER`` between the shortest and the longest version; their numbers
+    and sizes come to the driver.
     """
     keys = key_list(keys)
     if how not in ("left", "inner"):
@@ -275,7 +279,7 @@ def join_as_of_binned(
         taken.add(name)
         return name
 
-    begin, end, level, bin_, found = map(unused, ("__begin", "__end", "__level", "__bin", "__found"))
+    begin, end, level, bin_, copy, found = map(unused, ("__begin", "__end", "__level", "__bin", "__copy", "__found"))
     kind = dimension.schema[names.valid_from].dataType
     closed = column(names.valid_to).isNotNull()
     timed = dimension.filter(column(names.valid_from).isNotNull()).withColumns(
@@ -285,25 +289,31 @@ def join_as_of_binned(
     width = timed.filter(closed).agg(F.percentile_approx(length, 0.1)).first()[0] or 1
     power = F.greatest(F.ceil(F.log(length / F.lit(float(width))) / F.lit(log(WIDER))), F.lit(0)).cast("int")
     leveled = timed.withColumn(level, F.when(closed, power).otherwise(F.lit(-1)))
-    levels = sorted(r[0] for r in leveled.select(level).distinct().collect())  # a few dozen at most
+    levels = sorted(tuple(r) for r in leveled.groupBy(level).count().collect())  # a few dozen at most
     met = facts
     when_kind = facts.schema[at].dataType
     columns = []
-    for k in levels:
+    for k, count in levels:
         size = F.lit(int(width) * WIDER**k if k >= 0 else 1)
         versions = leveled.filter(F.col(level) == k)
         if k >= 0:
             bins = F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))
             versions = versions.withColumn(bin_, F.explode(bins))
+        copies = -(-SPREAD // count)
+        if copies > 1:
+            versions = versions.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         payload = unused(f"__version{k}".replace("-", "o"))
         columns.append(payload)
-        mine = versions.select(*keys, *([bin_] if k >= 0 else []), F.struct(*[column(c) for c in attributes]).alias(payload))
+        mine = versions.select(*keys, *([bin_] if k >= 0 else []), *([copy] if copies > 1 else []), F.struct(*[column(c) for c in attributes]).alias(payload))
         start, stop = F.col(f"d.{payload}.`{names.valid_from}`"), F.col(f"d.{payload}.`{names.valid_to}`")
         on = equal_keys("f", "d", keys) & (start <= field("f", at)) & (stop.isNull() | (stop > field("f", at)))
         looking = met
         if k >= 0:
             looking = met.withColumn(bin_, F.floor(_micros(column(at), when_kind) / size))
             on = on & (F.col(f"f.{bin_}") == F.col(f"d.{bin_}"))
+        if copies > 1:
+            looking = looking.withColumn(copy, F.pmod(F.xxhash64(column(at)), F.lit(copies)).cast("int"))
+            on = on & (F.col(f"f.{copy}") == F.col(f"d.{copy}"))
         met = looking.alias("f").join(mine.alias("d"), on, "left").select(*[field("f", c) for c in met.columns], field("d", payload))
     version = F.coalesce(*[F.col(c) for c in columns]) if columns else F.struct(*[F.lit(None).cast(dimension.schema[c].dataType).alias(c) for c in attributes])
     met = met.withColumn(found, version)

@@ -79,6 +79,26 @@ def test_a_small_source_leaves_the_target_unshuffled(spark, tmp_path):
         assert "SortMergeJoin" not in plan and "Exchange" not in updated
 
 
+@pytest.fixture
+def uncoalesced(skewed):
+    skewed.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield skewed
+    skewed.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_versions_of_few_keys_leave_facts_spread_over_tasks(uncoalesced):
+    """Open versions, and closed ones too long for many bins: the facts are not dealt by the key alone."""
+    from tablewright.operators.dimensions import join_as_of_binned
+
+    uncoalesced.conf.set("spark.sql.shuffle.partitions", "16")
+    facts = uncoalesced.range(0, 9_000, 1, 4).selectExpr("id", "id % 3 AS k", "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, CAST(id AS int)) AS at")
+    text = "SELECT id AS k, timestamp_ntz'2025-01-01' AS valid_from, {} AS valid_to FROM range(3)"
+    for until in ("CAST(NULL AS timestamp_ntz)", "timestamp_ntz'2027-01-01'"):
+        met = join_as_of_binned(facts, uncoalesced.sql(text.format(until)), "k", "at")
+        of = met.groupBy(F.spark_partition_id().alias("task")).agg(F.count("valid_from").alias("rows")).collect()
+        assert len(of) > 12 and max(r["rows"] for r in of) < 2_000 and sum(r["rows"] for r in of) == 9_000
+
+
 def test_overwrite_splits_a_hot_value(skewed, tmp_path):
     target, source = hot_target(skewed, tmp_path), changes(skewed, tmp_path)
     after = overwrite_by_value(target, source, "k")
