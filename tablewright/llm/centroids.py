@@ -5,14 +5,15 @@ a *chunk* is up to ``CHUNK`` vectors. One block, a chunk's numbers in one shard,
 each round
 
 1. block tasks compute exact partial squared distances to their shard's slice of the centroids,
-2. ``reduceByKey`` over chunks adds the blocks' partial distances, and the least sum (then the
+2. a shuffle by chunk adds the blocks' partial distances, and the least sum (then the
    smaller number) is each vector's cluster,
 3. the clusters go back to the blocks, which are dealt by (shard, chunk) once and do not move
    again; every shard sums its dimensions by cluster and updates its own slice by exact floor
    division. An empty cluster keeps its slice.
 
-At scale: no task holds more than a chunk of vectors at a time in one shard's dimensions, whatever
-the number of vectors or their length, and no key has more than one record per shard or chunk, so
+At scale: tasks are as many as the blocks need, however the vectors lay and however many shuffle
+partitions there are, so that many small partitions do not make many tasks in each of the rounds' stages. A
+task holds about ``BLOCKS`` blocks or their distances, whatever the number of vectors or their length, and no key has more than one record per shard or chunk, so
 there is no hot key. Partial sums of a shard are combined before their shuffle. The driver gets, and tasks
 are sent, the centroids alone: clusters * dimensions integers. Blocks are written to the shared
 folder once; a round depends on them and on the centroids before it, so lineage does not grow, and a
@@ -27,7 +28,7 @@ the order of their components. Repeated rows are vectors of their own. No vector
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -45,6 +46,8 @@ SCALE = 1024
 #: Dimensions of a shard, and vectors of a chunk.
 WIDTH = 16
 CHUNK = 4096
+#: Blocks that a task takes at least, if there are more than executors' cores: 16 MB of full ones.
+BLOCKS = 64
 #: Largest scaled component.
 LIMIT = 1 << 27
 
@@ -120,15 +123,45 @@ class Clusters:
         return [sha256(",".join(map(str, c)).encode()).hexdigest() for c in self.centroids.tolist()]
 
 
+def merged(add: Callable) -> Callable[[Iterable], Iterator]:
+    """For ``mapPartitions``: the values of each key added up; a task has few keys, or few blocks."""
+
+    def run(records: Iterable) -> Iterator:
+        totals = {}
+        for key, value in records:
+            totals[key] = add(totals[key], value) if key in totals else value
+        yield from totals.items()
+
+    return run
+
+
+def meet(records: Iterable) -> Iterator:
+    """(shard, numbers, nearest) from blocks, as bytes, and clusters that come under the same keys."""
+    waiting = {}
+    for key, value in records:
+        if key not in waiting:
+            waiting[key] = value
+            continue
+        first = waiting.pop(key)
+        block, nearest = (first, value) if isinstance(first, bytes) else (value, first)
+        yield key[0], block, nearest
+    if waiting:
+        raise RuntimeError(f"{len(waiting)} blocks and clusters did not meet")
+
+
 class _Blocks:
-    """Blocks dealt by (shard, chunk)."""
+    """Blocks dealt by (shard, chunk) to tasks of about ``BLOCKS`` each, however many partitions they lie in."""
 
     def __init__(self, table: DataFrame, dims: int):
         self.table, self.dims = table, dims
         rows = table.select("shard", "chunk", "block").rdd
-        self.parts = max(1, min(rows.getNumPartitions(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        keyed = rows.map(lambda r: ((r["shard"], r["chunk"]), bytes(r["block"])))
-        self.dealt = keyed.partitionBy(self.parts)
+        n = table.count()
+        self.tasks = max(1, -(-n // BLOCKS), min(n, table.sparkSession.sparkContext.defaultParallelism))
+        self.dealt = rows.map(lambda r: ((r["shard"], r["chunk"]), bytes(r["block"]))).partitionBy(self.tasks)
+
+    def _read(self, keyed: RDD, tasks: int | None = None) -> RDD:
+        """Records that lie with their key, by as many tasks as asked for at most."""
+        return keyed.coalesce(min(self.tasks, tasks or self.tasks))
 
     def nearest(self, centroids: np.ndarray) -> RDD:
         """(chunk, (cluster, distance) of its vectors)."""
@@ -143,7 +176,9 @@ class _Blocks:
             best = total.argmin(axis=1)  # the smaller number of equals
             return best.astype("<i4"), total[np.arange(len(best)), best]
 
-        return self.dealt.map(partial).reduceByKey(np.add, self.parts).mapValues(least)
+        add = merged(np.add)
+        partials = self._read(self.dealt).map(partial).mapPartitions(add)
+        return self._read(partials.partitionBy(self.tasks)).mapPartitions(add).mapValues(least)
 
     def updated(self, centroids: np.ndarray) -> np.ndarray:
         """The centroids after one round; each shard divides its own slice."""
@@ -153,21 +188,20 @@ class _Blocks:
         clusters = self.nearest(centroids).flatMap(lambda r: [((s, r[0]), r[1][0]) for s in shards])
 
         def sums(record):
-            (shard, _), (block, nearest) = record
+            shard, block, nearest = record
             numbers = np.frombuffer(block, "<i4").reshape(-1, min(WIDTH, dims - shard * WIDTH))
             return shard, block_sums(numbers, nearest, k)
 
-        def add(a, b):
-            return a[0] + b[0], a[1] + b[1]
-
         def divide(record):
             shard, (total, n) = record
             old = sent.value[shard]
             return shard, [[int(t // n[c]) for t in total[c]] if n[c] else old[c].tolist() for c in range(k)]
 
+        add = merged(lambda a, b: (a[0] + b[0], a[1] + b[1]))
         # both sides are dealt alike, so only the clusters move
-        met = self.dealt.join(clusters.partitionBy(self.parts), self.parts)
-        found = dict(met.map(sums).reduceByKey(add, len(shards)).map(divide).collect())
+        met = self._read(self.dealt.union(clusters.partitionBy(self.tasks))).mapPartitions(meet)
+        summed = met.map(sums).mapPartitions(add).partitionBy(len(shards))
+        found = dict(self._read(summed, len(shards)).mapPartitions(add).map(divide).collect())
         return np.hstack([np.array(found[s], np.int64).reshape(k, -1) for s in shards]) if found else centroids
 
 

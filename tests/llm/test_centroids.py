@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tablewright.llm import centroids, queries
@@ -113,3 +114,28 @@ def test_sums_beyond_64_bits():
     for _ in range(40):
         total, n = total + total, n + n
     assert total[0][0] == 4 * centroids.LIMIT << 40 and n.tolist() == [4 << 40, 0]
+
+
+def test_many_small_partitions_do_not_make_many_tasks(spark, monkeypatch):
+    picked = random.Random(2)
+    df = vectors(spark, [(k, [picked.gauss(k % 3, 1) for _ in range(20)]) for k in range(90)]).repartition(30)
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.files.openCostInBytes": "128m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    deal = RDD.partitionBy  # more partitions than asked for: several are read by one task
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *more: deal(self, max(n, 31), *more))
+    seen, nearest = [], centroids._Blocks.nearest
+
+    def noting(self, now):
+        found = nearest(self, now)
+        seen.append(found.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(centroids._Blocks, "nearest", noting)
+    try:
+        compare(df, 20, clusters=4, rounds=2)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism
