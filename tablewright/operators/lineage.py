@@ -50,6 +50,12 @@ def _links(edges: DataFrame, direction: str = DOWN) -> DataFrame:
     return staged(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct(), "edges")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """For the side of a join that grows with the graph: both sides are shuffled. A walk's next steps
+    look large to the planner, which would send the links to the driver, once a step, instead."""
+    return df.hint("merge")
+
+
 def _nodes(links: DataFrame) -> DataFrame:
     return links.select(F.col("near").alias("node")).union(links.select(F.col("far").alias("node"))).distinct()
 
@@ -100,13 +106,13 @@ def reachable_pairs(edges: DataFrame, roots: DataFrame | None = None, direction:
         reached = []
         for _ in range(HOPS):
             frontier = (
-                frontier.join(links, frontier.node == links.near)
+                frontier.join(_dealt(links), F.col("node") == F.col("near"))
                 .select(F.col("far").alias("node"), "root")
                 .distinct()
             )
             reached.append(frontier)
         steps = reduce(DataFrame.union, reached).distinct()
-        frontier = rounds.add(steps.join(rounds.all(), ["node", "root"], "left_anti"))
+        frontier = rounds.add(steps.join(_dealt(rounds.all()), ["node", "root"], "left_anti"))
     return rounds.all().filter(F.col("node") != F.col("root")).select("root", "node")
 
 

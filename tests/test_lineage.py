@@ -220,3 +220,22 @@ def skewed_edges(spark):
     yield spark, spark.range(0, 60_000, 1, 8).select(hub.cast("bigint").alias("upstream"), F.sha2(F.col("id").cast("string"), 256).alias("downstream"))
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def planned_rounds(spark, monkeypatch, ask):
+    """The plans of a walk's rounds after the first."""
+    plans, add = [], lineage.Rounds.add
+
+    def noting(self, df, *more, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df, *more, **options)
+
+    monkeypatch.setattr(lineage.Rounds, "add", noting)
+    links = spark.range(1, 3_000).selectExpr("id DIV 2 AS upstream", "id AS downstream")
+    count = ask(links, spark.sql("SELECT 2999L AS node"), direction="upstream").count()
+    return count, plans[1:]
+
+
+def test_links_and_pairs_found_do_not_go_through_the_driver(spark, monkeypatch):
+    count, plans = planned_rounds(spark, monkeypatch, lineage.reachable_pairs)
+    assert count == 12 and plans and not any("Broadcast" in p for p in plans)
