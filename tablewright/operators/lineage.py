@@ -80,13 +80,13 @@ def reachable_nodes(edges: DataFrame, roots: DataFrame, direction: str = DOWN) -
     def steps(frontier: DataFrame) -> DataFrame:
         reached = []
         for _ in range(HOPS):
-            frontier = links.join(frontier, links.near == frontier.node).select(F.col("far").alias("node")).distinct()
+            frontier = _dealt(links).join(frontier, F.col("near") == F.col("node")).select(F.col("far").alias("node")).distinct()
             reached.append(frontier)
         return reduce(DataFrame.union, reached).distinct()
 
     frontier = rounds.add(steps(start))
     while rounds.new:
-        frontier = rounds.add(steps(frontier).join(rounds.all(), ["node"], "left_anti"))
+        frontier = rounds.add(steps(frontier).join(_dealt(rounds.all()), ["node"], "left_anti"))
     return rounds.all()
 
 
@@ -404,7 +404,7 @@ def downstream_subgraph(edges: DataFrame, roots: DataFrame) -> DataFrame:
     An edge that starts inside ends inside, so one semi join on its start is enough.
     """
     inside = own_shuffle(reachable_nodes(edges, roots).union(roots.toDF("node")).distinct())
-    return edges.select(UP, DOWN).distinct().join(inside.toDF(UP), [UP], "left_semi").select(UP, DOWN)
+    return edges.select(UP, DOWN).distinct().join(_dealt(inside.toDF(UP)), [UP], "left_semi").select(UP, DOWN)
 
 
 def propagate_failures(edges: DataFrame, outcomes: DataFrame, failed: Column) -> DataFrame:

@@ -239,3 +239,8 @@ def planned_rounds(spark, monkeypatch, ask):
 def test_links_and_pairs_found_do_not_go_through_the_driver(spark, monkeypatch):
     count, plans = planned_rounds(spark, monkeypatch, lineage.reachable_pairs)
     assert count == 12 and plans and not any("Broadcast" in p for p in plans)
+
+
+def test_links_and_nodes_found_do_not_go_through_the_driver(spark, monkeypatch):
+    count, plans = planned_rounds(spark, monkeypatch, reachable_nodes)
+    assert count == 12 and plans and not any("Broadcast" in p for p in plans)
